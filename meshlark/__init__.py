@@ -1,0 +1 @@
+"""Particle analytics on Spark: typed particle tables binned onto meshes."""
