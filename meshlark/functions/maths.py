@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 minimum, maximum = F.least, F.greatest
 absolute, sqrt, exp, power = F.abs, F.sqrt, F.exp, F.pow
@@ -81,7 +82,7 @@ def inverse(m: list[list[Column]]) -> list[list[Column]]:
     return [[F.try_divide(minor(j, i) if (i + j) % 2 == 0 else -minor(j, i), det) for j in range(n)] for i in range(n)]
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def invert_matrix(flat: pd.Series) -> pd.Series:
     """Inverse of an N x N matrix given row by row; null where it is singular. For N beyond four."""
 
