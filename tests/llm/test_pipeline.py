@@ -1,0 +1,58 @@
+"""The pipeline against a plain version that compares all with all."""
+
+import corpus_pipeline
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from meshlark.llm import quality, secrets, simhash
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_pipeline_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    m = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    rows = [(i, t) for (i, t), s in zip(rows, m.score([t for _, t in rows])) if s >= 0.3]
+    last = {}
+    for i, t in rows:
+        last[t] = max(i, last.get(t, i))
+    rows = [(i, t) for t, i in last.items()]
+    fps = {i: simhash.fingerprint(t) for i, t in rows}
+    group = {i: {i} for i in fps}
+    for a in fps:
+        for b in fps:
+            if a < b and (fps[a] ^ fps[b]).bit_count() <= 3 and group[a] is not group[b]:
+                group[a] |= group[b]
+                for k in group[b]:
+                    group[k] = group[a]
+    rows = [(i, secrets.mask(t)) for i, t in rows if min(group[i]) == i]
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = []
+    for i, x in rows:
+        n = len(t.encode(x, add_special_tokens=False).ids) + 1
+        want += [(i, p, lo, min(4096, n - lo)) for p, lo in enumerate(range(0, n, 4096))]
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert sorted(tuple(r)[:4] for r in got) == sorted(want)
+    rooms = {}
+    for r in got:
+        rooms.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for s in rooms.values():
+        assert [o for o, _ in sorted(s)] == list(np.cumsum([0] + [n for _, n in sorted(s)])[:-1])
+    assert len(rooms) <= -(-sum(w[3] for w in want) // 4096) + 1
+
+
+def test_stages_keep_columns_and_take_odd_rows(spark):
+    odd = [(1, None, "en", None, 0), (2, "", "en", "s", 0), (2, "", None, "s", 0), (None, "some words here", "en", "s", 15), (3, "w " * 60_000, "en", "s", 120_000), (4, 'x token = "0123456789abcdef0123"', "en", "s", 33)]
+    df = spark.createDataFrame([(*r, 7, "k") for r in odd], "doc_id long, text string, lang string, source string, n_chars long, kept int, component_id string")
+    for rows in (df, df.limit(0)):
+        docs = rows
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, SF) if name != "quality_classifier" else docs
+            assert docs.columns == df.columns, name
+            docs = spark.createDataFrame(docs.collect(), df.schema)
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= docs.count()
+    assert docs.count() == 0
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality_classifier", "exact_dedup", "simhash_near_dedup", "secret_scan", "best_fit_packing"]
