@@ -244,3 +244,22 @@ def k12_reflection(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _hits(spark, sf_dir)
     assert boundary.has_boundary_columns(hits, 2)
     return boundary.reflect(hits, 2, 0.25).select("id", (F.col("V_0") + 0).alias("V_0"), (F.col("V_1") + 0).alias("V_1"))
+
+
+@query("SELECT * FROM (VALUES ('Barycentric', 1, true), ('Barycentric', 0, false), ('DG', 0, true), ('DG', 1, false)) t(space, ord, known)")
+def k5_function_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which function spaces can be projected to and evaluated."""
+    rows = []
+    for space in ("DG", "Barycentric"):
+        for order in (0, 1):
+            try:
+                rows.append((space, order, bool(deposit.project_evaluate(space, order))))
+            except ValueError:
+                rows.append((space, order, False))
+    return spark.createDataFrame(rows, "space string, ord int, known boolean")
+
+
+@query(EV + "SELECT true AS hits, false AS rows")
+def k13_boundary_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether tables hold what a boundary hit adds."""
+    return spark.createDataFrame([(boundary.has_boundary_columns(_hits(spark, sf_dir), 2), boundary.has_boundary_columns(events(spark, sf_dir).df, 2))], "hits boolean, rows boolean")

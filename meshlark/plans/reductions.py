@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..mesh import CartesianMesh, linear, unlinear
+from ..mesh import CartesianMesh
 from ..operators import cellwise, mapping, sampling
 from .catalog import query
 from .fixtures import EV, MESH, OR, cell_sql, draw_sql, events, orders, table, uniform_sql
@@ -295,4 +295,32 @@ def k14_counts_for_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.counts_for_density(cells, 0.75)
 
 
-__all__ = ["linear", "unlinear"]
+@query(EV + f", o AS (SELECT id, cell, {uniform_sql(8, 2, 'id', 0)} AS u FROM ev) SELECT id, u < 0.25 AS chosen FROM o")
+def m4_generation_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source made from a function of (row, component)."""
+    from ..functions import rng
+
+    s = rng.Source.of(lambda row, comp: rng.uniform(8, 2, row, comp))
+    return events(spark, sf_dir).df.select("id", (s.at(F.col("id"), 0) < 0.25).alias("chosen"))
+
+
+# the 3-D mesh over the first three components of the vectors, each shifted by one
+_V = [f"(CAST(list_extract(embedding, {k + 1}) AS DOUBLE) + 1)" for k in range(3)]
+_VC = [f"least(greatest(CAST(trunc({v} * 4::DOUBLE) AS BIGINT), 0), 7)" for v in _V]
+
+
+@query(f"SELECT {_VC[0]} + 8 * {_VC[1]} + 64 * {_VC[2]} AS cell, count(*) AS n, CAST(sum(label) AS BIGINT) AS labels FROM embeddings GROUP BY 1")
+def i10_cells_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors binned on a 3-D mesh by their first three components."""
+    mesh = CartesianMesh((2, 2, 2), 1.0, 2)
+    x = [F.element_at("embedding", k + 1).cast("double") + 1 for k in range(3)]
+    e = table(spark, sf_dir, "embeddings").select(mesh.cell(x).alias("cell"), "label")
+    return e.groupBy("cell").agg(F.count("*").alias("n"), F.sum("label").alias("labels"))
+
+
+@query(EV + "SELECT id, CAST(trunc(P_0) AS BIGINT) + 30 * CAST(trunc(P_1) AS BIGINT) AS cell, 1 AS candidates FROM ev WHERE P_0 < 30 AND P_1 < 24")
+def f13_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of each point by its overlay cell, where every overlay cell is a candidate of itself."""
+    boxes = MESH.cells(spark).select(F.col("cell").alias("mesh_cell"), (F.col("x_0") + 0.25).alias("lo_0"), (F.col("x_0") + 0.75).alias("hi_0"), (F.col("x_1") + 0.25).alias("lo_1"), (F.col("x_1") + 0.75).alias("hi_1"))
+    listed = mapping.claim_boxes(boxes, MESH, ("mesh_cell",))
+    return events(spark, sf_dir).df.where("P_0 < 30 AND P_1 < 24").join(listed, "cell").groupBy("id", F.col("mesh_cell").alias("cell")).agg(F.count("*").cast("int").alias("candidates"))

@@ -13,7 +13,7 @@ from ..operators import cellwise, products
 from ..sources import export, steps
 from ..spec import INT, Prop, Spec
 from .catalog import query
-from .fixtures import EV, MESH, SPEC, event_rows, events, orders, table
+from .fixtures import EV, MESH, OR, SPEC, event_rows, events, orders, table
 
 
 def scratch(spark: SparkSession) -> str:
@@ -398,4 +398,78 @@ def l7_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spec.align(event_rows(spark, sf_dir).withColumn("cell", MESH.cell([F.col("P_0"), F.col("P_1")])).drop("SPECIES_0"), {"SPECIES_0": 5}, ("id", "cell"))
 
 
+# --- rows of the inventory that need more than one of the above
+
+@query("SELECT * FROM (VALUES (true, true, false, false)) t(has_v, has_v2, has_v3, has_x)")
+def b2_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookup of properties by name, and by name and components."""
+    s = events(spark, sf_dir).spec
+    return spark.createDataFrame([("V" in s, Prop("V", 2) in s, Prop("V", 3) in s, "X" in s)], "has_v boolean, has_v2 boolean, has_v3 boolean, has_x boolean")
+
+
+@query(EV + "SELECT id, W_0 * 10 AS E_0 FROM ev WHERE SPECIES_0 = 3")
+def b5_ephemeral_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that exist on a view alone."""
+    return Ephemeral(events(spark, sf_dir).sub(F.col("SPECIES_0") == 3), {"E_0": F.col("W_0") * 10}).df.select("id", "E_0")
+
+
+@query(EV + "SELECT cell, CAST(sum(SPECIES_0) AS BIGINT) AS s FROM ev GROUP BY cell")
+def c5_declared_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A loop that reads one property: the scan holds the columns it and the cell are made from, no others."""
+    return events(spark, sf_dir).df.groupBy("cell").agg(F.sum("SPECIES_0").alias("s"))
+
+
+@query(EV + ", m AS (SELECT cell, layer AS row, 0 AS col, W_0 AS value FROM lay WHERE layer < 3) SELECT cell, row, col, CAST(CASE WHEN row = 1 THEN -5 ELSE value END AS BIGINT) AS value FROM m")
+def c9_cell_rows_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A per-cell table with as many rows as the cell has, and a write to one of them."""
+    m = with_layers(events(spark, sf_dir).df).where("layer < 3").select("cell", F.col("layer").alias("row"), F.lit(0).alias("col"), F.col("W_0").alias("value"))
+    return cellwise.set_values(m, m.where("row = 1").withColumn("value", F.lit(-5).cast("bigint")))
+
+
+@query(EV + "SELECT id, W_0 * W_0 + 2 * W_0 * SPECIES_0 AS v FROM ev")
+def c11_scratch_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intermediate values of a kernel are columns that go again."""
+    df = events(spark, sf_dir).df.withColumns({"t_0": F.col("W_0") * F.col("W_0"), "t_1": 2 * F.col("W_0") * F.col("SPECIES_0")})
+    return df.select("id", (F.col("t_0") + F.col("t_1")).alias("v"))
+
+
+@query(EV + "SELECT id, W_0 + 1 AS v FROM ev WHERE id < 1000")
+def c13_direct_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The escape hatch: Arrow batches of chosen columns in a Python function."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pc.add(b.column(1), 1)], ["id", "v"])
+
+    return events(spark, sf_dir).df.where("id < 1000").select("id", "W_0").mapInArrow(run, "id long, v long")
+
+
+@query(EV + "SELECT id, CAST(sum(1) OVER (PARTITION BY cell ORDER BY id ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS layer FROM ev WHERE Q_0 > 30")
+def d7_scan_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers of a selection by a scan of ones within its cells."""
+    rows = events(spark, sf_dir).sub(F.col("Q_0") > 30).rows().withColumn("one", F.lit(1))
+    return cellwise.segmented_scan(rows, "cell", "id", "one", name="layer").select("id", "layer")
+
+
+@query(EV + "SELECT id, cell AS h FROM ev")
+def i17_parallel_initialisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many small moves towards a target end in the target's cell: one mapping gives that state."""
+    return events(spark, sf_dir).move_cells().df.select("id", F.col("cell").alias("h"))
+
+
+@query(OR + ", b AS (SELECT cell, count(*) AS n FROM ord GROUP BY cell) SELECT n % 5 AS bin, count(*) AS cells, CAST(sum(n) AS BIGINT) AS rows FROM b GROUP BY n % 5")
+def i20_mesh_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another mesh (32 x 16), its occupied cells binned by occupancy."""
+    b = orders(spark, sf_dir).groupBy("cell").agg(F.count("*").alias("n"))
+    return b.groupBy((F.col("n") % 5).alias("bin")).agg(F.count("*").alias("cells"), F.sum("n").alias("rows"))
+
+
+@query(EV + "SELECT SPECIES_0, CAST(sum(W_0) AS BIGINT) AS s, min(W_0) AS lo, max(W_0) AS hi FROM ev GROUP BY SPECIES_0")
+def j9_accumulators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetch-and-add, -min and -max as aggregates."""
+    return events(spark, sf_dir).df.groupBy("SPECIES_0").agg(F.sum("W_0").alias("s"), F.min("W_0").alias("lo"), F.max("W_0").alias("hi"))
+
+
 __all__ = ["scratch", "cell_range", "orders", "table"]
