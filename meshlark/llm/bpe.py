@@ -1,7 +1,13 @@
 """Operator 1: BPE encoding and decoding by tree concatenation.
 
 A text falls into units by the tokenizer's own pre-tokenizer; units are independent, so a
-bounded table from unit to ids serves most of them. A long unit (text that the
+bounded table from unit to ids serves most of them. Units that it lacks are merged by
+tiktoken's core over the same vocabulary, with the byte 0xFF (never part of UTF-8) as the
+mark of a word's end. Both engines take the same steps if each token's own text encodes to
+that token: whatever happens inside two neighbouring tokens' span happens as it would in the
+span alone, and there the last step is the listed merge. Tokens of which that is not so are
+never made by the library, so they are taken out of the core's vocabulary when loading; if
+the vocabulary's order is not that of its merges, the library's own model does this work. A long unit (text that the
 pre-tokenizer cannot split) is cut into leaves that are encoded in parallel; neighbours are
 joined pairwise up a tree. At each join a window around the seam is re-encoded and grows
 until its outer tokens equal what both sides had there; the ids outside the window then
@@ -19,6 +25,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -34,7 +41,7 @@ LONG_UNIT, LEAF = 1024, 512
 #: Tokens that must agree on each side of a window, and the first window's tokens per side.
 AGREE, WINDOW = 2, 8
 #: Entries of the table from units to ids; it is emptied when full.
-TABLE = 300_000
+TABLE = 150_000
 #: Below this code point no character composes with another, so NFC changes nothing.
 PLAIN = 0x250
 
@@ -86,8 +93,11 @@ class Coder:
         self.spaced = spec.get("decoder") is None
         self.letters = byte_letters()
         self.bytes_of = {c: b for b, c in enumerate(self.letters)}
-        self.units = _Table(self.unit_ids)
-        self.words = _Table(lambda w: self.unit_ids(self.mapped(w)))
+        self.core = self._core(model["vocab"], merges)
+        self.mark = b"\xff" if suffix else b""
+        # packed ids (little-endian, 32 bits each) by unit in byte letters, and by word
+        self.units = _Table(lambda u: self.packed(bytes(map(self.bytes_of.__getitem__, u)), u))
+        self.words = _Table(lambda w: self.packed(w.encode()))
         lower = "Lowercase" in json.dumps(spec.get("normalizer"))
         letter, number = _class("L"), _class("N")
         # letters come first for speed: none of the endings begins with one, so the order changes no match
@@ -101,14 +111,39 @@ class Coder:
         # characters for which the plain pattern is known to equal the library's; U+0130 grows when lowered
         self.odd = re.compile(f"[^\t\n\r -~\xa0-įı-{chr(PLAIN - 1)}]")
 
-    def mapped(self, word: str) -> str:
-        return "".join(map(self.letters.__getitem__, word.encode()))
-
-    def unit_ids(self, unit: str) -> tuple[int, ...]:
+    def _core(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
+        """tiktoken's core if it provably merges as the library does, else None."""
+        try:
+            import tiktoken
+        except ImportError:
+            return None
+        plain = {t: i for t, i in vocab.items() if t not in self.specials}
+        singles = {t for t in plain if len(t.removesuffix(self.suffix) or t) == 1}
+        order = [plain.get(a + b) for a, b in merges]
+        if len(singles) < 256 or None in order or sorted(order) != order or order and max(plain[t] for t in singles) >= order[0] or len(singles) + len(merges) != len(plain):
+            return None
+        ranks = {}
+        for t, i in plain.items():
+            ends = bool(self.suffix) and t.endswith(self.suffix)
+            own = self.last if ends or not self.suffix else self.inner
+            if t in singles or len(own.model.tokenize(t[: len(t) - len(self.suffix)] if ends else t)) == 1:
+                ranks[bytes(map(self.bytes_of.__getitem__, t[: len(t) - len(self.suffix)] if ends else t)) + (b"\xff" if ends else b"")] = i
+        try:
+            return tiktoken.Encoding("own", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        except (AttributeError, ValueError):
+            return None
+
+    def packed(self, word: bytes, unit: str | None = None) -> bytes:
+        """Ids of one unit, as bytes."""
+        if self.core is not None and len(word) <= LONG_UNIT:
+            return array("I", self.core(word + self.mark)).tobytes()
+        return array("I", self.unit_ids(unit if unit is not None else "".join(map(self.letters.__getitem__, word)))).tobytes()
+
+    def unit_ids(self, unit: str) -> list[int]:
         """Ids of one unit, given in byte letters."""
         if len(unit) > LONG_UNIT:
-            return tuple(self.tree(unit))
-        return tuple(x.id for x in self.last.model.tokenize(unit))
+            return self.tree(unit)
+        return [x.id for x in self.last.model.tokenize(unit)]
 
     def tree(self, unit: str, leaf: int = LEAF) -> list[int]:
         """Ids of one long unit: leaves in parallel, then joins up a tree."""
@@ -143,11 +178,11 @@ class Coder:
             ids: list[int] = self.library.encode(text, add_special_tokens=False).ids
         elif self.fast is not None and not self.odd.search(text):
             words = self.fast.findall(text.lower() if self.lower else text)
-            return np.fromiter(chain.from_iterable(map(self.words.__getitem__, words)), np.uint32)
+            return np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u4")
         else:
             norm, pre = self.library.normalizer, self.library.pre_tokenizer
             units = pre.pre_tokenize_str(norm.normalize_str(text) if norm is not None else text)
-            ids = list(chain.from_iterable(self.units[u] for u, _ in units))
+            return np.frombuffer(b"".join(self.units[u] for u, _ in units), "<u4")
         return np.array(ids, np.uint32)
 
     def decode(self, ids: np.ndarray) -> str:
