@@ -17,14 +17,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .mesh import CartesianMesh
+from .operators.scan import grouped_scan
 from .spec import Prop, Spec
 
 BASE = ("id", "cell")
 
 
 def with_layers(df: DataFrame, name: str = "layer") -> DataFrame:
-    """Adds the dense row number within the cell, in order of id."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy("cell").orderBy("id")) - 1)
+    """Adds the dense row number within the cell, in order of id; large cells are numbered in blocks."""
+    return grouped_scan(df, ["cell"], "id", None, name).select(*df.columns, name)
 
 
 @dataclass(frozen=True)
@@ -199,7 +200,9 @@ class SubGroup:
 
     def truncate(self, n: int) -> "SubGroup":
         """The first n layers of each cell."""
-        return SubGroup(self, None, lambda df: with_layers(df, "__layer").where(F.col("__layer") < n).drop("__layer"))
+        # a plain row number lets the planner cut each cell to n rows before the shuffle
+        rank = F.row_number().over(Window.partitionBy("cell").orderBy("id"))
+        return SubGroup(self, None, lambda df: df.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank"))
 
     def discard(self, n: int) -> "SubGroup":
         """All but the first n layers of each cell."""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..mesh import CartesianMesh
+from .scan import grouped_scan
 
 AGGREGATES: dict[str, Callable[[Column], Column]] = {"plus": F.sum, "min": F.min, "max": F.max}
 COMBINE: dict[str, Callable[[Column, Column], Column]] = {"plus": lambda a, b: a + b, "min": F.least, "max": F.greatest}
@@ -112,8 +113,7 @@ def histogram(df: DataFrame, index: list[Column], shape: list[int], value: Colum
 
 def segmented_scan(df: DataFrame, segment: str, order: str, value: str, inclusive: bool = False, name: str = "scan") -> DataFrame:
     """Prefix sums within segments."""
-    w = Window.partitionBy(segment).orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)))
+    return grouped_scan(df, [segment], order, value, name, inclusive).select(*df.columns, name)
 
 
 def segment_totals(df: DataFrame, segments: DataFrame, segment: str, value: str) -> DataFrame:
@@ -140,5 +140,5 @@ def loop_indices(df: DataFrame) -> DataFrame:
     """Adds layer, and loop_index: rows of the cells before plus the layer."""
     per_cell = df.groupBy("cell").agg(F.count("*").alias("__n"))
     starts = exclusive_scan(per_cell, "cell", "__n", "__start").drop("__n")
-    rows = df.withColumn("layer", F.row_number().over(Window.partitionBy("cell").orderBy("id")) - 1)
+    rows = grouped_scan(df, ["cell"], "id", None, "layer").select(*df.columns, "layer")
     return rows.join(starts, "cell").withColumn("loop_index", F.col("__start") + F.col("layer")).drop("__start")

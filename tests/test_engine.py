@@ -356,3 +356,17 @@ def test_layers_are_dense(spark):
     for r in with_layers(g.remove(g.sub(F.col("id") % 3 == 0)).df).collect():
         seen.setdefault(r["cell"], []).append(r["layer"])
     assert all(sorted(v) == list(range(len(v))) for v in seen.values())
+
+
+@pytest.mark.parametrize("hot", [1, 5, 40, 1000])
+def test_scans_of_large_groups_in_blocks(spark, hot):
+    from meshlark.operators.scan import grouped_scan
+
+    r = random.Random(hot)
+    rows = [(0 if k % 3 else k % 7, i, i % 11) for k, i in enumerate(r.sample(range(-5000, 5000), 200))]
+    df = spark.createDataFrame(rows, "cell long, id long, v long")
+    got = grouped_scan(grouped_scan(df, ["cell"], "id", "v", "run", True, hot), ["cell"], "id", None, "layer", False, hot)
+    seen = {r["id"]: (r["run"], r["layer"]) for r in got.collect()}
+    for c, i, _ in rows:
+        before = [v for d, j, v in rows if d == c and j <= i]
+        assert seen[i] == (sum(before), len(before) - 1)
