@@ -73,7 +73,7 @@ def j6_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).df.select("id", m["hit"].alias("hit"))
 
 
-@query(EV + "SELECT id, round(1 / (P_0 + 1), 6) AS i_00, round(-V_0 / ((P_0 + 1) * (P_1 + 2)), 6) AS i_01, round((V_0 * V_1 / (P_1 + 2)) / ((P_0 + 1) * 4), 6) AS i_02, 0.25 AS i_22 FROM ev")
+@query(EV + "SELECT id, round(1 / (P_0 + 1), 6) AS i_00, round(-V_0 / ((P_0 + 1) * (P_1 + 2)), 6) AS i_01, round((V_0 * V_1 / (P_1 + 2)) / ((P_0 + 1) * 4), 6) AS i_02, 0.25::DOUBLE AS i_22 FROM ev")
 def j7_matrix_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inverse of an upper triangular 3 x 3 matrix by cofactors."""
     z, l = F.lit(0.0), F.lit
@@ -176,7 +176,7 @@ def k4_evaluate_barycentric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(evaluate(rows, corners, values, F.col("P_0"), F.col("P_1"), "value").select("id", "value"), "id")
 
 
-@query(EV + ", s AS (SELECT cell, sum(W_0) AS w FROM ev GROUP BY cell) SELECT cell * 7 % 720 AS external, CAST(w AS BIGINT) AS value FROM s")
+@query(EV + ", s AS (SELECT cell, CAST(sum(W_0) AS BIGINT) AS w FROM ev GROUP BY cell) SELECT cell * 7 % 720 AS external, CAST(w AS BIGINT) AS value FROM s")
 def k6_external_dofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     dofs = events(spark, sf_dir).df.groupBy("cell").agg(F.sum("W_0").alias("value")).withColumn("dof", F.lit(0))
     index = spark.range(MESH.ncells).select(F.col("id").alias("cell"), F.lit(0).alias("dof"), (F.col("id") * 7 % 720).alias("external"))

@@ -34,7 +34,7 @@ def e3_reduce_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cellwise.reduce_cellwise(rows, [F.col("W_0") * F.col("SPECIES_0")], "max", prior).select("cell", "value")
 
 
-@query(EV + "SELECT cell, sum(W_0) AS s, min(W_0) AS lo, max(W_0) AS hi FROM ev GROUP BY cell")
+@query(EV + "SELECT cell, CAST(sum(W_0) AS BIGINT) AS s, min(W_0) AS lo, max(W_0) AS hi FROM ev GROUP BY cell")
 def e4_cell_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).df.groupBy("cell").agg(F.sum("W_0").alias("s"), F.min("W_0").alias("lo"), F.max("W_0").alias("hi"))
 
@@ -44,12 +44,12 @@ def e5_global_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cellwise.global_reduce(events(spark, sf_dir).df, {"n": F.lit(1), "w": F.col("W_0")}, "plus", {"n": 10})
 
 
-@query(EV + "SELECT SPECIES_0 AS i, sum(W_0) AS value FROM ev GROUP BY SPECIES_0")
+@query(EV + "SELECT SPECIES_0 AS i, CAST(sum(W_0) AS BIGINT) AS value FROM ev GROUP BY SPECIES_0")
 def e6_local_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).df.groupBy(F.col("SPECIES_0").alias("i")).agg(F.sum("W_0").alias("value"))
 
 
-@query(EV + ", h AS (SELECT SPECIES_0 AS i, CAST(trunc(P_1) AS BIGINT) AS j, sum(W_0) AS w FROM ev GROUP BY ALL) SELECT a AS i_0, b AS i_1, CAST(coalesce(w, 0) AS BIGINT) AS value FROM range(4) t(a) CROSS JOIN range(24) u(b) LEFT JOIN h ON h.i = a AND h.j = b")
+@query(EV + ", h AS (SELECT SPECIES_0 AS i, CAST(trunc(P_1) AS BIGINT) AS j, CAST(sum(W_0) AS BIGINT) AS w FROM ev GROUP BY ALL) SELECT a AS i_0, b AS i_1, CAST(coalesce(w, 0) AS BIGINT) AS value FROM range(4) t(a) CROSS JOIN range(24) u(b) LEFT JOIN h ON h.i = a AND h.j = b")
 def e7_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cellwise.histogram(events(spark, sf_dir).df, [F.col("SPECIES_0"), F.col("P_1").cast("bigint")], [4, 24], F.col("W_0"))
 
@@ -242,7 +242,7 @@ def i21_boundary_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.exchange(orders(spark, sf_dir).select((F.col("cell") % 32).alias("geom_id"), F.col("W_0").alias("value")))
 
 
-@query("SELECT c AS mesh_cell, x + 30 * y AS cell, (least(lo + 2.5, x + 1) - greatest(lo, x)) * (least(hi + 1.5, y + 1) - greatest(hi, y)) AS overlap FROM (SELECT c, c % 10 * 2.5 AS lo, c // 10 * 2.25 AS hi FROM range(80) t(c)), range(30) u(x), range(24) v(y) WHERE x BETWEEN floor(lo) AND floor(lo + 2.5) AND y BETWEEN floor(hi) AND floor(hi + 1.5)")
+@query("SELECT c AS mesh_cell, x + 30 * y AS cell, (least(lo + 2.5, x + 1) - greatest(lo, x)) * (least(hi + 1.5, y + 1) - greatest(hi, y)) * 1::DOUBLE AS overlap FROM (SELECT c, c % 10 * 2.5 AS lo, c // 10 * 2.25 AS hi FROM range(80) t(c)), range(30) u(x), range(24) v(y) WHERE x BETWEEN floor(lo) AND floor(lo + 2.5) AND y BETWEEN floor(hi) AND floor(hi + 1.5)")
 def f14_overlay_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlay cells that boxes meet, with the area shared."""
     k = F.col("id")

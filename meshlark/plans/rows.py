@@ -33,14 +33,14 @@ def a1_particle_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spec.align(events(spark, sf_dir).df, keep=("id", "cell"))
 
 
-@query(EV + "SELECT cell, count(*) AS n, sum(W_0) AS w FROM (SELECT cell, W_0 FROM ev UNION ALL SELECT cell, 0 FROM ev WHERE id % 3 = 0) GROUP BY cell")
+@query(EV + "SELECT cell, count(*) AS n, CAST(sum(W_0) AS BIGINT) AS w FROM (SELECT cell, W_0 FROM ev UNION ALL SELECT cell, 0 FROM ev WHERE id % 3 = 0) GROUP BY cell")
 def a2_add_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = events(spark, sf_dir)
     batch = g.df.where("id % 3 = 0").select((-F.col("id") - 1).alias("id"), "cell", "P_0", "P_1", F.lit(1.0).alias("EXTRA_0"))
     return g.add(batch).df.groupBy("cell").agg(F.count("*").alias("n"), F.sum("W_0").alias("w"))
 
 
-@query(EV + "SELECT SPECIES_0, count(*) AS n, sum(W_0) AS w FROM (SELECT SPECIES_0, W_0 FROM ev UNION ALL SELECT 0, W_0 FROM ev WHERE id % 2 = 0) GROUP BY SPECIES_0")
+@query(EV + "SELECT SPECIES_0, count(*) AS n, CAST(sum(W_0) AS BIGINT) AS w FROM (SELECT SPECIES_0, W_0 FROM ev UNION ALL SELECT 0, W_0 FROM ev WHERE id % 2 = 0) GROUP BY SPECIES_0")
 def a4_add_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = events(spark, sf_dir)
     spec = Spec((SPEC.get("P"), SPEC.get("W"), Prop("ONLY")))
@@ -54,7 +54,7 @@ def a5_add_sub_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.add_group(g.sub(F.col("Q_0") > 50)).df.groupBy("cell").agg(F.count("*").alias("n"))
 
 
-@query(EV + "SELECT step, count(*) AS n, sum(W_0) AS w, max(P_0) AS x FROM (SELECT 0 AS step, W_0, P_0 FROM ev UNION ALL SELECT 5, W_0, P_0 FROM ev WHERE SPECIES_0 = 0) GROUP BY step")
+@query(EV + "SELECT step, count(*) AS n, CAST(sum(W_0) AS BIGINT) AS w, max(P_0) AS x FROM (SELECT 0 AS step, W_0, P_0 FROM ev UNION ALL SELECT 5, W_0, P_0 FROM ev WHERE SPECIES_0 = 0) GROUP BY step")
 def a6_write_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, t = events(spark, sf_dir), steps.Trajectory(scratch(spark), SPEC, ["W"])
     t.write(g.df)
@@ -100,7 +100,7 @@ def a12_cell_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.cell_outlines(spark, MESH)
 
 
-@query("SELECT CAST(c AS BIGINT) AS cell, c % 16 AS c_0, c // 16 AS c_1, (c % 16) * 0.5 AS x_0, (c // 16) * 0.5 AS x_1, 0.25 AS volume FROM range(128) t(c)")
+@query("SELECT CAST(c AS BIGINT) AS cell, c % 16 AS c_0, c // 16 AS c_1, (c % 16) * 0.5::DOUBLE AS x_0, (c // 16) * 0.5::DOUBLE AS x_1, 0.25::DOUBLE AS volume FROM range(128) t(c)")
 def a13_hierarchy_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..mesh import CartesianMesh
 
@@ -195,13 +195,13 @@ def c8_cell_table_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).df.join(per_cell, "cell").select("id", (F.col("W_0") + F.col("m")).alias("W_0"))
 
 
-@query("SELECT CAST(c AS BIGINT) AS cell, r AS row, k AS col, CASE WHEN c = 7 AND r = 1 AND k = 0 THEN 42.0 ELSE 0.5 END AS value FROM range(720) t(c), range(2) s(r), range(2) u(k)")
+@query("SELECT CAST(c AS BIGINT) AS cell, r AS row, k AS col, CASE WHEN c = 7 AND r = 1 AND k = 0 THEN 42.0 ELSE 0.5 END::DOUBLE AS value FROM range(720) t(c), range(2) s(r), range(2) u(k)")
 def c10_cell_matrix_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = spark.createDataFrame([(7, 1, 0, 42.0)], "cell long, row int, col int, value double")
     return cellwise.set_values(cellwise.fill(spark, MESH, 2, 2, 0.5), new)
 
 
-@query(EV + "SELECT SPECIES_0 AS row, sum(W_0) AS value FROM ev GROUP BY SPECIES_0")
+@query(EV + "SELECT SPECIES_0 AS row, CAST(sum(W_0) AS BIGINT) AS value FROM ev GROUP BY SPECIES_0")
 def c12_product_rows_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).df.groupBy(F.col("SPECIES_0").alias("row")).agg(F.sum("W_0").alias("value"))
 
@@ -270,7 +270,7 @@ def d6_lazy_sub_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.sub(F.col("W_0") > 3000).rows(g.update({"W_0": F.col("W_0") + 5})).select("id", "W_0")
 
 
-@query(EV + "SELECT SPECIES_0 AS part, count(*) AS n, sum(W_0) AS w FROM ev WHERE SPECIES_0 < 3 GROUP BY SPECIES_0")
+@query(EV + "SELECT SPECIES_0 AS part, count(*) AS n, CAST(sum(W_0) AS BIGINT) AS w FROM ev WHERE SPECIES_0 < 3 GROUP BY SPECIES_0")
 def d8_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three views by species (others are in none), counted in one pass over their union."""
     views = events(spark, sf_dir).sub().partition("SPECIES", 3)
@@ -385,7 +385,7 @@ def l5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return products.numbered(made, 3, 0).select("id", "cell", "parent", "product", "W_0", "USER_0")
 
 
-@query(EV + "SELECT count(*) AS n, sum(W_0) AS w, sum(USER_0) AS u FROM (SELECT W_0, USER_0 FROM ev UNION ALL SELECT 7, 9 FROM ev WHERE id < 100)")
+@query(EV + "SELECT count(*) AS n, CAST(sum(W_0) AS BIGINT) AS w, CAST(sum(USER_0) AS BIGINT) AS u FROM (SELECT W_0, USER_0 FROM ev UNION ALL SELECT 7, 9 FROM ev WHERE id < 100)")
 def l6_product_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = events(spark, sf_dir)
     rows = g.df.where("id < 100").select((F.col("id") + 10**9).alias("id"), "cell", F.lit(7).alias("W_0"))
