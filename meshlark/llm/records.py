@@ -9,8 +9,7 @@ shuffled reader can fetch any record by itself.
 Rows are range-partitioned by (doc_id, text hash) and sorted; each task tokenises its range
 and writes one file, so files in order of their first document hold all documents in
 ascending order (null ids first, equal ids in order of their text's hash). A document's
-global start is its start in the file plus the lengths of all files before, taken from one
-row per file.
+global start is its start in the file plus the lengths of all files before; one row per file comes to the driver.
 
 Edge cases: null or empty text is the end id alone; repeated rows are records of their own;
 null ids come first; an empty table gives an empty table; other columns are ignored.
@@ -25,12 +24,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .bpe import coder
-from .common import documents, partition_id, shared_folder, small_batches, store, unique_name, written
+from .common import documents, partition_id, shared_folder, small_batches, store, unique_name
 
 #: Reflected CRC-32C polynomial and the mask's addend (fixed values of the record format).
 POLYNOMIAL, MASK = 0x82F63B78, 0xA282EAD8
@@ -92,8 +90,10 @@ def unframe(record: bytes) -> bytes:
     return payload
 
 
-def write_records(df: DataFrame, folder: str, path: str, end_id: int, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the record files and indexes; (part, file, records, tokens, width) per file, written too.
+def write_records(df: DataFrame, folder: str, path: str, end_id: int, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
+    """Writes the record files and indexes; part, file, records, tokens and width of each, in order.
+
+    One small row per file comes to the driver, which keeps only committed attempts' names.
 
     Each file also has `<file>.ids`, the doc_ids in order, as Arrow IPC.
     """
@@ -130,11 +130,12 @@ def write_records(df: DataFrame, folder: str, path: str, end_id: int, partitions
     docs = documents(df, id_col, text_col)
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.withColumn("tie", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    return written(dealt.select("doc_id", "text").mapInArrow(run, "part int, file string, records long, tokens long, width int"), folder, "files")
+    files = dealt.select("doc_id", "text").mapInArrow(run, "part int, file string, records long, tokens long, width int").toArrow()
+    return sorted(files.to_pylist(), key=lambda f: f["part"])
 
 
-def read_records(files: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) from the files, a file a task; every checksum is verified."""
+def read_records(spark: SparkSession, files: list[dict], folder: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) from the files; every checksum is verified."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = store(folder)
@@ -154,14 +155,15 @@ def read_records(files: DataFrame, folder: str) -> DataFrame:
                             crc.append(zlib.crc32(tokens.astype("<u4").tobytes()))
                         yield pa.RecordBatch.from_arrays([ids.column(0), pa.array(starts, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    # one row per file in this window and exchange
-    before = F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = files.withColumn("base", before).select("file", "width", "base")
-    tasks = max(1, min(files.count(), 100_000))
-    return placed.repartition(tasks, "file").mapInArrow(run, RESULT)
+    base, rows = 0, []
+    for f in files:
+        rows.append((f["file"], f["width"], base))
+        base += f["tokens"]
+    listed = spark.createDataFrame(rows, "file string, width int, base long")
+    return listed.repartition(max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(run, RESULT)
 
 
 def token_records(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes all documents as records and returns what is read back."""
     folder = shared_folder(df.sparkSession)
-    return read_records(write_records(df, folder, path, end_id, None, id_col, text_col), folder)
+    return read_records(df.sparkSession, write_records(df, folder, path, end_id, None, id_col, text_col), folder)

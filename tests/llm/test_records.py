@@ -61,7 +61,7 @@ def test_repeated_and_null_ids(spark):
 def test_index_fetches_any_record(spark):
     folder = common.shared_folder(spark)
     df = spark.createDataFrame([(i, f"text {i}") for i in range(30)], "doc_id long, text string")
-    files = records.write_records(df, folder, PATH, 2, 2).collect()
+    files = records.write_records(df, folder, PATH, 2, 2)
     assert sum(f["records"] for f in files) == 30
     path = folder.removeprefix("file://")
     assert len(glob.glob(path + "/*.rec")) == len(files)
