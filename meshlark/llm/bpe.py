@@ -108,8 +108,9 @@ class Coder:
             self.fast, self.lower = re.compile(f" ?[{letter}]+|{ends}| ?[{number}]+| ?[^\\s{letter}{number}]+|\\s+(?!\\S)|\\s+"), False
         else:
             self.fast, self.lower = None, False
-        # characters for which the plain pattern is known to equal the library's; U+0130 grows when lowered
-        self.odd = re.compile(f"[^\t\n\r -~\xa0-įı-{chr(PLAIN - 1)}]")
+        # characters for which the plain pattern is known to equal the library's: no odd controls, and lowered to one plain character
+        plain = [c for c in map(chr, range(PLAIN)) if (c in "\t\n\r" or unicodedata.category(c) != "Cc") and len(c.lower()) == 1 and ord(c.lower()) < PLAIN]
+        self.odd = re.compile(f"[^{''.join(map(re.escape, plain))}]")
 
     def _core(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
         """tiktoken's core if it provably merges as the library does, else None."""

@@ -40,6 +40,21 @@ def test_core_is_used_and_equals_the_library_model(path):
         assert np.frombuffer(c.packed(w.encode()), "<u4").tolist() == c.unit_ids("".join(map(c.letters.__getitem__, w.encode())))
 
 
+@pytest.mark.parametrize("path", FILES)
+def test_every_plain_character_in_company(path):
+    c, t = bpe.coder(path), library(path)
+    for k in range(0x260):
+        x = f"a{chr(k)}b {chr(k)}{chr(k)}1 '{chr(k)}s  {chr(k)} "
+        assert c.encode(x).tolist() == t.encode(x, add_special_tokens=False).ids, hex(k)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.characters(max_codepoint=0x250), max_size=40))
+def test_any_plain_text(text):
+    for path in FILES:
+        assert bpe.coder(path).encode(text).tolist() == library_ids(path, text)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=60))
 def test_any_text(text):
