@@ -7,10 +7,10 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import rng
 from ..group import with_layers
+from .scan import grouped_scan
 
 
 def all_to_all(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -66,8 +66,7 @@ def pair_indices(pairs: DataFrame, order: list[str]) -> DataFrame:
     from .cellwise import exclusive_scan
 
     starts = exclusive_scan(pairs.groupBy("cell").agg(F.count("*").alias("__n")), "cell", "__n", "__start").drop("__n")
-    k = F.row_number().over(Window.partitionBy("cell").orderBy(*order)) - 1
-    return pairs.withColumn("__k", k).join(starts, "cell").withColumn("loop_index", F.col("__start") + F.col("__k")).drop("__k", "__start")
+    return grouped_scan(pairs, ["cell"], order[0], None, "__k", ties=tuple(order[1:])).select(*pairs.columns, "__k").join(starts, "cell").withColumn("loop_index", F.col("__start") + F.col("__k")).drop("__k", "__start")
 
 
 def pair_loop(rows: DataFrame, pairs: DataFrame, columns: list[str], kernel: Callable[[dict, dict], None]) -> DataFrame:
@@ -90,9 +89,8 @@ def pair_loop(rows: DataFrame, pairs: DataFrame, columns: list[str], kernel: Cal
 
 def collision_partition(df: DataFrame, species: list[int], ccell: str = "ccell", kind: str = "SPECIES_0") -> DataFrame:
     """(cell, ccell, species, rank, id): rows of known species, numbered in their bucket by id."""
-    rows = df.where(F.col(kind).isin(species))
-    w = Window.partitionBy("cell", ccell, kind).orderBy("id")
-    return rows.select("cell", F.col(ccell).alias("ccell"), F.col(kind).alias("species"), (F.row_number().over(w) - 1).alias("rank"), "id")
+    rows = df.where(F.col(kind).isin(species)).select("cell", F.col(ccell).alias("ccell"), F.col(kind).alias("species"), "id")
+    return grouped_scan(rows, ["cell", "ccell", "species"], "id", None, "rank").select("cell", "ccell", "species", "rank", "id")
 
 
 def max_pairs(partition: DataFrame, a: int, b: int, replacement: bool) -> DataFrame:
@@ -136,8 +134,8 @@ def sample_without_replacement(partition: DataFrame, wanted: DataFrame, a: int,
     """
     sizes = wanted.join(max_pairs(partition, a, b, False), ["cell", "ccell"], "left")
     sizes = sizes.select("cell", "ccell", F.when(F.col("n") <= F.coalesce("most", F.lit(0)), F.col("n")).otherwise(F.raise_error(F.lit("too few rows for the pairs asked for"))).alias("n"))
-    w = Window.partitionBy("cell", "ccell", "species").orderBy(rng.draw(seed, step, F.col("id")), "id")
-    shuffled = partition.where(F.col("species").isin(a, b)).withColumn("s", F.row_number().over(w) - 1).join(sizes, ["cell", "ccell"])
+    drawn = partition.where(F.col("species").isin(a, b)).withColumn("__draw", rng.draw(seed, step, F.col("id")))
+    shuffled = grouped_scan(drawn, ["cell", "ccell", "species"], "__draw", None, "s", ties=("id",)).select("cell", "ccell", "species", "id", "s").join(sizes, ["cell", "ccell"])
     if a == b:
         k, first = F.floor(F.col("s") / 2).cast("bigint"), F.col("s") % 2 == 0
         pool = shuffled.withColumn("k", k).where("k < n")

@@ -16,8 +16,8 @@ from pyspark.sql.window import Window
 HOT_ROWS = 1 << 22
 
 
-def grouped_scan(df: DataFrame, keys: list[str], order: str, value: str | None, name: str, inclusive: bool = False, hot_rows: int | None = None) -> DataFrame:
-    """Adds running sums of `value` (of ones if None) in order of an integer column within the keys."""
+def grouped_scan(df: DataFrame, keys: list[str], order: str, value: str | None, name: str, inclusive: bool = False, hot_rows: int | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Adds running sums of `value` (of ones if None) within the keys, in order of an integer column and then of ties."""
     limit = HOT_ROWS if hot_rows is None else hot_rows
     v = F.lit(1) if value is None else F.col(value)
     sizes = df.groupBy(*keys).agg(F.count("*").alias("__n"), F.min(order).alias("__lo"), F.max(order).alias("__hi")).where(F.col("__n") > limit)
@@ -28,7 +28,7 @@ def grouped_scan(df: DataFrame, keys: list[str], order: str, value: str | None,
     totals = blocked.where("__lo IS NOT NULL").groupBy(*keys, "__block").agg(F.sum(v).alias("__t"))
     before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(*keys, "__block", F.sum("__t").over(before).alias("__base"))
-    inside = Window.partitionBy(*keys, "__block").orderBy(order)
+    inside = Window.partitionBy(*keys, "__block").orderBy(order, *ties)
     if value is None:
         own = F.row_number().over(inside) - F.lit(0 if inclusive else 1)
     else:
