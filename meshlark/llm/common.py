@@ -69,6 +69,15 @@ def written(df: DataFrame, folder: str | None = None, name: str = "rows") -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_file(df: DataFrame, file: str, offset: str) -> DataFrame:
+    """Rows dealt by file and sorted by offset, so that tasks read files from front to back.
+
+    Some tasks for each core: the rows are few and narrow, the files that they point to are not.
+    """
+    tasks = 8 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks, file).sortWithinPartitions(file, offset)
+
+
 def store(uri: str):
     """(pyarrow file system, path) of a URI of the shared folder; works in Python workers."""
     from pyarrow import fs

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import documents, shared_folder, small_batches, store, unique_name, written
+from .common import by_file, documents, shared_folder, small_batches, store, unique_name, written
 
 LINE, PIXELS = 192, 64
 HEADER = 33
@@ -188,7 +188,7 @@ def read_back(manifest: DataFrame, folder: str) -> DataFrame:
         if file is not None:
             file.close()
 
-    return manifest.mapInArrow(run, RESULT)
+    return by_file(manifest, "shard", "offset").mapInArrow(run, RESULT)
 
 
 def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
