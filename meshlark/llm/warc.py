@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder, small_batches, store, unique_name, written
+from .common import by_file, shared_folder, small_batches, store, unique_name, written
 
 #: Payloads below this size are never revisits; a stream is closed beyond so many bytes of payload.
 LEAST, FILE_BYTES = 100, 128 << 20
@@ -89,10 +89,11 @@ def write_streams(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
     return written(pages.mapInArrow(run, "page_id long, file string, number long, digest string, n_bytes long"), folder, "records")
 
 
-def revisits(records: DataFrame, least: int = LEAST) -> DataFrame:
+def revisits(records: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
     """(file, number, refers_to) of the records whose payload another record holds."""
     head = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "file", "number")).alias("head")
     heads = records.where(F.col("n_bytes") >= least).groupBy("digest").agg(head, F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("head_digest"), "head")
+    heads = written(heads, folder, "heads")  # both sides are plain tables, so that the join can split a large group of copies
     return records.where(F.col("n_bytes") >= least).join(heads, F.col("digest") == F.col("head_digest")).where("file <> head.file OR number <> head.number").select("file", "number", F.col("head.page_id").alias("refers_to"))
 
 
@@ -178,7 +179,7 @@ def read_back(index: DataFrame, folder: str) -> DataFrame:
         if file is not None:
             file.close()
 
-    return index.mapInArrow(run, RESULT)
+    return by_file(index, "archive", "offset").mapInArrow(run, RESULT)
 
 
 def archived(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -187,7 +188,7 @@ def archived(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     records = write_streams(df, folder, id_col, url_col, html_col)
     files = records.groupBy("file").agg(F.count("*").alias("n"))
     # the records of one file, bounded by its size
-    again = revisits(records).groupBy("file").agg(F.collect_list(F.struct("number", "refers_to")).alias("revisits"))
+    again = revisits(records, folder).groupBy("file").agg(F.collect_list(F.struct("number", "refers_to")).alias("revisits"))
     n = max(1, min(files.count(), 100_000))
     listed = files.join(again, "file", "left").select("file", "revisits").repartition(n, "file")
     index = normalise(listed, folder)
