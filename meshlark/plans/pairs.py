@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..group import with_layers
 from ..operators import deposit, pairs
+from ..operators.points import PointMapper
 from .catalog import query
 from .fixtures import EV, MESH, draw_sql, events, uniform_sql
 
@@ -72,12 +73,24 @@ def f8_lookup_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).df.select("id", F.try_element_at(m, F.col("SPECIES_0").cast("int")).alias("value"))
 
 
-@query("SELECT p AS point_id, CAST(p * 3 + 1 AS BIGINT) AS value FROM range(1440) t(p)")
+@query("SELECT p AS point_id, CAST(p * 3 + 1 AS BIGINT) AS value_0, CAST(p % 7 AS BIGINT) AS value_1 FROM range(1440) t(p)")
 def f9_quadrature_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values set by point id and read back in that key."""
-    points = spark.range(MESH.ncells * 2).select(F.col("id").alias("point_id"), F.floor(F.col("id") / 2).cast("bigint").alias("cell"), (F.col("id") % 2).alias("vertex"))
-    values = points.select("point_id", (F.col("point_id") * 3 + 1).alias("value"))
-    return points.join(values, "point_id").select("point_id", "value")
+    p = F.col("id")
+    x = [(F.floor(p / 2) % 30 + 0.25 + (p % 2) * 0.5).alias("x_0"), (F.floor(p / 60) + 0.5).alias("x_1")]
+    points = PointMapper.of(spark.range(MESH.ncells * 2).select(p.alias("point_id"), *x), MESH)
+    values = points.df.select("point_id", (F.col("point_id") * 3 + 1).alias("value_0"), (F.col("point_id") % 7).alias("value_1"))
+    return points.set(values, 2).get(2)
+
+
+@query(EV + ", s AS (SELECT cell, CAST(sum(W_0) AS BIGINT) AS w FROM ev GROUP BY cell) SELECT cell, w AS dof_0 FROM s")
+def f9_points_and_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cell values to points and back from the first point of each cell."""
+    p = F.col("id")
+    x = [(F.floor(p / 2) % 30 + 0.25 + (p % 2) * 0.5).alias("x_0"), (F.floor(p / 60) + 0.5).alias("x_1")]
+    points = PointMapper.of(spark.range(MESH.ncells * 2).select(p.alias("point_id"), *x), MESH)
+    dofs = events(spark, sf_dir).df.groupBy("cell").agg(F.sum("W_0").alias("dof_0"))
+    return points.from_cells(dofs).to_cells(1, F.col("point_id") % 2 == 0)
 
 
 @query("SELECT CAST(c AS BIGINT) AS cell, CAST(c % 30 * 2 + 1 AS DOUBLE) AS q_0, CAST((c % 30) * (c // 30) AS DOUBLE) AS q_1 FROM range(720) t(c)")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..mesh import CartesianMesh
 from ..operators import cellwise, mapping, sampling
+from ..operators.arrays import NDArray
 from .catalog import query
 from .fixtures import EV, MESH, OR, cell_sql, draw_sql, events, orders, table, uniform_sql
 
@@ -44,9 +45,10 @@ def e5_global_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cellwise.global_reduce(events(spark, sf_dir).df, {"n": F.lit(1), "w": F.col("W_0")}, "plus", {"n": 10})
 
 
-@query(EV + "SELECT SPECIES_0 AS i, CAST(sum(W_0) AS BIGINT) AS value FROM ev GROUP BY SPECIES_0")
+@query(EV + ", w AS (SELECT SPECIES_0 AS i, sum(W_0) AS v FROM ev GROUP BY ALL) SELECT k AS i, CAST(7 + coalesce(v, 0) AS BIGINT) AS value FROM range(4) t(k) LEFT JOIN w ON w.i = k")
 def e6_local_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).df.groupBy(F.col("SPECIES_0").alias("i")).agg(F.sum("W_0").alias("value"))
+    a = NDArray.filled(spark, (4,)).fill(7).add(events(spark, sf_dir).df, [F.col("SPECIES_0")], F.col("W_0"))
+    return a.table.select("i", F.col("value").cast("bigint").alias("value"))
 
 
 @query(EV + ", h AS (SELECT SPECIES_0 AS i, CAST(trunc(P_1) AS BIGINT) AS j, CAST(sum(W_0) AS BIGINT) AS w FROM ev GROUP BY ALL) SELECT a AS i_0, b AS i_1, CAST(coalesce(w, 0) AS BIGINT) AS value FROM range(4) t(a) CROSS JOIN range(24) u(b) LEFT JOIN h ON h.i = a AND h.j = b")

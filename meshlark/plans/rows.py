@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..group import Ephemeral, Group, cell_range, disjoint_union, with_layers
 from ..operators import cellwise, products
+from ..operators.arrays import NDArray
 from ..sources import export, steps
 from ..spec import INT, Prop, Spec
 from .catalog import query
@@ -178,15 +179,17 @@ def c4_cell_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(EV + "SELECT id, W_0 * (SPECIES_0 * 10 + 1) AS W_0 FROM ev")
 def c6_local_array_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small lookup array as a literal."""
-    factor = F.element_at(F.array(*(F.lit(10 * k + 1) for k in range(4))), (F.col("SPECIES_0") + 1).cast("int"))
-    return events(spark, sf_dir).df.select("id", (F.col("W_0") * factor).alias("W_0"))
+    """An array of factors, looked up by species."""
+    k = spark.range(4)
+    factors = NDArray(k.select(F.col("id").alias("i"), (F.col("id") * 10 + 1).alias("value")), (4,))
+    return factors.read(events(spark, sf_dir).df, [F.col("SPECIES_0")], "f").select("id", (F.col("W_0") * F.col("f")).alias("W_0"))
 
 
-@query(EV + "SELECT SPECIES_0 AS i, W_0 AS value FROM ev WHERE id IN (SELECT max(id) FROM ev GROUP BY SPECIES_0)")
+@query(EV + ", w AS (SELECT SPECIES_0 * 2 + USER_0 % 2 AS i, max_by(W_0, id) AS v FROM ev GROUP BY ALL) SELECT k AS i, CAST(coalesce(v, -1) AS BIGINT) AS value FROM range(8) t(k) LEFT JOIN w ON w.i = k")
 def c7_local_array_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scatter whose last writer is the largest id."""
-    return events(spark, sf_dir).df.groupBy(F.col("SPECIES_0").alias("i")).agg(F.max_by("W_0", "id").alias("value"))
+    a = NDArray.filled(spark, (4, 2)).fill(-1)
+    return a.write(events(spark, sf_dir).df, [F.col("SPECIES_0"), F.col("USER_0") % 2], F.col("W_0"), F.col("id")).table.select("i", F.col("value").cast("bigint").alias("value"))
 
 
 @query(EV + "SELECT id, W_0 + cell % 10 AS W_0 FROM ev")

@@ -370,3 +370,31 @@ def test_scans_of_large_groups_in_blocks(spark, hot):
     for c, i, _ in rows:
         before = [v for d, j, v in rows if d == c and j <= i]
         assert seen[i] == (sum(before), len(before) - 1)
+
+
+def test_arrays_and_points(spark):
+    from meshlark.operators.arrays import NDArray
+    from meshlark.operators.points import PointMapper
+
+    g, rows = make(spark, 40)
+    a = NDArray.filled(spark, (5, 2), 1.0).add(g.df, [F.col("MARK_0"), F.col("ID_0") % 2], F.lit(1.0))
+    got = {r["i"]: r["value"] for r in a.table.collect()}
+    assert got == {m * 2 + b: 1.0 + sum(r[6] == m and r[5] % 2 == b for r in rows) for m in range(5) for b in range(2)}
+    read = {r["id"]: r["x"] for r in a.read(g.df, [F.col("MARK_0"), F.col("ID_0") % 2], "x").collect()}
+    assert read == {r[0]: got[r[6] * 2 + r[5] % 2] for r in rows}
+    with pytest.raises(Exception, match="outside the array"):
+        a.add(g.df, [F.col("MARK_0") + 5, F.lit(0)], F.lit(1.0)).table.collect()
+    pts = PointMapper.of(spark.createDataFrame([(0, 0.1, 0.1), (1, 3.9, 7.9)], "point_id long, x_0 double, x_1 double"), MESH)
+    assert [r["value_0"] for r in pts.interpolate([lambda x, y: x + y]).get(1).orderBy("point_id").collect()] == pytest.approx([0.2, 11.8])
+    with pytest.raises(Exception, match="no value"):
+        pts.set(spark.createDataFrame([(0, 1.0)], "point_id long, value_0 double"), 1).get(1).collect()
+
+
+def test_regions_count_rows(spark):
+    from meshlark.sources.metrics import Regions
+
+    g, _ = make(spark, 25)
+    regions = Regions()
+    regions.observe(g.df, "loop", "advect", SPEC, 4).write.format("noop").mode("overwrite").save()
+    assert [(e["rows"], e["bytes"], e["flops"]) for e in regions.rows()] == [(25, 25 * 48, 100)]
+    assert '"key2": "advect"' in regions.json()
