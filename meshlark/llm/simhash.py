@@ -159,6 +159,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     smallest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     linked = linked.join(smallest, "root").select(F.col("fp").alias("linked_fp"), "component_id")
     known = groups.join(linked, groups.fp == linked.linked_fp, "left").select(groups.fp.alias("group_fp"), F.coalesce("component_id", "first_id").alias("component_id"))
+    known = written(known, folder, "known")  # both sides are plain tables, so that the join can split a large group of copies
     return rows.join(known, rows.fp == known.group_fp).select("doc_id", "fp", "text_hash", "component_id")
 
 
