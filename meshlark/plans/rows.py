@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..group import Ephemeral, Group, cell_range, disjoint_union, with_layers
 from ..operators import cellwise, products
 from ..operators.arrays import NDArray
-from ..sources import export, steps
+from ..sources import export, steps, tables
 from ..spec import INT, Prop, Spec
 from .catalog import query
 from .fixtures import EV, MESH, OR, SPEC, event_rows, events, orders, table
@@ -403,6 +403,14 @@ def l7_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- rows of the inventory that need more than one of the above
 
+@query(EV + "SELECT id, cell, W_0 FROM ev WHERE cell >= 100 AND cell < 230")
+def d4_cells_at_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cell range of a stored group; other folders are pruned."""
+    path = scratch(spark)
+    tables.write(events(spark, sf_dir).df, path)
+    return tables.read(spark, path, SPEC, (100, 230)).select("id", "cell", "W_0")
+
+
 @query("SELECT * FROM (VALUES (true, true, false, false)) t(has_v, has_v2, has_v3, has_x)")
 def b2_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lookup of properties by name, and by name and components."""

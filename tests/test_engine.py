@@ -398,3 +398,16 @@ def test_regions_count_rows(spark):
     regions.observe(g.df, "loop", "advect", SPEC, 4).write.format("noop").mode("overwrite").save()
     assert [(e["rows"], e["bytes"], e["flops"]) for e in regions.rows()] == [(25, 25 * 48, 100)]
     assert '"key2": "advect"' in regions.json()
+
+
+def test_cell_ranges_prune_folders(spark, tmp_path):
+    from meshlark.sources import tables
+
+    g, rows = make(spark)
+    path = str(tmp_path / "g")
+    tables.write(g.df, path, per_bucket=16)
+    got = tables.read(spark, path, SPEC, (20, 50), per_bucket=16)
+    assert sorted(r["id"] for r in got.collect()) == sorted(r[0] for r in rows if 20 <= cell_of(r[1], r[2]) < 50)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(cell_bucket" in plan
+    assert tables.read(spark, path, SPEC).count() == 300
