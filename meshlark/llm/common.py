@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Rows per Arrow batch: long texts stay some hundred MB even if all of a batch are long.
 ARROW_ROWS = 1000
+#: Bytes of a file that one reading task takes at a time.
+STRETCH = 4 << 20
 _made: dict[int, str] = {}
 
 
@@ -70,12 +72,12 @@ def written(df: DataFrame, folder: str | None = None, name: str = "rows") -> Dat
 
 
 def by_file(df: DataFrame, file: str, offset: str) -> DataFrame:
-    """Rows dealt by file and sorted by offset, so that tasks read files from front to back.
+    """Rows dealt by stretches of files and sorted by offset, so that tasks read from front to back.
 
     Some tasks for each core: the rows are few and narrow, the files that they point to are not.
     """
     tasks = 8 * df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(tasks, file).sortWithinPartitions(file, offset)
+    return df.repartition(tasks, file, F.floor(F.col(offset) / STRETCH)).sortWithinPartitions(file, offset)
 
 
 def store(uri: str):
