@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..mesh import CartesianMesh
 from ..operators import cellwise, mapping, sampling
 from ..operators.arrays import NDArray
+from ..polygons import PolygonMesh
 from .catalog import query
 from .fixtures import EV, MESH, OR, cell_sql, draw_sql, events, orders, table, uniform_sql
 
@@ -326,3 +327,32 @@ def f13_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = MESH.cells(spark).select(F.col("cell").alias("mesh_cell"), (F.col("x_0") + 0.25).alias("lo_0"), (F.col("x_0") + 0.75).alias("hi_0"), (F.col("x_1") + 0.25).alias("lo_1"), (F.col("x_1") + 0.75).alias("hi_1"))
     listed = mapping.claim_boxes(boxes, MESH, ("mesh_cell",))
     return events(spark, sf_dir).df.where("P_0 < 30 AND P_1 < 24").join(listed, "cell").groupBy("id", F.col("mesh_cell").alias("cell")).agg(F.count("*").cast("int").alias("candidates"))
+
+
+@query(EV + "SELECT id, CAST(floor(P_0 / 2) AS BIGINT) + 15 * CAST(floor(P_1 / 3) AS BIGINT) AS mesh_cell FROM (SELECT id, P_0, P_1 FROM ev) WHERE P_0 % 2 <> 0 AND P_1 % 3 <> 0")
+def i9_unstructured_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows located on a mesh of 2 x 3 quads given by nodes and elements."""
+    n = F.col("id")
+    nodes = spark.range(16 * 9).select(n.alias("node"), (n % 16 * 2.0).alias("x"), (F.floor(n / 16) * 3.0).alias("y"))
+    low = F.floor(n / 15).cast("bigint") * 16 + n % 15
+    quads = spark.range(15 * 8).select(n.alias("element"), F.lit(3).alias("kind"), F.lit(0).alias("tag"), F.array(low, low + 1, low + 17, low + 16).alias("nodes"))
+    mesh = PolygonMesh.of(nodes, quads, MESH)
+    rows = events(spark, sf_dir).df.where("P_0 % 2 <> 0 AND P_1 % 3 <> 0")
+    return mesh.locate(rows, [F.col("P_0"), F.col("P_1")], ["id"])
+
+
+@query("SELECT * FROM (VALUES (1, 30, 0.0::DOUBLE, 30.0::DOUBLE), (2, 24, -24.0::DOUBLE, 0.0::DOUBLE), (3, 30, 0.0::DOUBLE, -30.0::DOUBLE), (4, 24, 24.0::DOUBLE, 0.0::DOUBLE)) t(boundary_group, n, normal_0, normal_1)")
+def i20_boundary_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundary edges of a polygon mesh by group, with the sum of their inward normals."""
+    b = PolygonMesh.grid(spark, 30, 24, 1.0, MESH).boundary()
+    return b.groupBy("boundary_group").agg(F.count("*").cast("int").alias("n"), *((F.sum(f"normal_{d}") + 0.0).alias(f"normal_{d}") for d in range(2)))
+
+
+@query("SELECT CAST(c AS BIGINT) AS mesh_cell, CAST(c % 3 AS BIGINT) AS n FROM range(720) t(c) WHERE c % 3 > 0")
+def k14_uniform_in_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points drawn in each polygon are found there again."""
+    mesh = PolygonMesh.grid(spark, 30, 24, 1.0, MESH)
+    wanted = spark.range(720).select(F.col("id").alias("mesh_cell"), (F.col("id") % 3).alias("n"))
+    drawn = mesh.uniform(wanted, 3).withColumnRenamed("mesh_cell", "drawn_in")
+    found = mesh.locate(drawn, [F.col("P_0"), F.col("P_1")], ["drawn_in", "k"])
+    return found.where("mesh_cell = drawn_in").groupBy("mesh_cell").agg(F.count("*").alias("n"))

@@ -411,3 +411,49 @@ def test_cell_ranges_prune_folders(spark, tmp_path):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(cell_bucket" in plan
     assert tables.read(spark, path, SPEC).count() == 300
+
+
+def polygons(spark):
+    """Two triangles and a quad: the square [0, 2] x [0, 2] beside [2, 4] x [0, 1]."""
+    from meshlark.polygons import PolygonMesh
+
+    nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 2.0, 0.0), (3, 2.0, 2.0), (4, 0.0, 2.0), (5, 4.0, 0.0), (6, 4.0, 1.0), (7, 2.0, 1.0)], "node long, x double, y double")
+    elements = spark.createDataFrame([(10, 2, 0, [1, 2, 3]), (11, 2, 0, [1, 4, 3]), (12, 3, 0, [2, 5, 6, 7]), (13, 1, 9, [5, 6])], "element long, kind int, tag int, nodes array<long>")
+    return PolygonMesh.of(nodes, elements, MESH)
+
+
+def test_polygon_cells_edges_and_normals(spark):
+    m = polygons(spark)
+    assert {tuple(r) for r in m.volumes().collect()} == {(10, 2.0), (11, 2.0), (12, 2.0)}
+    b = m.boundary().collect()
+    assert len(b) == 8  # all sides but the diagonal that two triangles share
+    middle = {10: (4 / 3, 2 / 3), 11: (2 / 3, 4 / 3), 12: (3.0, 0.5)}
+    for r in b:
+        inward = [middle[r["mesh_cell"]][d] - r["ax" if d == 0 else "ay"] for d in range(2)]
+        assert inward[0] * r["normal_0"] + inward[1] * r["normal_1"] > 0
+        assert r["normal_0"] ** 2 + r["normal_1"] ** 2 == pytest.approx(1)
+    assert [r["boundary_group"] for r in b if r["ax"] == r["bx"] == 4.0] == [9]
+
+
+def test_polygon_location_and_sampling(spark):
+    m = polygons(spark)
+    pts = m.uniform(200, 1)
+    assert pts.groupBy("mesh_cell").count().collect() and pts.count() == 600
+    found = m.locate(pts.withColumnRenamed("mesh_cell", "was"), [F.col("P_0"), F.col("P_1")], ["was", "k"])
+    assert found.where("mesh_cell IS NULL OR mesh_cell <> was").count() == 0
+    quad = pts.where("mesh_cell = 12").toPandas()
+    assert abs(quad["P_0"].mean() - 3) < 0.1 and abs(quad["P_1"].mean() - 0.5) < 0.06
+    values = spark.createDataFrame([(k, 3.0) for k in range(1, 8)], "node long, value double")
+    assert {r["n"] for r in m.counts_for(values, 0.5).collect()} == {12}
+    assert m.uniform(m.counts_for(values, 0.5), 2).count() == 36
+
+
+def test_polygon_grid(spark):
+    from meshlark.polygons import PolygonMesh
+
+    m = PolygonMesh.grid(spark, 4, 8, 1.0, MESH)
+    b = m.boundary().groupBy("boundary_group").count().collect()
+    assert {r["boundary_group"]: r["count"] for r in b} == {1: 4, 2: 8, 3: 4, 4: 8}
+    g, rows = make(spark, 60)
+    got = {r["id"]: r["mesh_cell"] for r in m.locate(g.df, g.positions, ["id"]).collect()}
+    assert got == {r[0]: int(r[1]) + 4 * int(r[2]) for r in rows}
