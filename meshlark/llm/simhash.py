@@ -172,4 +172,5 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of df without those whose component has a smaller id; rows without an id stay."""
     found = near_duplicates(df, id_col, text_col)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_hash")).distinct()
+    gone = written(gone)  # the planner then knows its size: a small one is broadcast, and the texts stay where they are
     return df.join(gone, (df[id_col] == gone["__gone_id"]) & (F.xxhash64(F.coalesce(df[text_col].cast("string"), F.lit(""))) == gone["__gone_hash"]), "left_anti")
