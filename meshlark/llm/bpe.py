@@ -41,7 +41,7 @@ LONG_UNIT, LEAF = 1024, 512
 #: Tokens that must agree on each side of a window, and the first window's tokens per side.
 AGREE, WINDOW = 2, 8
 #: Entries of the table from units to ids; it is emptied when full.
-TABLE = 150_000
+TABLE = 200_000
 #: Below this code point no character composes with another, so NFC changes nothing.
 PLAIN = 0x250
 
@@ -70,6 +70,24 @@ class _Table(dict):
         return ids
 
 
+class _Words(_Table):
+    """The table of plain words: what it lacks goes to the core with as few calls as possible."""
+
+    def __init__(self, core, mark: bytes, long):
+        super().__init__(long)
+        self.core, self.mark = core, mark
+
+    def __missing__(self, word):
+        if len(self) >= TABLE:
+            self.clear()
+        if len(word) > LONG_UNIT // 4:  # may be over the limit in bytes
+            ids = self.make(word)
+        else:
+            ids = array("I", self.core(word.encode() + self.mark)).tobytes()
+        self[word] = ids
+        return ids
+
+
 class Coder:
     """Encodes and decodes as the tokenizers library does with the file at `path`."""
 
@@ -97,7 +115,8 @@ class Coder:
         self.mark = b"\xff" if suffix else b""
         # packed ids (little-endian, 32 bits each) by unit in byte letters, and by word
         self.units = _Table(lambda u: self.packed(bytes(map(self.bytes_of.__getitem__, u)), u))
-        self.words = _Table(lambda w: self.packed(w.encode()))
+        whole = lambda w: self.packed(w.encode())
+        self.words = _Words(self.core, self.mark, whole) if self.core is not None else _Table(whole)
         lower = "Lowercase" in json.dumps(spec.get("normalizer"))
         letter, number = _class("L"), _class("N")
         # letters come first for speed: none of the endings begins with one, so the order changes no match
