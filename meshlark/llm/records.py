@@ -32,14 +32,16 @@ from .common import documents, partition_id, shared_folder, small_batches, store
 
 #: Reflected CRC-32C polynomial and the mask's addend (fixed values of the record format).
 POLYNOMIAL, MASK = 0x82F63B78, 0xA282EAD8
-BLOCK = 1024
+#: Bytes of a block, and up to which a checksum is taken byte by byte.
+BLOCK, SHORT = 512, 16
+_PLACES = np.arange(0, BLOCK * 256, 256)
 INDEX, ENTRY = "<QQQ", 24
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 @lru_cache(1)
-def _tables() -> tuple[np.ndarray, list[list[int]]]:
-    """What byte v at place p of a block adds to the block's CRC; what a state becomes after a block."""
+def _tables() -> tuple[np.ndarray, list[list[int]], list[int]]:
+    """What byte v at place p of a block adds to the block's CRC; what a state becomes after a block, and after a byte."""
     step = np.arange(256, dtype=np.uint32)
     for _ in range(8):
         step = np.where(step & 1, (step >> 1) ^ np.uint32(POLYNOMIAL), step >> 1).astype(np.uint32)
@@ -48,22 +50,23 @@ def _tables() -> tuple[np.ndarray, list[list[int]]]:
     for p in range(BLOCK - 2, -1, -1):
         place[p] = step[place[p + 1] & 0xFF] ^ (place[p + 1] >> 8)
     # a state's low byte acts like a data byte at the block's first place, and so on
-    return place.ravel(), [place[k].tolist() for k in range(4)]
+    return place.ravel(), [place[k].tolist() for k in range(4)], step.tolist()
 
 
 def crc32c(data: bytes) -> int:
-    """CRC-32C by XOR of table entries, a block of 1024 bytes at a time."""
-    if len(data) < 4:
-        table, state = _tables()[0][-256:], 0xFFFFFFFF
+    """CRC-32C: byte by byte for short data, else by XOR of table entries, a block at a time."""
+    flat, after, step = _tables()
+    state = 0xFFFFFFFF
+    if len(data) <= SHORT:
         for v in data:
-            state = int(table[(state ^ v) & 0xFF]) ^ (state >> 8)
+            state = step[(state ^ v) & 0xFF] ^ (state >> 8)
         return state ^ 0xFFFFFFFF
-    flat, after = _tables()
     pad = -len(data) % BLOCK
-    a = np.zeros(pad + len(data), np.uint8)
+    a = np.zeros(pad + len(data), np.intp)
     a[pad:] = np.frombuffer(data, np.uint8)
     a[pad : pad + 4] ^= 0xFF  # the initial state; zeros in front change nothing
-    at = a.reshape(-1, BLOCK) + np.arange(0, BLOCK * 256, 256, dtype=np.int32)
+    at = a.reshape(-1, BLOCK)
+    at += _PLACES
     state, (t0, t1, t2, t3) = 0, after
     for c in np.bitwise_xor.reduce(flat.take(at), axis=1).tolist():
         state = t0[state & 0xFF] ^ t1[state >> 8 & 0xFF] ^ t2[state >> 16 & 0xFF] ^ t3[state >> 24] ^ c
