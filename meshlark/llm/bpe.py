@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import documents, small_batches
+from .common import documents, small_batches, spread
 
 #: Units longer than this many bytes are encoded as a tree; leaves have this many bytes at most.
 LONG_UNIT, LEAF = 1024, 512
@@ -232,7 +232,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     small_batches(df.sparkSession)
-    return documents(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return spread(documents(df, id_col, text_col)).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(df: DataFrame, path: str) -> DataFrame:
@@ -263,4 +263,4 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(out_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     small_batches(df.sparkSession)
-    return documents(df, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return spread(documents(df, id_col, text_col)).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

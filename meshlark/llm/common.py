@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 1000
 #: Bytes of a file that one reading task takes at a time.
 STRETCH = 4 << 20
+#: Tables below this many bytes are dealt over all cores before work in Python.
+SMALL = 24 << 20
 _made: dict[int, str] = {}
 
 
@@ -27,6 +29,15 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over all cores: one row group may hold it whole, and one task would do all the work.
+
+    Larger tables come in enough row groups and stay where they are. Results do not depend on it.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL else df
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the rows of an Arrow batch unless the session already has a lower bound."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

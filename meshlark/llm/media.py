@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import by_file, documents, shared_folder, small_batches, store, unique_name, written
+from .common import by_file, documents, shared_folder, small_batches, spread, store, unique_name, written
 
 LINE, PIXELS = 192, 64
 HEADER = 33
@@ -136,7 +136,7 @@ def write_shards(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
         shards.close()
 
     small_batches(df.sparkSession)
-    return written(documents(df, id_col, text_col).mapInArrow(run, MANIFEST), folder, "manifest")
+    return written(spread(documents(df, id_col, text_col)).mapInArrow(run, MANIFEST), folder, "manifest")
 
 
 def metadata(manifest: DataFrame, folder: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import coder
-from .common import documents, partition_id, shared_folder, small_batches, written
+from .common import documents, partition_id, shared_folder, small_batches, spread, written
 
 CAPACITY, END = 4096, 1
 #: Rows of a block, within which a piece's rank is counted while tokenising.
@@ -66,7 +66,7 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array(kept, pa.list_(pa.int32()))] if with_ids else []), names + ["ids"] * with_ids)
 
     small_batches(df.sparkSession)
-    return documents(df, id_col, text_col).mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
+    return spread(documents(df, id_col, text_col)).mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
 
 
 def _fits(left: np.ndarray, room: int) -> int:

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import documents, small_batches
+from .common import documents, small_batches, spread
 
 KINDS = ("email", "ip", "card", "phone")
 STATES = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
@@ -336,4 +336,4 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(sha, pa.string()), pa.array([joined(s) for _, s in found], pa.string())], names)
 
     small_batches(df.sparkSession)
-    return documents(df, id_col, text_col).mapInArrow(run, RESULT)
+    return spread(documents(df, id_col, text_col)).mapInArrow(run, RESULT)

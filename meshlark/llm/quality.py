@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches
+from .common import documents, small_batches, spread
 
 WORDS, RANK = 4096, 8
 #: Labelled rows that the machine learns from, at most.
@@ -168,7 +168,7 @@ def scored(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(machine.score(b.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
     small_batches(docs.sparkSession)
-    out = documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    out = spread(documents(docs, id_col, text_col)).mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -180,4 +180,4 @@ def accepted(docs: DataFrame, machine: Machine, text_col: str = "text", threshol
         return pd.Series(machine.score(texts.tolist()))
 
     small_batches(docs.sparkSession)
-    return docs.where(score(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) >= threshold)
+    return spread(docs).where(score(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) >= threshold)

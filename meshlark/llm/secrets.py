@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches
+from .common import documents, small_batches, spread
 from .pii import joined
 
 KINDS = ("assign", "access", "hex", "random")
@@ -120,7 +120,7 @@ def secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(sha, pa.string()), pa.array([joined(s, KINDS) for _, s in found], pa.string())], names)
 
     small_batches(df.sparkSession)
-    return documents(df, id_col, text_col).mapInArrow(run, RESULT)
+    return spread(documents(df, id_col, text_col)).mapInArrow(run, RESULT)
 
 
 def mask(text: str, mark: str = "[SECRET]") -> str:
@@ -144,7 +144,7 @@ def redacted(df: DataFrame, text_col: str = "text", size_col: str | None = "n_ch
         return texts.map(mask, na_action="ignore")
 
     small_batches(df.sparkSession)
-    clean = df.withColumn(text_col, masked(F.col(text_col)))
+    clean = spread(df).withColumn(text_col, masked(F.col(text_col)))
     if size_col in df.columns:
         kind = df.schema[size_col].dataType
         clean = clean.withColumn(size_col, F.when(F.col(text_col).isNull(), F.col(size_col)).otherwise(F.length(text_col)).cast(kind))

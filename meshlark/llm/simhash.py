@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, shared_folder, small_batches, written
+from .common import documents, shared_folder, small_batches, spread, written
 
 SHINGLE, SEED, BITS = 3, 42, 3
 SHARED = 8 - BITS
@@ -69,7 +69,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), b.column(2)], ["doc_id", "fp", "text_hash"])
 
     small_batches(df.sparkSession)
-    return documents(df, id_col, text_col).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, fp long, text_hash long")
+    return spread(documents(df, id_col, text_col)).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 def _byte(fp: Column, p: int) -> Column:
