@@ -3,11 +3,14 @@
 Base spans come from the three patterns. Two first-order Markov models over characters, one
 trained from labelled samples of random strings and one from ordinary identifiers and words,
 add spans: a run of key characters is a secret if its log-likelihood ratio per character
-exceeds the threshold.
-
-Edge cases: null or empty text has no spans (counts 0, digest of no bytes, empty spans); long
-runs are scored whole; repeated rows give repeated results; null ids stay null; an empty table
-gives an empty table; other columns are ignored.
+exceeds the threshold. A key may be attached to ordinary text by "/", "_", "-" or "=", so in a run
+that is none as a whole the best stretches are sought (at least SHORTEST characters whose ratios
+exceed the threshold by MARGIN in sum) and widened to the separators around them. Runs and
+stretches below SHORTEST = 16 characters are not scored: too few to tell a key from a word.
+
+Edge cases: null or empty text has no spans (counts 0, digest of no bytes, empty spans); a run is
+cut at base spans and its parts are scored, in time linear in the run; repeated rows give repeated
+results; null ids stay null; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,9 +36,14 @@ KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 #: Mean log-likelihood ratio per character from which a run counts as random.
 THRESHOLD = 0.5
+#: Characters of a run or stretch at least, by how much a stretch exceeds the threshold in sum, and the fall that ends it.
+SHORTEST, MARGIN, FALL = 16, 10.0, 8.0
+#: Characters from which a run may count as random as a whole, by its mean.
+WHOLE = 20
+SEPARATORS = "/_-="
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _CODE = np.full(128, len(ALPHABET) - 1, np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
@@ -89,6 +98,63 @@ def ratio(run: str) -> float:
     return float(ratios()[c[:-1], c[1:]].mean())
 
 
+def widened(run: str, cut: list[int], top: int, end: int) -> tuple[int, int]:
+    """A stretch (first, last character) made to end at separators: a word at its end is left out if less than half of it is inside."""
+    while top < end and run[top] in SEPARATORS:
+        top += 1
+    while end > top and run[end] in SEPARATORS:
+        end -= 1
+    k = bisect_left(cut, top)  # cut[k - 1] and cut[k] enclose the first word
+    top = cut[k] + 1 if cut[k] < end and 2 * (cut[k] - top) < cut[k] - cut[k - 1] - 1 else cut[k - 1] + 1
+    k = bisect_left(cut, end)
+    end = cut[k - 1] - 1 if cut[k - 1] > top and 2 * (end - cut[k - 1]) < cut[k] - cut[k - 1] - 1 else cut[k] - 1
+    return top, end
+
+
+def stretches(run: str) -> list[tuple[int, int]]:
+    """(start, end) of the random parts of a run of key characters: the whole run, or its best stretches."""
+    c = _CODE[np.frombuffer(run.encode("ascii"), np.uint8)]
+    over = ratios()[c[:-1], c[1:]] - THRESHOLD
+    if len(run) >= WHOLE and over.sum() > 0:
+        return [(0, len(run))]
+    sums = [0.0, *over.cumsum().tolist()]
+    out: list[tuple[int, int]] = []
+    cut = [-1, *(k for k, x in enumerate(run) if x in SEPARATORS), len(run)]
+    first = 0
+    while first + SHORTEST <= len(run):
+        low, best, top, end = first, MARGIN, 0, -1
+        for at in range(first + SHORTEST - 1, len(run)):  # a stretch is of the characters low to at
+            back = at - SHORTEST + 1
+            if sums[back] < sums[low] and end < 0:
+                low = back
+            gain = sums[at] - sums[low]
+            if gain > best:
+                best, top, end = gain, low, at
+            elif end >= 0 and gain < best - FALL:
+                break
+        if end < 0:
+            break
+        first = end + 1  # what was read beyond the end rises by less than MARGIN, so no character is read three times
+        top, end = widened(run, cut, top, end)
+        top = max(top, out[-1][1] if out else 0)
+        if top <= end:
+            out.append((top, end + 1))
+        first = max(first, end + 1)
+    return out
+
+
+def random_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Random parts of the runs of a text, outside its base spans."""
+    out = []
+    for m in _RUN.finditer(text):
+        at = m.start()
+        for a, _, b in [*(s for s in base if s[0] < m.end() and s[2] > m.start()), (m.end(), 3, m.end())]:
+            if a - at >= SHORTEST:
+                out += [(at + lo, 3, at + hi) for lo, hi in stretches(text[at:a])]
+            at = max(at, b)
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the patterns' matches that pass their checks, sorted."""
     out = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 8]
@@ -101,7 +167,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans) of a text."""
     base = base_spans(text)
-    added = [(m.start(), 3, m.end()) for m in _RUN.finditer(text) if not any(a < m.end() and m.start() < b for a, _, b in base) and ratio(m.group()) > THRESHOLD]
+    added = random_spans(text, base)
     return base, sorted(base + added) if added else base
 
 

@@ -1,0 +1,59 @@
+"""Random keys attached to ordinary text."""
+
+import random
+import time
+
+from meshlark.llm import secrets
+
+SETS = [secrets.ALPHABET[:62], secrets.ALPHABET[:62] + "_-", secrets.ALPHABET[26:62]]
+
+
+def keys(n, length, seed=8):
+    r = random.Random(seed)
+    return ["".join(r.choice(s) for _ in range(length)) for s in (r.choice(SETS) for _ in range(n))]
+
+
+def covered(text, key):
+    """Share of the key's characters that lie in spans."""
+    at = text.index(key)
+    inside = {p for s, _, e in secrets.all_spans(text)[1] for p in range(s, e)}
+    return sum(p in inside for p in range(at, at + len(key))) / len(key)
+
+
+def test_keys_in_paths_and_assignments():
+    for form in ("see https://example.org/api/hooks/services/incoming/{} now", "name_of_service={}", "production_service_prefix_{}", "{}/path/of/the/ordinary/file/list", "path/to/main/{}/data/file/index/count"):
+        for length, least in ((32, 0.97), (20, 0.9)):
+            found = [covered(form.format(k), k) for k in keys(200, length)]
+            assert sum(x > 0.9 for x in found) / len(found) > least, (form, length)
+
+
+def test_keys_under_20_characters_alone():
+    assert sum(covered(f"x {k} y", k) == 1 for k in keys(200, 18)) / 200 > 0.9
+
+
+def test_two_keys_in_a_run_and_most_ordinary_text_kept():
+    a, b = "q7ZkX02vJw9Tb4Lm8RyQ5sGd", "Hx3Wn6Yc1Vf0Pz7Kj2Uq9Be4"
+    middle = "/the/ordinary/path/of/the/station/and/the/other/list" * 3 + "/"
+    masked = secrets.mask(f"go the/station/file/{a}{middle}{b} end")  # a word beside a key may go with it
+    assert masked.count("[SECRET]") == 2 and a not in masked and b not in masked
+    assert masked.startswith("go the/station/") and middle[:-11] in masked and masked.endswith(" end")
+
+
+def test_key_beside_a_base_span():
+    a = "q7ZkX02vJw9Tb4Lm8RyQ5sGd"
+    assert secrets.mask(f"{a}/token=abcdefgh12 x") == "[SECRET][SECRET] x"
+
+
+def test_ordinary_paths_are_left_alone():
+    _, ordinary = secrets.samples(1500, seed=78)
+    r = random.Random(2)
+    paths = ["/".join(r.choice(ordinary) for _ in range(3)) for _ in range(2000)]
+    assert sum(any(k == 3 for _, k, _ in secrets.all_spans(p)[1]) for p in paths) / len(paths) < 0.01
+
+
+def test_linear_on_long_runs():
+    key, word = "q7ZkX02vJw9Tb4Lm8RyQ", "/the/ordinary/path/of/the/station/file"
+    for t in ((key + word) * 4000, word * 8000, "ab" * 150_000, (key[:9] + word) * 5000):
+        began = time.time()
+        secrets.all_spans(t)
+        assert time.time() - began < 10
