@@ -8,7 +8,8 @@ ascent on the exact likelihood (forward-backward), from a small labelled table o
 
 A word without a digit, "@" or bracketed "at" is outside by definition of the model, in
 training as in decoding. The chain thereby falls apart at such words exactly, so Viterbi runs
-over the stretches between them, in numpy batches of equal length.
+over the stretches between them, in numpy batches of equal length. Long stretches are read in
+blocks that carry scores and back-pointers on, so that no block's end changes a result.
 
 Edge cases: null or empty text has no spans (counts 0, digest of no bytes, empty spans);
 repeated rows give repeated results; null ids stay null; an empty table gives an empty table;
@@ -40,7 +41,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MAYBE = re.compile(r"[0-9@]|[\[({]at[\])}]")
 _WORD = re.compile(r"\S+")
-#: Stretches longer than this are decoded in pieces of this length, so that a text of numbers only stays bounded.
+#: Words whose scores are held at a time; of a longer stretch only back-pointers and states are kept.
 STRETCH = 256
 
 
@@ -231,15 +232,19 @@ class Field:
         for i, c in enumerate(chains):
             by_length[len(c)].append(i)
         for length, which in by_length.items():
-            e = np.array([[self.scores(w) for w in chains[i]] for i in which])
-            best, back = self.starts + e[:, 0], []
-            for t in range(1, length):
+            back = np.empty((length - 1, len(which), len(STATES)), np.uint8)
+            for t in range(length):
+                if t % STRETCH == 0:
+                    e = np.array([[self.scores(w) for w in chains[i][t : t + STRETCH]] for i in which])
+                if t == 0:
+                    best = self.starts + e[:, 0]
+                    continue
                 through = best[:, :, None] + self.moves
-                back.append(through.argmax(1))
-                best = through.max(1) + e[:, t]
+                back[t - 1] = through.argmax(1)
+                best = through.max(1) + e[:, t % STRETCH]
             state = best.argmax(1)
             path = [state]
-            for b in reversed(back):
+            for b in back[::-1]:
                 state = b[np.arange(len(which)), state]
                 path.append(state)
             for i, p in zip(which, np.array(path[::-1]).T.tolist()):
@@ -268,7 +273,7 @@ def stretches(text: str) -> Iterator[list[tuple[int, int, str]]]:
         core = core[lead:]
         if core and not plain(core):
             run.append((m.start() + lead, m.start() + lead + len(core), core[:512]))
-        if len(run) == STRETCH or (run and w[-1] in _OUTER):  # outer punctuation ends a stretch
+        if run and w[-1] in _OUTER:  # outer punctuation ends a stretch
             yield run
             run = []
     if run:
