@@ -432,11 +432,18 @@ def c5_declared_access(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(EV + ", m AS (SELECT cell, layer AS row, 0 AS col, W_0 AS value FROM lay WHERE layer < 3) SELECT cell, row, col, CAST(CASE WHEN row = 1 THEN -5 ELSE value END AS BIGINT) AS value FROM m")
 def c9_cell_rows_write(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A per-cell table with as many rows as the cell has, and a write to one of them."""
+    """A per-cell table of a cell's first three rows at most, and a write to one of them."""
     m = with_layers(events(spark, sf_dir).df).where("layer < 3").select("cell", F.col("layer").alias("row"), F.lit(0).alias("col"), F.col("W_0").alias("value"))
     return cellwise.set_values(m, m.where("row = 1").withColumn("value", F.lit(-5).cast("bigint")))
 
 
+@query(EV + ", m AS (SELECT cell, layer AS row, 0 AS col, W_0 AS value FROM lay) SELECT cell, row, col, CAST(CASE WHEN row = 1 THEN -5 ELSE value END AS BIGINT) AS value FROM m")
+def c9_cell_rows_write_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As c9_cell_rows_write, with all rows of every cell."""
+    m = with_layers(events(spark, sf_dir).df).select("cell", F.col("layer").alias("row"), F.lit(0).alias("col"), F.col("W_0").alias("value"))
+    return cellwise.set_values(m, m.where("row = 1").withColumn("value", F.lit(-5).cast("bigint")))
+
+
 @query(EV + "SELECT id, W_0 * W_0 + 2 * W_0 * SPECIES_0 AS v FROM ev")
 def c11_scratch_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intermediate values of a kernel are columns that go again."""
