@@ -19,3 +19,8 @@ def run(spark, name):
 def test_cell_table_has_all_rows_of_each_cell(spark):
     got = run(spark, "c9_cell_rows_write_all")
     assert got.count() == events(spark, SF).df.count() and got.agg(F.max("row")).first()[0] >= 3
+
+
+def test_direct_access_reaches_all_events(spark):
+    larger = "/root/testdata/sf0.01"  # more ids than c13_direct_access takes
+    assert catalog.QUERIES["c13_direct_access_all"](spark, larger).count() == events(spark, larger).df.count() > 1000
