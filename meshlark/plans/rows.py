@@ -73,7 +73,7 @@ def a7_array_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(EV + "SELECT P_0, P_1, W_0, 1 AS step FROM ev WHERE id % 10 = 1")
 def a8_read_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, t = events(spark, sf_dir), steps.Trajectory(scratch(spark), SPEC, ["W"])
-    for k in range(3):
+    for k in range(10):  # the ten steps hold every row
         t.write(g.df.where(F.col("id") % 10 == k))
     return t.read(spark, 1).select("P_0", "P_1", "W_0", "step")
 
@@ -91,6 +91,14 @@ def a10_get_particles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.get(requests).select("ordinal", "id", "W_0")
 
 
+@query(EV + "SELECT row_number() OVER (ORDER BY id) - 1 AS ordinal, id, W_0 FROM lay")
+def a10_get_all_particles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As a10_get_particles, for every (cell, layer)."""
+    g = events(spark, sf_dir)
+    requests = cellwise.exclusive_scan(with_layers(g.df).withColumn("one", F.lit(1)), "id", "one", "ordinal").select("ordinal", "cell", "layer")
+    return g.get(requests).select("ordinal", "id", "W_0")
+
+
 @query(EV + "SELECT layer, P_0, P_1 FROM lay WHERE cell = 100")
 def a11_get_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).cell_rows(100, "P")

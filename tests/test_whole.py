@@ -24,3 +24,14 @@ def test_cell_table_has_all_rows_of_each_cell(spark):
 def test_direct_access_reaches_all_events(spark):
     larger = "/root/testdata/sf0.01"  # more ids than c13_direct_access takes
     assert catalog.QUERIES["c13_direct_access_all"](spark, larger).count() == events(spark, larger).df.count() > 1000
+
+
+def test_steps_hold_all_events(spark, monkeypatch):
+    rows, write = [], steps.Trajectory.write
+    monkeypatch.setattr(steps.Trajectory, "write", lambda self, df, step=None: rows.append(df.count()) or write(self, df, step))
+    run(spark, "a8_read_step")
+    assert sum(rows) == events(spark, SF).df.count()
+
+
+def test_every_place_is_looked_up(spark):
+    assert run(spark, "a10_get_all_particles").count() == events(spark, SF).df.count()
