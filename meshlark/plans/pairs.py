@@ -50,9 +50,10 @@ def f4_pair_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT * FROM (VALUES (CAST(3 AS BIGINT), 0, 1, 2)) t(cell, wave, row, n)")
 def f5_validate_pair_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A valid list and one pair that repeats row 1 of cell 3."""
+    """The table's pair list as wave 2, and planted waves of which one repeats row 1 of cell 3."""
     bad = spark.createDataFrame([(3, 0, 0, 1), (3, 0, 1, 2), (3, 1, 1, 2), (4, 0, 0, 1)], "cell long, wave int, i int, j int")
-    return pairs.invalid_rows(bad).withColumn("n", F.col("n").cast("int"))
+    listed = neighbours_list(events(spark, sf_dir).df).select("cell", (F.col("wave") + 2).cast("int").alias("wave"), F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"))
+    return pairs.invalid_rows(listed.unionByName(bad)).withColumn("n", F.col("n").cast("int"))
 
 
 @query(EV + _LIST + ", s AS (SELECT cell, sum(count(*)) OVER (ORDER BY cell) - count(*) AS start FROM pl GROUP BY cell) SELECT cell, k, CAST(start + k AS BIGINT) AS loop_index FROM pl JOIN s USING (cell)")

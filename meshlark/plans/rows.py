@@ -403,6 +403,14 @@ def l6_product_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return products.add_matrix(g, rows, Spec((SPEC.get("W"),)), {"USER_0": 9}).df.agg(F.count("*").alias("n"), F.sum("W_0").alias("w"), F.sum("USER_0").alias("u"))
 
 
+@query(EV + "SELECT count(*) AS n, CAST(sum(W_0) AS BIGINT) AS w, CAST(sum(USER_0) AS BIGINT) AS u FROM (SELECT W_0, USER_0 FROM ev UNION ALL SELECT 7, 9 FROM ev)")
+def l6_product_matrix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As l6_product_matrix, with a product of every event."""
+    g = events(spark, sf_dir)
+    rows = g.df.select((F.col("id") + 10**9).alias("id"), "cell", F.lit(7).alias("W_0"))
+    return products.add_matrix(g, rows, Spec((SPEC.get("W"),)), {"USER_0": 9}).df.agg(F.count("*").alias("n"), F.sum("W_0").alias("w"), F.sum("USER_0").alias("u"))
+
+
 @query(EV + "SELECT id, cell, CAST(5 AS BIGINT) AS SPECIES_0, W_0 FROM ev")
 def l7_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = Spec((SPEC.get("SPECIES"), SPEC.get("W")))

@@ -35,3 +35,14 @@ def test_steps_hold_all_events(spark, monkeypatch):
 
 def test_every_place_is_looked_up(spark):
     assert run(spark, "a10_get_all_particles").count() == events(spark, SF).df.count()
+
+
+def test_product_of_every_event(spark):
+    assert run(spark, "l6_product_matrix_all").first()["n"] == 2 * events(spark, SF).df.count()
+
+
+def test_pair_list_of_the_table_is_validated(spark, monkeypatch):
+    seen, invalid = [], pairs.invalid_rows
+    monkeypatch.setattr(pairs, "invalid_rows", lambda df: seen.append(df.count()) or invalid(df))
+    run(spark, "f5_validate_pair_list")
+    assert seen == [neighbours_list(events(spark, SF).df).count() + 4]
