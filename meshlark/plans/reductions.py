@@ -195,12 +195,25 @@ def triangles(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 @query(EV + f"SELECT id, (CAST(floor(P_0 / 3) AS BIGINT) + 10 * CAST(floor(P_1 / 3) AS BIGINT)) * 2 + {_TRI} AS mesh_cell FROM ev WHERE P_0 % 3 <> 0 AND P_1 % 3 <> 0")
 def i9_point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Location on a triangle mesh by a grid-bucket join and crossing counts; on the diagonal the later candidate wins."""
+    return _in_triangles(spark, events(spark, sf_dir).df.where((F.col("P_0") % 3 != 0) & (F.col("P_1") % 3 != 0)))
+
+
+# on an edge counts as inside and the last candidate wins: the box right of and above a grid line, but for the domain's own edges
+_BOX3 = ["least(floor(P_0 / 3), 9)", "least(floor(P_1 / 3), 7)"]
+
+
+@query(EV + f"SELECT id, CASE WHEN P_0 BETWEEN 0 AND 30 AND P_1 BETWEEN 0 AND 24 THEN (CAST({_BOX3[0]} AS BIGINT) + 10 * CAST({_BOX3[1]} AS BIGINT)) * 2 + CASE WHEN P_0 - 3 * {_BOX3[0]} <= P_1 - 3 * {_BOX3[1]} THEN 1 ELSE 0 END END AS mesh_cell FROM ev")
+def i9_point_in_polygon_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As i9_point_in_polygon, with the points on grid lines."""
+    return _in_triangles(spark, events(spark, sf_dir).df)
+
+
+def _in_triangles(spark: SparkSession, rows: DataFrame) -> DataFrame:
     corners, edges = triangles(spark)
     vertices = corners.select("mesh_cell", F.inline(F.array(*(F.struct(F.col(f"x_{k}").alias("x"), F.col(f"y_{k}").alias("y")) for k in range(3))))).select("mesh_cell", F.col("x").alias("x_0"), F.col("y").alias("x_1"))
     boxes = mapping.bounding_boxes(vertices, "mesh_cell")
     candidates = mapping.claim_boxes(boxes, MESH, ("mesh_cell",)).select("cell", "mesh_cell", F.col("mesh_cell").alias("ord"))
-    points = events(spark, sf_dir).df.where((F.col("P_0") % 3 != 0) & (F.col("P_1") % 3 != 0)).select("id", "P_0", "P_1")
-    return mapping.locate(points, edges, candidates, MESH, [F.col("P_0"), F.col("P_1")], ["id"])
+    return mapping.locate(rows.select("id", "P_0", "P_1"), edges, candidates, MESH, [F.col("P_0"), F.col("P_1")], ["id"])
 
 
 @query(EV + f"SELECT id, {cell_sql('P_0 + 4 * V_0', 'P_1 + 4 * V_1')} AS cell FROM ev")
@@ -332,12 +345,21 @@ def f13_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(EV + "SELECT id, CAST(floor(P_0 / 2) AS BIGINT) + 15 * CAST(floor(P_1 / 3) AS BIGINT) AS mesh_cell FROM (SELECT id, P_0, P_1 FROM ev) WHERE P_0 % 2 <> 0 AND P_1 % 3 <> 0")
 def i9_unstructured_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows located on a mesh of 2 x 3 quads given by nodes and elements."""
+    return _in_quads(spark, events(spark, sf_dir).df.where("P_0 % 2 <> 0 AND P_1 % 3 <> 0"))
+
+
+@query(EV + "SELECT id, CASE WHEN P_0 BETWEEN 0 AND 30 AND P_1 BETWEEN 0 AND 24 THEN CAST(least(floor(P_0 / 2), 14) AS BIGINT) + 15 * CAST(least(floor(P_1 / 3), 7) AS BIGINT) END AS mesh_cell FROM ev")
+def i9_unstructured_mesh_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As i9_unstructured_mesh, with the points on grid lines."""
+    return _in_quads(spark, events(spark, sf_dir).df)
+
+
+def _in_quads(spark: SparkSession, rows: DataFrame) -> DataFrame:
     n = F.col("id")
     nodes = spark.range(16 * 9).select(n.alias("node"), (n % 16 * 2.0).alias("x"), (F.floor(n / 16) * 3.0).alias("y"))
     low = F.floor(n / 15).cast("bigint") * 16 + n % 15
     quads = spark.range(15 * 8).select(n.alias("element"), F.lit(3).alias("kind"), F.lit(0).alias("tag"), F.array(low, low + 1, low + 17, low + 16).alias("nodes"))
     mesh = PolygonMesh.of(nodes, quads, MESH)
-    rows = events(spark, sf_dir).df.where("P_0 % 2 <> 0 AND P_1 % 3 <> 0")
     return mesh.locate(rows, [F.col("P_0"), F.col("P_1")], ["id"])
 
 

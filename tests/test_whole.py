@@ -46,3 +46,21 @@ def test_pair_list_of_the_table_is_validated(spark, monkeypatch):
     monkeypatch.setattr(pairs, "invalid_rows", lambda df: seen.append(df.count()) or invalid(df))
     run(spark, "f5_validate_pair_list")
     assert seen == [neighbours_list(events(spark, SF).df).count() + 4]
+
+
+def test_points_on_grid_lines_are_located(spark):
+    from meshlark.plans.reductions import _in_quads, _in_triangles
+
+    places = [(x / 2, y / 2) for x in range(61) for y in range(49)] + [(30.5, 3.0), (-0.5, 3.0)]
+    points = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(places)], "id long, P_0 double, P_1 double")
+    inside = lambda x, y: 0 <= x <= 30 and 0 <= y <= 24
+    triangles = {i: m for i, m in _in_triangles(spark, points).select("id", "mesh_cell").collect()}
+    quads = {i: m for i, m in _in_quads(spark, points).select("id", "mesh_cell").collect()}
+    for k, (x, y) in enumerate(places):
+        in_box = lambda c, n, w, h: w * (c % n) <= x <= w * (c % n + 1) and h * (c // n) <= y <= h * (c // n + 1)
+        side = lambda t: (y - 3 * (t // 20)) - (x - 3 * (t // 2 % 10))
+        want = max((t for t in range(160) if in_box(t // 2, 10, 3, 3) and (side(t) >= 0 if t % 2 else side(t) <= 0)), default=None)
+        assert triangles[k] == want and (want is not None) == inside(x, y), (x, y)
+        assert quads[k] == max((c for c in range(120) if in_box(c, 15, 2, 3)), default=None), (x, y)
+    for name in ("i9_point_in_polygon_all", "i9_unstructured_mesh_all"):
+        assert run(spark, name).count() == events(spark, SF).df.count()
