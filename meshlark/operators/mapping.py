@@ -68,6 +68,21 @@ def locate(points: DataFrame, edges: DataFrame, candidates: DataFrame, mesh: Car
     return points.select(*keep).join(best, keep, "left")
 
 
+def locate_convex(points: DataFrame, faces: DataFrame, candidates: DataFrame, mesh: CartesianMesh, position: list[Column], keep: list[str]) -> DataFrame:
+    """(keep..., mesh_cell): the convex cell of any dimension that holds each point, null if none.
+
+    faces is (mesh_cell, n_0.., d), a half-space n . x >= d a row; a point on a face is inside, and
+    of several cells the last candidate wins. Candidates come from a grid-bucket join, as in locate().
+    """
+    at = points.withColumn("cell", mesh.cell(position)).withColumns({f"p_{k}": p for k, p in enumerate(position)}).select(*keep, "cell", *(f"p_{k}" for k in range(len(position))))
+    height = -F.col("d")
+    for k in range(len(position)):
+        height = height + F.col(f"n_{k}") * F.col(f"p_{k}")
+    tested = at.join(candidates, "cell").join(faces, "mesh_cell").groupBy(*keep, "mesh_cell", "ord").agg(F.min(height).alias("h")).where("h >= 0")
+    best = tested.groupBy(*keep).agg(F.max_by("mesh_cell", "ord").alias("mesh_cell"))
+    return points.select(*keep).join(best, keep, "left")
+
+
 def exchange(contributions: DataFrame, by: str = "geom_id", value: str = "value") -> DataFrame:
     """Sums per surface element; the reverse is a join on the element."""
     return contributions.groupBy(by).agg(F.sum(value).alias(value))

@@ -334,6 +334,37 @@ def i10_cells_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("cell").agg(F.count("*").alias("n"), F.sum("label").alias("labels"))
 
 
+def prisms(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """(boxes (mesh_cell, lo_0.., hi_0..), faces (mesh_cell, n_0.., d)) of 128 prisms: 64 boxes of width 0.5, each cut along x = y."""
+    c = F.floor(F.col("id") / 2)
+    x = [(F.floor(c / 4**k) % 4 * 0.5).cast("double") for k in range(3)]
+    boxes = spark.range(128).select(F.col("id").alias("mesh_cell"), *(x[k].alias(f"lo_{k}") for k in range(3)), *((x[k] + 0.5).alias(f"hi_{k}") for k in range(3)))
+    face = lambda n, d: F.struct(*(F.lit(float(v)).alias(f"n_{k}") for k, v in enumerate(n)), d.alias("d"))
+    lo, hi = [F.col(f"lo_{k}") for k in range(3)], [F.col(f"hi_{k}") for k in range(3)]
+    ends = (face((0, 0, 1), lo[2]), face((0, 0, -1), -hi[2]))
+    lower = F.array(face((0, 1, 0), lo[1]), face((-1, 0, 0), -hi[0]), face((1, -1, 0), lo[0] - lo[1]), *ends)
+    upper = F.array(face((1, 0, 0), lo[0]), face((0, -1, 0), -hi[1]), face((-1, 1, 0), lo[1] - lo[0]), *ends)
+    return boxes, boxes.select("mesh_cell", F.inline(F.when(F.col("mesh_cell") % 2 == 0, lower).otherwise(upper)))
+
+
+def _in_prisms(spark: SparkSession, points: DataFrame) -> DataFrame:
+    """(id, mesh_cell) of points (id, x_0, x_1, x_2)."""
+    mesh = CartesianMesh((2, 2, 2), 1.0, 2)
+    boxes, faces = prisms(spark)
+    candidates = mapping.claim_boxes(boxes, mesh, ("mesh_cell",)).select("cell", "mesh_cell", F.col("mesh_cell").alias("ord"))
+    return mapping.locate_convex(points, faces, candidates, mesh, [F.col(f"x_{k}") for k in range(3)], ["id"])
+
+
+_VB = [f"least(floor({v} * 2), 3)" for v in _V]
+
+
+@query(f"SELECT vec_id AS id, CASE WHEN {' AND '.join(f'{v} BETWEEN 0 AND 2' for v in _V)} THEN CAST(2 * ({_VB[0]} + 4 * {_VB[1]} + 16 * {_VB[2]}) + CASE WHEN {_V[0]} - {_VB[0]} / 2 <= {_V[1]} - {_VB[1]} / 2 THEN 1 ELSE 0 END AS BIGINT) END AS mesh_cell FROM embeddings")
+def i10_point_in_polyhedron(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors located on a mesh of 3-D prisms by a grid-bucket join and half-space tests."""
+    x = [(F.element_at("embedding", k + 1).cast("double") + 1).alias(f"x_{k}") for k in range(3)]
+    return _in_prisms(spark, table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), *x))
+
+
 @query(EV + "SELECT id, CAST(trunc(P_0) AS BIGINT) + 30 * CAST(trunc(P_1) AS BIGINT) AS cell, 1 AS candidates FROM ev WHERE P_0 < 30 AND P_1 < 24")
 def f13_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of each point by its overlay cell, where every overlay cell is a candidate of itself."""

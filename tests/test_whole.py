@@ -64,3 +64,16 @@ def test_points_on_grid_lines_are_located(spark):
         assert quads[k] == max((c for c in range(120) if in_box(c, 15, 2, 3)), default=None), (x, y)
     for name in ("i9_point_in_polygon_all", "i9_unstructured_mesh_all"):
         assert run(spark, name).count() == events(spark, SF).df.count()
+
+
+def test_points_are_located_in_3d(spark):
+    from meshlark.plans.reductions import _in_prisms
+
+    places = [(x / 4, y / 4, z / 4) for x in range(-1, 10) for y in range(-1, 10) for z in range(-1, 10)]
+    points = spark.createDataFrame([(k, *p) for k, p in enumerate(places)], "id long, x_0 double, x_1 double, x_2 double")
+    got = {i: m for i, m in _in_prisms(spark, points).select("id", "mesh_cell").collect()}
+    for k, p in enumerate(places):
+        lows = lambda t: [0.5 * (t // 2 // 4**d % 4) for d in range(3)]
+        side = lambda t: (p[1] - lows(t)[1]) - (p[0] - lows(t)[0])
+        want = [t for t in range(128) if all(lo <= v <= lo + 0.5 for lo, v in zip(lows(t), p)) and (side(t) >= 0 if t % 2 else side(t) <= 0)]
+        assert got[k] == max(want, default=None), p
