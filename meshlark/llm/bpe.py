@@ -1,19 +1,29 @@
 """Operator 1: BPE encoding and decoding by tree concatenation.
 
-A text falls into units by the tokenizer's own pre-tokenizer; units are independent, so a
-bounded table from unit to ids serves most of them. Units that it lacks are merged by
-tiktoken's core over the same vocabulary, with the byte 0xFF (never part of UTF-8) as the
-mark of a word's end. Both engines take the same steps if each token's own text encodes to
-that token: whatever happens inside two neighbouring tokens' span happens as it would in the
-span alone, and there the last step is the listed merge. Tokens of which that is not so are
+A text is cut into leaves of LEAF characters, wherever the cuts fall. Each leaf is encoded by
+itself; neighbours are then joined pairwise up a tree. At each join a window around the seam, a
+few pre-tokens of both sides, is encoded again and grows until its outer pre-tokens are those that
+both sides had there; what lies outside the window then stands. This is exact: pre-tokens are found
+by a scan from left to right that remembers nothing and looks at most three characters ahead, so a
+start of a pre-token four of them before a seam is a start in the whole text too, and from the
+first start that the window's scan shares with the right side's, both scans are the same.
+
+Pre-tokens of a leaf or a window are words, and a word's ids come from a bounded table. Words that
+it lacks are merged by tiktoken's core over the same vocabulary, with the byte 0xFF (never part of
+UTF-8) as the mark of a word's end. Both engines take the same steps if each token's own text
+encodes to that token: whatever happens inside two neighbouring tokens' span happens as it would in
+the span alone, and there the last step is the listed merge. Tokens of which that is not so are
 never made by the library, so they are taken out of the core's vocabulary when loading; if
-the vocabulary's order is not that of its merges, the library's own model does this work. A long unit (text that the
-pre-tokenizer cannot split) is cut into leaves that are encoded in parallel; neighbours are
-joined pairwise up a tree. At each join a window around the seam is re-encoded and grows
-until its outer tokens equal what both sides had there; the ids outside the window then
-stand, since a BPE sequence is the encoding of its text exactly if each neighbouring pair is
+the vocabulary's order is not that of its merges, the library's own model does this work. A word of
+more than LONG_UNIT bytes, which the pre-tokenizer cannot split, becomes a tree of its own: its
+leaves are encoded by the library's threads in parallel, and at each join the window is one of
+tokens and grows until its outer tokens equal what both sides had there; the ids outside the window
+then stand, since a BPE sequence is the encoding of its text exactly if each neighbouring pair is
 the encoding of its own text, and every pair lies wholly in one of the three encodings.
 
+Texts with characters from U+0250 on, odd controls or special tokens are normalised and split by the
+library in one piece; only their long words become trees.
+
 Edge cases: null or empty text gives no ids (n_tokens 0, digests of no bytes); repeated rows
 give repeated results; null ids stay null; an empty table gives an empty table; other columns
 are ignored.
@@ -36,9 +46,11 @@ from pyspark.sql import DataFrame
 
 from .common import documents, small_batches, spread
 
-#: Units longer than this many bytes are encoded as a tree; leaves have this many bytes at most.
-LONG_UNIT, LEAF = 1024, 512
-#: Tokens that must agree on each side of a window, and the first window's tokens per side.
+#: Characters of a text's leaf, and pre-tokens of each side in the first window of a join (4 at least, see above).
+LEAF, WORDS = 1024, 4
+#: Words of more bytes than this become trees of their own; their leaves have this many bytes at most.
+LONG_UNIT, UNIT_LEAF = 1024, 512
+#: Outer pre-tokens or tokens that must agree on each side of a window; tokens of each side in the first window of a long word.
 AGREE, WINDOW = 2, 8
 #: Entries of the table from units to ids; it is emptied when full.
 TABLE = 200_000
@@ -71,17 +83,23 @@ class _Table(dict):
 
 
 class _Words(_Table):
-    """The table of plain words: what it lacks goes to the core with as few calls as possible."""
+    """The table of plain words: what it lacks goes to the core with as few calls as possible.
+
+    Longer words are not kept, and one of more than LONG_UNIT bytes has no ids (None) before it is whole.
+    """
 
-    def __init__(self, core, mark: bytes, long):
-        super().__init__(long)
+    def __init__(self, core, mark: bytes, make):
+        super().__init__(make)
         self.core, self.mark = core, mark
 
     def __missing__(self, word):
+        if len(word) > LONG_UNIT // 4:  # may be over the limit in bytes
+            data = word.encode()
+            return self.make(data) if len(data) <= LONG_UNIT else None
         if len(self) >= TABLE:
             self.clear()
-        if len(word) > LONG_UNIT // 4:  # may be over the limit in bytes
-            ids = self.make(word)
+        if self.core is None:
+            ids = self.make(word.encode())
         else:
             ids = array("I", self.core(word.encode() + self.mark)).tobytes()
         self[word] = ids
@@ -111,12 +129,12 @@ class Coder:
         self.spaced = spec.get("decoder") is None
         self.letters = byte_letters()
         self.bytes_of = {c: b for b, c in enumerate(self.letters)}
+        self.joins = self.windows = 0  # joins of texts, and the windows that they took
         self.core = self._core(model["vocab"], merges)
         self.mark = b"\xff" if suffix else b""
         # packed ids (little-endian, 32 bits each) by unit in byte letters, and by word
         self.units = _Table(lambda u: self.packed(bytes(map(self.bytes_of.__getitem__, u)), u))
-        whole = lambda w: self.packed(w.encode())
-        self.words = _Words(self.core, self.mark, whole) if self.core is not None else _Table(whole)
+        self.words = _Words(self.core, self.mark, self.packed)
         lower = "Lowercase" in json.dumps(spec.get("normalizer"))
         letter, number = _class("L"), _class("N")
         # letters come first for speed: none of the endings begins with one, so the order changes no match
@@ -165,7 +183,7 @@ class Coder:
             return self.tree(unit)
         return [x.id for x in self.last.model.tokenize(unit)]
 
-    def tree(self, unit: str, leaf: int = LEAF) -> list[int]:
+    def tree(self, unit: str, leaf: int = UNIT_LEAF) -> list[int]:
         """Ids of one long unit: leaves in parallel, then joins up a tree."""
         parts = [unit[i : i + leaf] for i in range(0, len(unit), leaf)]
         level = [x.ids for x in self.inner.encode_batch(parts[:-1], add_special_tokens=False)] if len(parts) > 1 else []
@@ -190,6 +208,41 @@ class Coder:
                 return left[:-k] + seam + right[k:] if not whole_l else seam + right[k:]
             k *= 2
 
+    def leaf(self, text: str, lo: int, hi: int) -> tuple[list[str], list[bytes]]:
+        """The pre-tokens of text[lo:hi] taken by itself, and the packed ids of each."""
+        words = self.fast.findall(text, lo, hi)
+        return words, list(map(self.words.__getitem__, words))
+
+    def text_tree(self, text: str, leaf: int = LEAF) -> list[bytes]:
+        """Packed ids of each pre-token of a whole text: leaves, then joins up a tree; long words last."""
+        level = [(lo, *self.leaf(text, lo, min(lo + leaf, len(text)))) for lo in range(0, len(text), leaf)]
+        while len(level) > 1:
+            ends = [part[0] for part in level[2::2]] + [len(text)]
+            pairs = [(left[0], *self.text_join(text, left, right, end)) for left, right, end in zip(level[::2], level[1::2], ends)]
+            level = pairs + level[len(pairs) * 2 :]
+        _, words, ids = level[0]
+        return [i if i is not None else self.packed(w.encode()) for w, i in zip(words, ids)] if None in ids else ids
+
+    def text_join(self, text: str, left: tuple, right: tuple, end: int) -> tuple[list[str], list[bytes]]:
+        """The encoding of text[left's start:end] from those of its two parts."""
+        (lo, left_words, left_ids), (seam, right_words, right_ids) = left, right
+        start, stop, near, far = seam, seam, 0, 0  # the window, and how many pre-tokens of each side it takes
+        k = WORDS
+        while True:
+            # between neighbouring pre-tokens there is nothing, or white space that no pre-token holds
+            for w in reversed(left_words[-k : len(left_words) - near]):
+                start = text.rfind(w, lo, start)
+            for w in right_words[far:k]:
+                stop = text.find(w, stop) + len(w)
+            near, far = min(k, len(left_words)), min(k, len(right_words))
+            whole_l, whole_r = near == len(left_words), far == len(right_words)
+            words, ids = self.leaf(text, lo if whole_l else start, end if whole_r else stop)
+            self.windows += 1
+            if (whole_l or words[:AGREE] == left_words[-k:][:AGREE]) and (whole_r or words[-AGREE:] == right_words[k - AGREE : k]) and (len(words) >= 2 * AGREE or whole_l or whole_r):
+                self.joins += 1
+                return left_words[: len(left_words) - near] + words + right_words[far:], left_ids[: len(left_ids) - near] + ids + right_ids[far:]
+            k *= 2
+
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text as unsigned 32-bit integers."""
         if not text:
@@ -197,8 +250,7 @@ class Coder:
         if any(s in text for s in self.specials):
             ids: list[int] = self.library.encode(text, add_special_tokens=False).ids
         elif self.fast is not None and not self.odd.search(text):
-            words = self.fast.findall(text.lower() if self.lower else text)
-            return np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u4")
+            return np.frombuffer(b"".join(self.text_tree(text.lower() if self.lower else text)), "<u4")
         else:
             norm, pre = self.library.normalizer, self.library.pre_tokenizer
             units = pre.pre_tokenize_str(norm.normalize_str(text) if norm is not None else text)

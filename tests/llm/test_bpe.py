@@ -81,6 +81,39 @@ def test_tree_equals_direct_encoding_for_every_leaf_size(path):
             assert c.tree(unit, leaf) == direct
 
 
+@pytest.mark.parametrize("path", FILES)
+def test_text_tree_for_every_cut(path):
+    c, t, r = bpe.coder(path), library(path), random.Random(4)
+    for _ in range(400):
+        x = "".join(r.choice(["a", "b", "'s", "'r", "e", "'", " ", "  ", "\n", "1", "2", "é", "!", "?!", " 've", "ll"]) for _ in range(r.randint(1, 60)))
+        want = t.encode(x, add_special_tokens=False).ids
+        for leaf in (1, 2, 3, 5, 9, 30):
+            assert np.frombuffer(b"".join(c.text_tree(x.lower() if c.lower else x, leaf)), "<u4").tolist() == want
+
+
+@pytest.mark.parametrize("path", FILES)
+def test_long_words_inside_long_texts(path):
+    c, t, r = bpe.coder(path), library(path), random.Random(5)
+    for n in (1000, 1024, 1025, 5000, 40000):
+        x = "some words, " * 200 + "".join(r.choice("abcdeé") for _ in range(n)) + " " * n + "!" * n + " and more's" * 300
+        assert c.encode(x).tolist() == t.encode(x, add_special_tokens=False).ids
+    assert max(map(len, c.words)) <= bpe.LONG_UNIT // 4  # long words take no place in the table
+
+
+@pytest.mark.parametrize("path", FILES)
+def test_the_table_s_texts_go_through_joins(path):
+    """Every text above a leaf's length is joined from its leaves: one join less than leaves."""
+    import pyarrow.parquet as pq
+
+    texts = [x or "" for x in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()]
+    c = bpe.Coder(path)
+    tokens = sum(len(c.encode(x)) for x in texts)
+    in_tree = sum(len(c.encode(x)) for x in texts if len(x) > bpe.LEAF)
+    plain = [x for x in texts if not c.odd.search(x)]
+    assert c.joins == sum(max(0, -(-len(x) // bpe.LEAF) - 1) for x in plain) + sum(-(-len(x) // bpe.LEAF) - 1 for x in plain if len(x) > bpe.LEAF)
+    assert c.windows >= c.joins > len(texts) and in_tree > 0.8 * tokens
+
+
 def test_round_trip_table(spark):
     path = FILES[0]
     rows = [(1, "Hello there", 5), (None, None, 6), (2, "", 7), (1, "Hello there", 8), (3, "word " * 3000 + "x" * 4000, 9)]
