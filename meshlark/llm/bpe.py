@@ -44,7 +44,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import documents, small_batches, spread
+from .common import documents, slices, spread
 
 #: Characters of a text's leaf, and pre-tokens of each side in the first window of a join (4 at least, see above).
 LEAF, WORDS = 1024, 4
@@ -279,11 +279,10 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
-        for b in batches:
+        for b in slices(batches):
             rows = [c.encode(t).astype(np.int32) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    small_batches(df.sparkSession)
     return spread(documents(df, id_col, text_col)).mapInArrow(run, "doc_id long, ids array<int>")
 
 
@@ -292,11 +291,10 @@ def decode(df: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
-        for b in batches:
+        for b in slices(batches):
             rows = [c.decode(np.array(x or [], np.uint32)) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.string())], ["doc_id", "text"])
 
-    small_batches(df.sparkSession)
     return df.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
@@ -305,7 +303,7 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
-        for b in batches:
+        for b in slices(batches):
             n, ids_sha, out_sha = [], [], []
             for t in b.column(1).to_pylist():
                 ids = c.encode(t)
@@ -314,5 +312,4 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 out_sha.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(out_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    small_batches(df.sparkSession)
     return spread(documents(df, id_col, text_col)).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

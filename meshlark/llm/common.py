@@ -11,16 +11,16 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch: long texts stay some hundred MB even if all of a batch are long.
-ARROW_ROWS = 1000
+#: Rows of an Arrow batch that Python works on at a time; Spark bounds a batch's bytes (64 MiB by its default).
+ROWS = 1000
 #: Bytes of a file that one reading task takes at a time.
 STRETCH = 4 << 20
-#: Tables below this many bytes are dealt over all cores before work in Python.
-SMALL = 24 << 20
 _made: dict[int, str] = {}
 
 
@@ -30,29 +30,31 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small table over all cores: one row group may hold it whole, and one task would do all the work.
+    """A table in fewer partitions than there are cores is dealt over all of them; others stay where they are.
 
-    Larger tables come in enough row groups and stay where they are. Results do not depend on it.
+    Results do not depend on it.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows of an Arrow batch unless the session already has a lower bound."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ROWS rows, so that what Python makes of them stays small."""
+    for b in batches:
+        for lo in range(0, b.num_rows, ROWS):
+            yield b.slice(lo, ROWS)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder's URI below spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is missing (local tests) a temporary folder takes its place. Folders
+    Where the setting is missing a temporary folder takes its place in local mode, elsewhere it is an error. Folders
     made here are removed when the driver ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         key = id(spark.sparkContext)
         if key not in _made:
             _made[key] = tempfile.mkdtemp(prefix="meshlark-")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partition_id, small_batches, written
+from .common import partition_id, slices, written
 
 #: Characters of a text that splitters carry.
 PREFIX = 32
@@ -58,7 +58,7 @@ def _runs(batches: Iterator[pa.RecordBatch], ends_only: bool) -> Iterator[pa.Rec
             out = {k: v[-1:] for k, v in out.items()} | {"row": last_row}
         return pa.RecordBatch.from_pydict(out)
 
-    for b in batches:
+    for b in slices(batches):
         texts, shas, docs = b.column(1), b.column(2).to_pylist(), b.column(0).to_pylist()
         ready = []
         for k, t in enumerate(texts.to_pylist()):
@@ -97,14 +97,12 @@ def _stitched(rows: DataFrame, names: list[str]) -> DataFrame:
 
 def duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) of every row; the largest id of each text stays."""
-    small_batches(df.sparkSession)
     rows = written(_sorted(df, id_col, text_col, False).mapInArrow(lambda b: _runs(b, False), ROWS))
     return _stitched(rows, ["doc_id", "text_sha256"]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that stay, with all their columns."""
-    small_batches(df.sparkSession)
     ordered = _sorted(df, id_col, text_col, True)
     schema = T._parse_datatype_string(ROWS).add("row", ordered.schema["row"].dataType)
     rows = written(ordered.mapInArrow(lambda b: _runs(b, True), schema))

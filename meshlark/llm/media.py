@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import by_file, documents, shared_folder, small_batches, spread, store, unique_name, written
+from .common import by_file, documents, shared_folder, slices, spread, store, unique_name, written
 
 LINE, PIXELS = 192, 64
 HEADER = 33
@@ -120,7 +120,7 @@ def write_shards(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards, known = _Shards(folder), {}
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 raw = t.encode()
@@ -135,7 +135,6 @@ def write_shards(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()))], ["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
         shards.close()
 
-    small_batches(df.sparkSession)
     return written(spread(documents(df, id_col, text_col)).mapInArrow(run, MANIFEST), folder, "manifest")
 
 
@@ -144,7 +143,7 @@ def metadata(manifest: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = store(folder)
-        for b in batches:
+        for b in slices(batches):
             found, cols = {}, b.to_pydict()
             rows = []
             for shard, offset in zip(cols["shard"], cols["offset"]):
@@ -164,7 +163,7 @@ def read_back(manifest: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = store(folder)
         name, file, last, values = None, None, None, None
-        for b in batches:
+        for b in slices(batches):
             rows = []
             cols = b.to_pydict()
             for i, n, digest, shard, offset, length in zip(*(cols[k] for k in ("doc_id", "n_bytes", "digest", "shard", "offset", "length"))):

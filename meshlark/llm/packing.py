@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import coder
-from .common import documents, partition_id, shared_folder, small_batches, spread, written
+from .common import documents, partition_id, shared_folder, slices, spread, written
 
 CAPACITY, END = 4096, 1
 #: Rows of a block, within which a piece's rank is counted while tokenising.
@@ -46,7 +46,7 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, block, seen, ranks = coder(path), partition_id() << 32, 0, np.zeros(capacity + 1, np.int64)
-        for b in batches:
+        for b in slices(batches):
             rows, kept = [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids = np.append(c.encode(t), np.uint32(end_id))
@@ -65,7 +65,6 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "block", "place"]
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array(kept, pa.list_(pa.int32()))] if with_ids else []), names + ["ids"] * with_ids)
 
-    small_batches(df.sparkSession)
     return spread(documents(df, id_col, text_col)).mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
 
 
@@ -199,7 +198,7 @@ def packed(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     ranked = rows.join(bases, (rows.block == bases.base_block) & (rows.length == bases.base_length)).select(*names, (F.col("base") + F.col("place")).alias("rank"), *(["ids"] if with_ids else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             length, rank = b.column(3).to_numpy(), b.column(5).to_numpy()
             at = np.searchsorted(keys, (length << 48) + rank, "right") - 1
             nth = rank - firsts[at]

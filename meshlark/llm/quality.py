@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, spread
+from .common import documents, slices, spread
 
 WORDS, RANK = 4096, 8
 #: Labelled rows that the machine learns from, at most.
@@ -142,14 +142,13 @@ def fold(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, bound: int = BOUND, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Machine:
     """A machine from at most `bound` labelled rows outside the held-out fold."""
     spark = docs.sparkSession
-    small_batches(spark)
     lab = labels.select(F.col(id_col).cast("long").alias("label_id"), F.col(label_col).cast("int").alias("label")).where("label_id IS NOT NULL AND label IN (0, 1)").where(fold(F.col("label_id")) != 0)
     picked = lab.groupBy("label_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("label_id"), "label_id").limit(bound)
     texts = documents(docs, id_col, text_col)
     sample = texts.join(F.broadcast(picked), texts.doc_id == picked.label_id).select("doc_id", "text", "label")  # `bound` rows at most are broadcast
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             xs = [row(t) for t in b.column(1).to_pylist()]
             at = [np.flatnonzero(x).astype(np.int32) for x in xs]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(at, pa.list_(pa.int32())), pa.array([x[k] for x, k in zip(xs, at)], pa.list_(pa.float32()))], ["doc_id", "label", "at", "value"])
@@ -164,10 +163,9 @@ def scored(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col:
     """(doc_id, held_out, score, predicted) of every whole text; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(machine.score(b.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
-    small_batches(docs.sparkSession)
     out = spread(documents(docs, id_col, text_col)).mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -179,5 +177,4 @@ def accepted(docs: DataFrame, machine: Machine, text_col: str = "text", threshol
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(machine.score(texts.tolist()))
 
-    small_batches(docs.sparkSession)
     return spread(docs).where(score(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) >= threshold)

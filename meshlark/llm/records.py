@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import coder
-from .common import documents, partition_id, shared_folder, small_batches, store, unique_name
+from .common import documents, partition_id, shared_folder, slices, store, unique_name
 
 #: Reflected CRC-32C polynomial and the mask's addend (fixed values of the record format).
 POLYNOMIAL, MASK = 0x82F63B78, 0xA282EAD8
@@ -106,7 +106,7 @@ def write_records(df: DataFrame, folder: str, path: str, end_id: int, partitions
         c, name, out = coder(path), unique_name("tokens"), None
         width = 2 if len(c.tokens) <= 1 << 16 and end_id < 1 << 16 else 4
         at = tokens = records = 0
-        for b in batches:
+        for b in slices(batches):
             if out is None and b.num_rows:
                 out, index = fs.open_output_stream(f"{root}/{name}.rec"), fs.open_output_stream(f"{root}/{name}.idx")
                 sink = fs.open_output_stream(f"{root}/{name}.ids")
@@ -129,7 +129,6 @@ def write_records(df: DataFrame, folder: str, path: str, end_id: int, partitions
             yield pa.RecordBatch.from_pydict({"part": pa.array([partition_id()], pa.int32()), "file": [name], "records": [records], "tokens": [tokens], "width": pa.array([width], pa.int32())})
 
     spark = df.sparkSession
-    small_batches(spark)
     docs = documents(df, id_col, text_col)
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.withColumn("tie", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
@@ -142,7 +141,7 @@ def read_records(spark: SparkSession, files: list[dict], folder: str) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = store(folder)
-        for b in batches:
+        for b in slices(batches):
             for row in b.to_pylist():
                 with fs.open_input_file(f"{root}/{row['file']}.rec") as data, fs.open_input_stream(f"{root}/{row['file']}.idx") as index, fs.open_input_stream(f"{root}/{row['file']}.ids") as ids_in:
                     for ids in pa.ipc.open_stream(ids_in):

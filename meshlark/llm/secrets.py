@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, spread
+from .common import documents, slices, spread
 from .pii import joined
 
 KINDS = ("assign", "access", "hex", "random")
@@ -179,13 +179,12 @@ def secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RESULT.split(", ")]
-        for b in batches:
+        for b in slices(batches):
             found = [all_spans(t) for t in b.column(1).to_pylist()]
             counts = [[sum(k == kind for _, k, _ in base) for base, _ in found] for kind in range(3)]
             sha = [hashlib.sha256(joined(base, KINDS).encode()).hexdigest() for base, _ in found]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(sha, pa.string()), pa.array([joined(s, KINDS) for _, s in found], pa.string())], names)
 
-    small_batches(df.sparkSession)
     return spread(documents(df, id_col, text_col)).mapInArrow(run, RESULT)
 
 
@@ -209,7 +208,6 @@ def redacted(df: DataFrame, text_col: str = "text", size_col: str | None = "n_ch
     def masked(texts: pd.Series) -> pd.Series:
         return texts.map(mask, na_action="ignore")
 
-    small_batches(df.sparkSession)
     clean = spread(df).withColumn(text_col, masked(F.col(text_col)))
     if size_col in df.columns:
         kind = df.schema[size_col].dataType

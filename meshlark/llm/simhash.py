@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, shared_folder, small_batches, spread, written
+from .common import documents, shared_folder, slices, spread, written
 
 SHINGLE, SEED, BITS = 3, 42, 3
 SHARED = 8 - BITS
@@ -64,11 +64,10 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, fp long, text_hash): the fingerprint's bits as a signed integer, and xxhash64 of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fp = np.array([fingerprint(t, size) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), b.column(2)], ["doc_id", "fp", "text_hash"])
 
-    small_batches(df.sparkSession)
     return spread(documents(df, id_col, text_col)).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 

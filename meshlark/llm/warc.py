@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_file, shared_folder, small_batches, store, unique_name, written
+from .common import by_file, shared_folder, slices, store, unique_name, written
 
 #: Payloads below this size are never revisits; a stream is closed beyond so many bytes of payload.
 LEAST, FILE_BYTES = 100, 128 << 20
@@ -63,7 +63,7 @@ def write_streams(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = store(folder)
         out, number, held = None, 0, 0
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for i, url, html in zip(*(b.column(k).to_pylist() for k in range(3))):
                 if out is None:
@@ -84,7 +84,6 @@ def write_streams(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
             out.write(pack.flush())
             out.close()
 
-    small_batches(df.sparkSession)
     pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return written(pages.mapInArrow(run, "page_id long, file string, number long, digest string, n_bytes long"), folder, "records")
 
@@ -130,7 +129,7 @@ def normalise(files: DataFrame, folder: str, level: int = 6) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = store(folder)
-        for b in batches:
+        for b in slices(batches):
             for row in b.to_pylist():
                 again = {x["number"]: x["refers_to"] for x in row["revisits"] or []}
                 name, offsets, lengths, at = unique_name("members") + ".warc.gz", [], [], 0
@@ -160,7 +159,7 @@ def read_back(index: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = store(folder)
         name, file = None, None
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for archive, offset, length in zip(*(b.column(k).to_pylist() for k in range(3))):
                 if archive != name:
