@@ -5,11 +5,12 @@ trained from labelled samples of random strings and one from ordinary identifier
 add spans: a run of key characters is a secret if its log-likelihood ratio per character
 exceeds the threshold. A key may be attached to ordinary text by "/", "_", "-" or "=", so in a run
 that is none as a whole the best stretches are sought (at least SHORTEST characters whose ratios
-exceed the threshold by MARGIN in sum) and widened to the separators around them. Runs and
-stretches below SHORTEST = 16 characters are not scored: too few to tell a key from a word.
+exceed the threshold by MARGIN in sum) and widened to the separators around them. A word that an
+access key or hexadecimal run of the base is only a part of is scored as a whole, so an added span
+may overlap base spans; masking covers their union. Runs and stretches below SHORTEST = 16 characters are not scored: too few to tell a key from a word.
 
-Edge cases: null or empty text has no spans (counts 0, digest of no bytes, empty spans); a run is
-cut at base spans and its parts are scored, in time linear in the run; repeated rows give repeated
+Edge cases: null or empty text has no spans (counts 0, digest of no bytes, empty spans); other parts
+of a run are scored between its base spans, in time linear in the text; repeated rows give repeated
 results; null ids stay null; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -143,14 +144,58 @@ def stretches(run: str) -> list[tuple[int, int]]:
     return out
 
 
-def random_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Random parts of the runs of a text, outside its base spans."""
-    out = []
+def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, bool]]:
+    """The union of spans (sorted) as (start, end, whether an access key or hexadecimal run is in it)."""
+    out: list[list] = []
+    for lo, kind, hi in spans:
+        if out and lo < out[-1][1]:
+            out[-1][1] = max(out[-1][1], hi)
+            out[-1][2] |= kind in (1, 2)
+        else:
+            out.append([lo, hi, kind in (1, 2)])
+    return [tuple(x) for x in out]
+
+
+def between(text: str, held: list[tuple[int, int, bool]]) -> Iterator[tuple[int, int, list[tuple[int, int, bool]]]]:
+    """Each run of key characters with the stretches of `held` in it; one pass over both."""
+    k = 0
     for m in _RUN.finditer(text):
-        at = m.start()
-        for a, _, b in [*(s for s in base if s[0] < m.end() and s[2] > m.start()), (m.end(), 3, m.end())]:
+        lo, hi = m.span()
+        while k < len(held) and held[k][1] <= lo:
+            k += 1
+        inside = []
+        while k < len(held) and held[k][0] < hi:
+            inside.append(held[k])
+            if held[k][1] > hi:
+                break
+            k += 1
+        yield lo, hi, inside
+
+
+def grown(text: str, held: list[tuple[int, int, bool]]) -> list[tuple[int, int, int]]:
+    """Words of key characters that a base key is only a part of, if they are random as a whole."""
+    out = []
+    for lo, hi, inside in between(text, held):
+        for n, (a, b, key) in enumerate(inside):
+            if key:
+                least, most = inside[n - 1][1] if n else lo, inside[n + 1][0] if n + 1 < len(inside) else hi
+                left = max(text.rfind(c, least, a) for c in SEPARATORS) + 1 or least
+                right = min((x for c in SEPARATORS if (x := text.find(c, b, most)) >= 0), default=max(b, most))
+                left = min(left, a)
+                if (left < a or right > b) and ratio(text[left:right]) > THRESHOLD:
+                    out.append((left, 3, right))
+    return out
+
+
+def random_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """What the models add: words that a base key is a part of, and random parts of runs outside all of these."""
+    held = merged(base)
+    out = grown(text, held) if held else []
+    for lo, hi, inside in between(text, merged(sorted(base + out)) if out else held):
+        at = lo
+        for a, b, _ in [*inside, (hi, hi, False)]:
             if a - at >= SHORTEST:
-                out += [(at + lo, 3, at + hi) for lo, hi in stretches(text[at:a])]
+                out += [(at + x, 3, at + y) for x, y in stretches(text[at:a])]
             at = max(at, b)
     return out
 
