@@ -1,6 +1,8 @@
 import random
+import time
 from itertools import combinations
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -74,6 +76,73 @@ def test_components_against_all_pairs(spark, heavy, monkeypatch):
     assert all(roots.get(f, signed(f)) == w for f, w in zip(distinct, want))
 
 
+signed = lambda f: f - (1 << 64) if f >> 63 else f
+
+
+@pytest.mark.parametrize("dense", [1, 8, 64])
+def test_dense_lists_keep_components(spark, dense, monkeypatch):
+    monkeypatch.setattr(simhash, "HEAVY", 4)
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    r = random.Random(dense)
+    head = r.getrandbits(64)
+    fps = {head ^ (r.getrandbits(10) << 3) for _ in range(150)} | {head ^ sum(1 << r.randrange(64) for _ in range(4)) & M64 for _ in range(60)} | {head ^ (r.getrandbits(24) << 40) for _ in range(300)}
+    distinct = sorted(fps)
+    df = spark.createDataFrame([(signed(f),) for f in distinct], "fp long")
+    folder = common.shared_folder(spark)
+    edges = simhash.links(df, folder)
+    assert edges.count() < len(list(combinations(distinct, 2))) / 4
+    roots = {n & M64: x for n, x in simhash.components(edges, folder).collect()}
+    want = brute_components([(signed(f), f) for f in distinct])
+    assert [roots.get(f, signed(f)) for f in distinct] == want
+
+
+def test_parts_of_codes():
+    r = np.random.default_rng(5)
+    for n, bits in ((1, 24), (2, 24), (300, 9), (300, 24), (2300, 14), (2400, 24), (4000, 14), (6000, 13)):
+        codes = np.unique(r.integers(0, 1 << bits, n))
+        got = simhash.parts(codes)
+        label = np.arange(len(codes))  # spreads the least position along links, one row of all pairs at a time
+        near = [np.flatnonzero(np.bitwise_count(codes ^ c) <= 3) for c in codes]
+        while True:
+            new = np.array([label[x].min() for x in near])
+            if (new == label).all():
+                break
+            label = new
+        assert got.tolist() == label.tolist()
+
+
+def test_a_cluster_of_20_000_in_one_list(spark):
+    r = random.Random(9)
+    fps = set()
+    while len(fps) < 20_000:
+        fps.add(0x123456789A000000 | sum(1 << r.randrange(24) for _ in range(r.choice([2, 4, 6]))) & 0xFFFFFF)
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    folder = common.shared_folder(spark)
+    began = time.time()
+    edges = simhash.links(df, folder)
+    n = edges.count()
+    assert n < 60 * len(fps) and time.time() - began < 120  # all pairs would be 200 million
+    roots = {a: b for a, b in simhash.components(edges, folder).collect()}
+    codes = np.array(sorted(fps))
+    label = simhash.parts(codes & 0xFFFFFF)
+    assert [roots.get(f, f) for f in codes.tolist()] == codes[label].tolist()
+
+
+def test_each_step_drops_pairs(spark):
+    """Candidates of lists by four bytes that share no fifth byte go in the tally, those of more than 3 bits in the check."""
+    r = random.Random(2)
+    fps = set()
+    for _ in range(40):
+        f = r.getrandbits(64)
+        fps |= {f, f ^ 1 << r.randrange(64), f ^ (r.getrandbits(32) << 32), f ^ (r.getrandbits(24) << 40)}
+    df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+    met = simhash.candidates(simhash._postings(df, simhash.BLOCKS))
+    kept = simhash.tallied(met, simhash.BLOCKS)
+    linked = simhash.verified(kept)
+    near = [p for p in combinations(fps, 2) if (p[0] ^ p[1]).bit_count() <= 3]
+    assert met.count() > kept.count() > linked.count() == len(near)
+
+
 def test_table(spark):
     r = random.Random(3)
     base = " ".join(r.choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(r.randrange(50)) for _ in range(400))
