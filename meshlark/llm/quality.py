@@ -6,10 +6,12 @@ through low-rank factors, computed in linear time: half the difference between t
 the factor sums and the sums of squares. Labels, language, source and id are never inputs.
 
 It learns from at most `bound` labelled rows, chosen by a hash of their id (a documented
-bound; every text is scored). Only hashed features of these rows reach the driver.
+bound; every text is scored). Only hashed features of these rows reach the driver, one row for
+each id.
 
 Edge cases: null or empty text has zero word features and is scored like any other; without
-labels every score is 0.5; of several labels of one id the lowest counts; null ids are scored,
+labels every score is 0.5; of several labels of one id the lowest counts, of several texts the one
+with the least hash; null ids are scored,
 are not held out and teach nothing; an empty table gives an empty table; other columns are
 ignored.
 """
@@ -34,7 +36,7 @@ BOUND = 4000
 THRESHOLD = 0.3
 STATS = 24
 SIZE = WORDS + STATS
-#: Texts turned into dense rows at a time.
+#: Texts scored at a time.
 BLOCK = 256
 
 
@@ -50,38 +52,48 @@ class _Buckets(dict):
 _buckets = _Buckets()
 
 
-def row(text: str) -> np.ndarray:
-    """The dense inputs of one whole text."""
-    x = np.zeros(SIZE, np.float32)
-    words = text.split()
+def statistics(text: str, words: list[str], ids: np.ndarray, most: int) -> list[float]:
+    """Structure and size of a text; `most`: the count of its most frequent bucket."""
     n, chars = len(words), len(text)
-    s = x[WORDS:]
-    s[0], s[1] = 1, np.log1p(chars) / 10
     if not n:
-        s[2] = 1
-        return x
-    ids = np.fromiter(map(_buckets.__getitem__, words), np.int64, n)
-    counts = np.log1p(np.bincount(ids, minlength=WORDS))
-    x[:WORDS] = counts / np.sqrt((counts**2).sum())
-    upper, digits = sum(map(str.isupper, words)), sum(map(text.count, "0123456789"))
+        return [1, np.log1p(chars) / 10, 1, *[0] * (STATS - 3)]
     lines = text.count("\n") + 1
-    marks = [text.count(c) / n for c in ".,!|#$%&*"]
-    distinct = len(set(words))
-    s[3:12] = np.minimum(marks, 2)
-    s[12] = upper / n
-    s[13] = np.minimum(digits / chars * 5, 2)
-    s[14] = distinct / n
-    s[15] = float((ids[1:] == ids[:-1]).mean()) if n > 1 else 0
-    s[16] = chars / n / 10
-    s[17] = np.log1p(lines) / 5
-    s[18] = min(n / lines / 50, 2)
-    s[19] = max(counts) / np.log1p(n)
-    s[20] = sum(map(str.istitle, words)) / n
-    s[21] = float((ids[2:] == ids[:-2]).mean()) if n > 2 else 0
-    s[22] = max(map(len, words)) / 50 if n else 0
-    s[22] = min(s[22], 3)
-    s[23] = len(set(text.split("\n"))) / lines
-    return x
+    digits = sum(map(text.count, "0123456789"))
+    return [
+        1, np.log1p(chars) / 10, 0,
+        *(min(text.count(c) / n, 2) for c in ".,!|#$%&*"),
+        sum(map(str.isupper, words)) / n,
+        min(digits / chars * 5, 2),
+        len(set(words)) / n,
+        np.count_nonzero(ids[1:] == ids[:-1]) / (n - 1) if n > 1 else 0,
+        chars / n / 10,
+        np.log1p(lines) / 5,
+        min(n / lines / 50, 2),
+        np.log1p(most) / np.log1p(n),
+        sum(map(str.istitle, words)) / n,
+        np.count_nonzero(ids[2:] == ids[:-2]) / (n - 2) if n > 2 else 0,
+        min(max(map(len, words)) / 50, 3),
+        len(set(text.split("\n"))) / lines,
+    ]
+
+
+def inputs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, value) of the inputs that are not zero, by row; every row has some. Takes time linear in the words."""
+    rows, columns, values = [], [], []
+    for k, text in enumerate(texts):
+        words = text.split()
+        ids = np.fromiter(map(_buckets.__getitem__, words), np.int32, len(words))
+        ordered = np.sort(ids)
+        first = np.flatnonzero(np.diff(ordered, prepend=-1))
+        counts = np.diff(np.append(first, len(ids)))
+        logs = np.log1p(counts)
+        stats = np.array(statistics(text, words, ids, int(counts.max(initial=0))))
+        some = np.flatnonzero(stats)
+        columns += [ordered[first], WORDS + some]
+        values += [logs / np.sqrt(logs @ logs), stats[some]] if len(ids) else [logs, stats[some]]
+        rows.append(np.full(len(first) + len(some), k))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *rows]), np.concatenate([none, *columns]).astype(np.int64), np.concatenate([none, *values]).astype(np.float32)
 
 
 class Machine:
@@ -92,17 +104,22 @@ class Machine:
         self.linear = np.zeros(SIZE, np.float32) if linear is None else linear
         self.factors = np.zeros((SIZE, RANK), np.float32) if factors is None else factors
 
-    def raw(self, x: np.ndarray) -> np.ndarray:
-        sums = x @ self.factors
-        return self.bias + x @ self.linear + 0.5 * ((sums**2).sum(1) - (x * x) @ (self.factors**2).sum(1))
+    def raw(self, row: np.ndarray, column: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Scores before the logistic function; a pair of inputs adds its values' product times its factors' product."""
+        if not len(row):
+            return np.zeros(0)
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        parts = value[:, None] * self.factors[column]
+        sums = np.add.reduceat(parts, first)
+        return self.bias + np.add.reduceat(value * self.linear[column], first) + 0.5 * ((sums**2).sum(1) - np.add.reduceat((parts**2).sum(1), first))
 
     def score(self, texts: list[str]) -> np.ndarray:
-        out = [1 / (1 + np.exp(-np.clip(self.raw(np.stack([row(t) for t in texts[i : i + BLOCK]])), -30, 30))) for i in range(0, len(texts), BLOCK)]
+        out = [1 / (1 + np.exp(-np.clip(self.raw(*inputs(texts[i : i + BLOCK])), -30, 30))) for i in range(0, len(texts), BLOCK)]
         return np.concatenate(out).astype(float) if out else np.zeros(0)
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 25, rate: float = 0.02, decay: float = 1e-4, seed: int = 3) -> Machine:
-    """Adam over the logistic loss; rows are (positions, values) of the inputs that are not zero."""
+    """Adam over the logistic loss; rows are (positions, values) of the inputs that are not zero. Few rows: they are made dense."""
     m = Machine()
     if not len(labels):
         return m
@@ -111,16 +128,18 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
     share = np.clip(labels.mean(), 0.02, 0.98)
     m.bias = float(np.log(share / (1 - share)))
     first, second = [0.0, np.zeros(SIZE), np.zeros((SIZE, RANK))], [0.0, np.zeros(SIZE), np.zeros((SIZE, RANK))]
+    dense = np.zeros((len(rows), SIZE), np.float32)
+    for k, (at, values) in enumerate(rows):
+        dense[k, at] = values
     step = 0
     for _ in range(epochs):
         order = r.permutation(len(labels))
         for lo in range(0, len(order), 128):
             which = order[lo : lo + 128]
-            x = np.zeros((len(which), SIZE), np.float32)
-            for k, i in enumerate(which):
-                x[k, rows[i][0]] = rows[i][1]
-            gap = (labels[which] - 1 / (1 + np.exp(-np.clip(m.raw(x), -30, 30)))) / len(which)
+            x = dense[which]
             sums = x @ m.factors
+            raw = m.bias + x @ m.linear + 0.5 * ((sums**2).sum(1) - (x * x) @ (m.factors**2).sum(1))
+            gap = (labels[which] - 1 / (1 + np.exp(-np.clip(raw, -30, 30)))) / len(which)
             grads = [gap.sum(), x.T @ gap - decay * m.linear, x.T @ (gap[:, None] * sums) - ((x * x).T @ gap)[:, None] * m.factors - decay * m.factors]
             step += 1
             moved = []
@@ -145,18 +164,20 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = BOUND, id_col: str =
     lab = labels.select(F.col(id_col).cast("long").alias("label_id"), F.col(label_col).cast("int").alias("label")).where("label_id IS NOT NULL AND label IN (0, 1)").where(fold(F.col("label_id")) != 0)
     picked = lab.groupBy("label_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("label_id"), "label_id").limit(bound)
     texts = documents(docs, id_col, text_col)
-    sample = texts.join(F.broadcast(picked), texts.doc_id == picked.label_id).select("doc_id", "text", "label")  # `bound` rows at most are broadcast
+    sample = texts.withColumn("text_hash", F.xxhash64("text")).join(F.broadcast(picked), texts.doc_id == picked.label_id).select("doc_id", "text", "label", "text_hash")  # `bound` rows at most are broadcast
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            xs = [row(t) for t in b.column(1).to_pylist()]
-            at = [np.flatnonzero(x).astype(np.int32) for x in xs]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(at, pa.list_(pa.int32())), pa.array([x[k] for x, k in zip(xs, at)], pa.list_(pa.float32()))], ["doc_id", "label", "at", "value"])
-
-    got = sample.mapInArrow(run, "doc_id long, label int, at array<int>, value array<float>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+            row, column, value = inputs(b.column(1).to_pylist())
+            first = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)), pa.int32())
+            at, values = (pa.ListArray.from_arrays(first, pa.array(x, k)) for x, k in ((column, pa.int32()), (value, pa.float32())))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), at, values], ["doc_id", "label", "text_hash", "at", "value"])
+
+    # of several rows of an id the text with the least hash, so that `bound` rows at most reach the driver
+    kept = sample.mapInArrow(run, "doc_id long, label int, text_hash long, at array<int>, value array<float>").groupBy("doc_id", "label").agg(F.min_by(F.struct("at", "value"), "text_hash").alias("x"))
+    got = kept.select("doc_id", "label", "x.at", "x.value").toArrow().sort_by("doc_id")
     rows = [(np.array(a, np.int32), np.array(v, np.float32)) for a, v in zip(got["at"].to_pylist(), got["value"].to_pylist())]
-    rows, label = rows[:bound], np.array(got["label"].to_pylist()[:bound], np.float64)  # repeated ids may bring more rows
-    return fit(rows, label)
+    return fit(rows, np.array(got["label"].to_pylist(), np.float64))
 
 
 def scored(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

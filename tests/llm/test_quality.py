@@ -1,14 +1,50 @@
+import math
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
 import pytest
 
-from meshlark.llm import quality
+from meshlark.llm import quality, queries
 
 SF = "/root/testdata/sf0.01"
 
 
+def entries(x):
+    """(row, column, value) of the entries of a dense matrix that are not zero."""
+    row, column = np.nonzero(x)
+    return row, column, x[row, column]
+
+
+def brute_inputs(text):
+    """Inputs of a text by their description, one at a time."""
+    words, lines = text.split(), text.split("\n")
+    n, x = len(words), {}
+    x[quality.WORDS], x[quality.WORDS + 1] = 1.0, math.log1p(len(text)) / 10
+    if not n:
+        return x | {quality.WORDS + 2: 1.0}
+    buckets = [zlib.crc32(w.encode()) % quality.WORDS for w in words]
+    counts = Counter(buckets)
+    norm = math.sqrt(sum(math.log1p(c) ** 2 for c in counts.values()))
+    x |= {k: math.log1p(c) / norm for k, c in counts.items()}
+    more = [min(text.count(c) / n, 2) for c in ".,!|#$%&*"]
+    more += [sum(w.isupper() for w in words) / n, min(sum(c in "0123456789" for c in text) / len(text) * 5, 2), len(set(words)) / n]
+    more += [sum(a == b for a, b in zip(buckets, buckets[1:])) / (n - 1) if n > 1 else 0, len(text) / n / 10, math.log1p(len(lines)) / 5, min(n / len(lines) / 50, 2)]
+    more += [math.log1p(max(counts.values())) / math.log1p(n), sum(w.istitle() for w in words) / n, sum(a == b for a, b in zip(buckets, buckets[2:])) / (n - 2) if n > 2 else 0]
+    more += [min(max(map(len, words)) / 50, 3), len(set(lines)) / len(lines)]
+    return x | {quality.WORDS + 3 + k: v for k, v in enumerate(more)}
+
+
+def brute_score(m, text):
+    """The score by all pairs of inputs, one at a time."""
+    x = {k: v for k, v in brute_inputs(text).items() if v}
+    raw = m.bias + sum(float(m.linear[k]) * v for k, v in x.items())
+    for (i, a), (j, b) in combinations(x.items(), 2):
+        raw += float(m.factors[i].astype(float) @ m.factors[j]) * a * b
+    return 1 / (1 + math.exp(-max(-30, min(30, raw))))
+
+
 def test_sum_of_squares_identity():
     r = np.random.default_rng(1)
     m = quality.Machine(0.3, r.normal(size=quality.SIZE).astype(np.float32), r.normal(size=(quality.SIZE, quality.RANK)).astype(np.float32))
@@ -16,13 +52,43 @@ def test_sum_of_squares_identity():
     on = r.choice(quality.SIZE, 12, replace=False)
     x[0, on] = r.normal(size=12)
     pairs = sum(float(m.factors[i] @ m.factors[j]) * x[0, i] * x[0, j] for i, j in combinations(on, 2))
-    assert abs(m.raw(x)[0] - (m.bias + float(x[0] @ m.linear) + pairs)) < 1e-3
+    assert abs(m.raw(*entries(x))[0] - (m.bias + float(x[0] @ m.linear) + pairs)) < 1e-3
+
+
+def test_inputs_of_odd_texts():
+    texts = ["", " ", "a", "\n\n", "é", "x" * 100_000, "a b " * 50_000, "\ud83d", "A a A a A", "One Two! 3,4.5 | #\n\nOne Two"]
+    row, column, value = quality.inputs(texts)
+    assert np.isfinite(value).all() and sorted(set(row.tolist())) == list(range(len(texts))) and len(quality.inputs([])[0]) == 0
+    for k, t in enumerate(texts):
+        if t == "\ud83d":
+            continue
+        got = dict(zip(column[row == k].tolist(), value[row == k].tolist()))
+        want = {i: v for i, v in brute_inputs(t).items() if v}
+        assert got.keys() == want.keys() and all(abs(got[i] - v) < 1e-5 for i, v in want.items()), t[:20]
+
+
+def test_query_s_scores_against_all_pairs_of_inputs(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    m = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r["doc_id"]: r["score"] for r in queries.QUERIES["op7_quality_scores"](spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows[::4]:
+        assert abs(got[r["doc_id"]] - brute_score(m, r["text"] or "")) < 1e-3
 
 
-def test_rows_of_odd_texts():
-    for t in ("", " ", "a", "\n\n", "é", "x" * 100_000, "a b " * 50_000, "\ud83d"):
-        x = quality.row(t)
-        assert x.shape == (quality.SIZE,) and np.isfinite(x).all()
+def test_a_much_repeated_id_reaches_the_driver_once(spark):
+    docs = spark.range(20_000).selectExpr("5L as doc_id", "concat('some text ', id % 7) as text")
+    labels = spark.createDataFrame([(5, 1)], "doc_id long, quality int")
+    seen = []
+    whole = quality.fit
+    try:
+        quality.fit = lambda rows, labels: seen.append(len(rows)) or whole(rows, labels)
+        quality.train(docs, labels)
+    finally:
+        quality.fit = whole
+    assert seen == [1]
 
 
 def test_held_out_accuracy(spark):
@@ -70,4 +136,4 @@ def test_machine_learns_an_interaction(seed):
     m = quality.fit(rows, np.array(labels), epochs=40)
     x = np.zeros((4, quality.SIZE), np.float32)
     x[:, 5], x[:, 9] = [1, 1, -1, -1], [1, -1, 1, -1]
-    assert ((m.raw(x) > 0) == [True, False, False, True]).all()
+    assert ((m.raw(*entries(x)) > 0) == [True, False, False, True]).all()
