@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -25,20 +26,26 @@ from pyspark.sql import functions as F
 
 from .common import by_file, shared_folder, slices, store, unique_name, written
 
-#: Payloads below this size are never revisits; a stream is closed beyond so many bytes of payload.
+#: Payloads below this size are never revisits; a stream is closed beyond so many bytes of records.
 LEAST, FILE_BYTES = 100, 128 << 20
 DATE = "2024-01-01T00:00:00Z"
-READ = 1 << 20
+#: Compressed bytes read, and inflated bytes taken, at a time.
+READ, INFLATED = 1 << 20, 4 << 20
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: str | None = None, size: int | None = None) -> bytes:
-    """One WARC record: a response with its payload or, if refers_to is given, a revisit without."""
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload) if size is None else size}"]
+def record_id(file: str, number: int) -> str:
+    """The id of a whole-file stream's record: unique also where page ids repeat, and the same after rewriting."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{file}#{number}')}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, own_id: str, refers_to: tuple[str, int | None] | None = None, size: int | None = None) -> bytes:
+    """One WARC record: a response with its payload or, if refers_to (record id, page id) is given, a revisit without."""
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {own_id}", f"WARC-Date: {DATE}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}", f"X-Page-ID: {'' if page_id is None else page_id}", f"X-Payload-Length: {len(payload) if size is None else size}"]
     if url is not None:
         lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {refers_to[0]}", f"X-Refers-To-Page-ID: {'' if refers_to[1] is None else refers_to[1]}"]
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + payload
     lines.append(f"Content-Length: {len(body)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
@@ -71,9 +78,10 @@ def write_streams(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
                     out, number, held = fs.open_output_stream(f"{root}/{name}", compression=None), 0, 0
                 payload = (html or "").encode()
                 digest = hashlib.sha256(payload).hexdigest()
-                out.write(pack.compress(record(i, url, payload, digest)))
+                whole = record(i, url, payload, digest, record_id(name, number))
+                out.write(pack.compress(whole))
                 rows.append((i, name, number, digest, len(payload)))
-                number, held = number + 1, held + len(payload)
+                number, held = number + 1, held + len(whole)
                 if held > FILE_BYTES:
                     out.write(pack.flush())
                     out.close()
@@ -89,21 +97,24 @@ def write_streams(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
 
 
 def revisits(records: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
-    """(file, number, refers_to) of the records whose payload another record holds."""
+    """(file, number, refers_to, head_file, head_number) of the records whose payload another record holds."""
     head = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "file", "number")).alias("head")
     heads = records.where(F.col("n_bytes") >= least).groupBy("digest").agg(head, F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("head_digest"), "head")
     heads = written(heads, folder, "heads")  # both sides are plain tables, so that the join can split a large group of copies
-    return records.where(F.col("n_bytes") >= least).join(heads, F.col("digest") == F.col("head_digest")).where("file <> head.file OR number <> head.number").select("file", "number", F.col("head.page_id").alias("refers_to"))
+    return records.where(F.col("n_bytes") >= least).join(heads, F.col("digest") == F.col("head_digest")).where("file <> head.file OR number <> head.number").select("file", "number", F.col("head.page_id").alias("refers_to"), F.col("head.file").alias("head_file"), F.col("head.number").alias("head_number"))
 
 
 def _records(stream) -> Iterator[bytes]:
     """The records of a whole-file gzip stream, inflated once and a piece at a time."""
-    unpack, held = zlib.decompressobj(31), bytearray()
+    unpack, held, rest, full = zlib.decompressobj(31), bytearray(), b"", False
     ended = False
     while not ended:
-        got = stream.read(READ)
-        held += unpack.decompress(got) if got else unpack.flush()
-        ended = not got
+        if not rest and not full:
+            rest = stream.read(READ)
+            ended = not rest
+        got = unpack.decompress(rest, INFLATED)  # a small input may hold a thousand times its size
+        rest, full = unpack.unconsumed_tail, len(got) == INFLATED
+        held += got
         at = 0
         while True:
             end = held.find(b"\r\n\r\n", at)
@@ -121,7 +132,7 @@ def _records(stream) -> Iterator[bytes]:
 
 
 def normalise(files: DataFrame, folder: str, level: int = 6) -> DataFrame:
-    """Rewrites whole-file streams (file, revisits array<struct<number, refers_to>>) as archives with a member a record.
+    """Rewrites whole-file streams (file, revisits array<struct<number, refers_to, head_file, head_number>>) as archives with a member a record.
 
     Returns (archive, offset, length) per record, written; the same figures lie beside each
     archive as its sidecar index, 16 bytes a record.
@@ -131,15 +142,14 @@ def normalise(files: DataFrame, folder: str, level: int = 6) -> DataFrame:
         fs, root = store(folder)
         for b in slices(batches):
             for row in b.to_pylist():
-                again = {x["number"]: x["refers_to"] for x in row["revisits"] or []}
+                again = {x["number"]: (record_id(x["head_file"], x["head_number"]), x["refers_to"]) for x in row["revisits"] or []}
                 name, offsets, lengths, at = unique_name("members") + ".warc.gz", [], [], 0
                 with fs.open_input_stream(f"{root}/{row['file']}", compression=None) as stream, fs.open_output_stream(f"{root}/{name}", compression=None) as out:
                     for number, whole in enumerate(_records(stream)):
                         if number in again:
                             h, payload, _ = parse(whole)
-                            page = h["WARC-Record-ID"][10:-1]
-                            target = "" if again[number] is None else str(again[number])
-                            whole = record(int(page) if page else None, h.get("WARC-Target-URI"), b"", h["WARC-Payload-Digest"][7:], target, len(payload))
+                            page = h["X-Page-ID"]
+                            whole = record(int(page) if page else None, h.get("WARC-Target-URI"), b"", h["WARC-Payload-Digest"][7:], h["WARC-Record-ID"], again[number], len(payload))
                         pack = zlib.compressobj(level, zlib.DEFLATED, 31)
                         member = pack.compress(whole) + pack.flush()
                         out.write(member)
@@ -167,7 +177,7 @@ def read_back(index: DataFrame, folder: str) -> DataFrame:
                         file.close()
                     name, file = archive, fs.open_input_file(f"{root}/{archive}")
                 h, payload, _ = parse(zlib.decompress(file.read_at(length, offset), 31))
-                page, to, size, digest = h["WARC-Record-ID"][10:-1], h.get("WARC-Refers-To", "<urn:page:>")[10:-1], int(h["X-Payload-Length"]), h["WARC-Payload-Digest"][7:]
+                page, to, size, digest = h["X-Page-ID"], h.get("X-Refers-To-Page-ID", ""), int(h["X-Payload-Length"]), h["WARC-Payload-Digest"][7:]
                 if h["WARC-Type"] == "response":
                     size, found = len(payload), hashlib.sha256(payload).hexdigest()
                     if found != digest:
@@ -187,9 +197,9 @@ def archived(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     records = write_streams(df, folder, id_col, url_col, html_col)
     files = records.groupBy("file").agg(F.count("*").alias("n"))
     # the records of one file, bounded by its size
-    again = revisits(records, folder).groupBy("file").agg(F.collect_list(F.struct("number", "refers_to")).alias("revisits"))
+    again = revisits(records, folder).groupBy("file").agg(F.collect_list(F.struct("number", "refers_to", "head_file", "head_number")).alias("revisits"))
     n = max(1, min(files.count(), 100_000))
-    listed = files.join(again, "file", "left").select("file", "revisits").repartition(n, "file")
+    listed = files.join(again, "file", "left").select("file", "revisits").repartitionByRange(n, "file")  # a file a task: hashing would deal several to some
     index = normalise(listed, folder)
     fs = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for f in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder + "/whole-*")) or []:
