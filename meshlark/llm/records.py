@@ -6,10 +6,12 @@ integers if the vocabulary fits, else 32-bit. Beside each file lies an index of
 record (offset and length of the payload, number of ids before it in the file), so that a
 shuffled reader can fetch any record by itself.
 
-Rows are range-partitioned by (doc_id, text hash) and sorted; each task tokenises its range
-and writes one file, so files in order of their first document hold all documents in
-ascending order (null ids first, equal ids in order of their text's hash). A document's
-global start is its start in the file plus the lengths of all files before; one row per file comes to the driver.
+Rows are range-partitioned by (doc_id, text hash, partition of the input) and sorted, so that even
+rows that repeat an id and its text spread; each task tokenises its range and writes files of
+FILE_BYTES at most, one record more at the end. Files in order of their task and number hold all
+documents in ascending order (null ids first, equal ids in order of their text's hash). A document's
+global start is its start in the file plus the lengths of all files before. One small row per file,
+some 128 MiB of ids, comes to the driver; a file is read back by one task, a slice at a time.
 
 Edge cases: null or empty text is the end id alone; repeated rows are records of their own;
 null ids come first; an empty table gives an empty table; other columns are ignored.
@@ -36,6 +38,9 @@ POLYNOMIAL, MASK = 0x82F63B78, 0xA282EAD8
 BLOCK, SHORT = 512, 16
 _PLACES = np.arange(0, BLOCK * 256, 256)
 INDEX, ENTRY = "<QQQ", 24
+#: A file is closed beyond this many bytes.
+FILE_BYTES = 128 << 20
+MANIFEST = "part int, number int, file string, records long, tokens long, width int"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -93,8 +98,38 @@ def unframe(record: bytes) -> bytes:
     return payload
 
 
+class _File:
+    """A record file being written, with its index and its doc_ids."""
+
+    def __init__(self, folder: str):
+        fs, root = store(folder)
+        self.name = unique_name("tokens")
+        self.data, self.index, self.sink = (fs.open_output_stream(f"{root}/{self.name}.{x}") for x in ("rec", "idx", "ids"))
+        self.ids = pa.ipc.new_stream(self.sink, pa.schema([("doc_id", pa.int64())]))
+        self.at = self.tokens = self.records = 0
+        self.entries: list[bytes] = []
+
+    def add(self, ids: np.ndarray) -> None:
+        payload = ids.tobytes()
+        self.data.write(frame(payload))
+        self.entries.append(struct.pack(INDEX, self.at + 12, len(payload), self.tokens))
+        self.at, self.tokens, self.records = self.at + len(payload) + 16, self.tokens + len(ids), self.records + 1
+
+    def mark(self, doc_ids: pa.Array) -> None:
+        """Writes the index entries of the records added since the last mark, and their doc_ids."""
+        self.index.write(b"".join(self.entries))
+        self.entries.clear()
+        self.ids.write_batch(pa.RecordBatch.from_arrays([doc_ids], ["doc_id"]))
+
+    def close(self, number: int, width: int) -> pa.RecordBatch:
+        self.ids.close()
+        for f in (self.data, self.index, self.sink):
+            f.close()
+        return pa.RecordBatch.from_pydict({"part": pa.array([partition_id()], pa.int32()), "number": pa.array([number], pa.int32()), "file": [self.name], "records": [self.records], "tokens": [self.tokens], "width": pa.array([width], pa.int32())})
+
+
 def write_records(df: DataFrame, folder: str, path: str, end_id: int, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
-    """Writes the record files and indexes; part, file, records, tokens and width of each, in order.
+    """Writes the record files and indexes; part, number, file, records, tokens and width of each, in order.
 
     One small row per file comes to the driver, which keeps only committed attempts' names.
 
@@ -102,38 +137,30 @@ def write_records(df: DataFrame, folder: str, path: str, end_id: int, partitions
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = store(folder)
-        c, name, out = coder(path), unique_name("tokens"), None
+        c, out, number = coder(path), None, 0
         width = 2 if len(c.tokens) <= 1 << 16 and end_id < 1 << 16 else 4
-        at = tokens = records = 0
         for b in slices(batches):
-            if out is None and b.num_rows:
-                out, index = fs.open_output_stream(f"{root}/{name}.rec"), fs.open_output_stream(f"{root}/{name}.idx")
-                sink = fs.open_output_stream(f"{root}/{name}.ids")
-                ids_out = pa.ipc.new_stream(sink, pa.schema([("doc_id", pa.int64())]))
-            if not b.num_rows:
-                continue
-            rows = []
-            for t in b.column(1).to_pylist():
-                ids = np.append(c.encode(t), np.uint32(end_id)).astype(f"<u{width}")
-                data = ids.tobytes()
-                out.write(frame(data))
-                rows.append(struct.pack(INDEX, at + 12, len(data), tokens))
-                at, tokens, records = at + len(data) + 16, tokens + len(ids), records + 1
-            index.write(b"".join(rows))
-            ids_out.write_batch(pa.RecordBatch.from_arrays([b.column(0)], ["doc_id"]))
+            lo, ids_column = 0, b.column(0)
+            for k, t in enumerate(b.column(1).to_pylist()):
+                if out is None:
+                    out, lo = _File(folder), k
+                out.add(np.append(c.encode(t), np.uint32(end_id)).astype(f"<u{width}"))
+                if out.at > FILE_BYTES:
+                    out.mark(ids_column[lo : k + 1])
+                    yield out.close(number, width)
+                    out, number = None, number + 1
+            if out is not None:
+                out.mark(ids_column[lo:])
         if out is not None:
-            ids_out.close()
-            for f in (out, index, sink):
-                f.close()
-            yield pa.RecordBatch.from_pydict({"part": pa.array([partition_id()], pa.int32()), "file": [name], "records": [records], "tokens": [tokens], "width": pa.array([width], pa.int32())})
+            yield out.close(number, width)
 
     spark = df.sparkSession
     docs = documents(df, id_col, text_col)
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.withColumn("tie", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    files = dealt.select("doc_id", "text").mapInArrow(run, "part int, file string, records long, tokens long, width int").toArrow()
-    return sorted(files.to_pylist(), key=lambda f: f["part"])
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.spark_partition_id().alias("origin"))
+    dealt = keyed.repartitionByRange(parts, "doc_id", "tie", "origin").sortWithinPartitions("doc_id", "tie")
+    files = dealt.select("doc_id", "text").mapInArrow(run, MANIFEST).toArrow()
+    return sorted(files.to_pylist(), key=lambda f: (f["part"], f["number"]))
 
 
 def read_records(spark: SparkSession, files: list[dict], folder: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import glob
+import os
 import random
 import struct
 import zlib
@@ -71,3 +72,28 @@ def test_index_fetches_any_record(spark):
     offset, length, _ = entries[-1]
     ids = np.frombuffer(records.unframe(data[offset - 12 : offset + length + 4]), "<u2")
     assert ids[-1] == 2 and offset + length + 4 == len(data)
+
+
+@pytest.mark.parametrize("size", [1, 400, 5000])
+def test_files_are_bounded(spark, monkeypatch, size):
+    monkeypatch.setattr(records, "FILE_BYTES", size)
+    monkeypatch.setattr(common, "ROWS", 7)
+    rows = [(i, f"text {i} " * (i % 9)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    folder = common.shared_folder(spark)
+    files = records.write_records(df, folder, PATH, 2, 2)
+    path = folder.removeprefix("file://")
+    assert len(files) > 2 if size < 5000 else len(files) == 2
+    assert all(os.path.getsize(f"{path}/{f['file']}.rec") <= size + 400 for f in files)
+    got, t, at = sorted(map(tuple, records.read_records(spark, files, folder).collect())), Tokenizer.from_file(PATH), 0
+    for (i, x), g in zip(rows, got, strict=True):
+        ids = [*t.encode(x, add_special_tokens=False).ids, 2]
+        assert g == (i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+def test_rows_that_repeat_id_and_text_spread(spark):
+    df = spark.range(0, 4000, 1, 8).selectExpr("cast(null as long) as doc_id", "'the same text' as text")
+    folder = common.shared_folder(spark)
+    files = records.write_records(df, folder, PATH, 2, 4)
+    assert sum(f["records"] for f in files) == 4000 and max(f["records"] for f in files) < 2500
