@@ -4,13 +4,13 @@ A payload (the text's bytes, padded with spaces to a positive multiple of 192) i
 a PNG image of 8-bit RGB samples, 64 pixels or 192 bytes a line: lossless, deflated, with its
 shape in the first 33 bytes. Each task appends the images that it has not yet stored to tar
 shards of bounded size, named by their digest; rows carry shard, digest, offset and length.
-Reading back takes two steps: a ranged read of the header alone fills the metadata columns,
-a ranged read of the body yields the samples.
+Each content then has one address: of copies that different tasks have stored, that with the least
+(shard, offset); the others are dead bytes. Contents are read back in two steps, sorted by
+address, each content once: a ranged read of the header alone fills the metadata columns, a ranged
+read of the body yields the samples. A row finds its content by the digest.
 
-Shards and the manifest of (row, shard, offset, length) lie in the shared folder; the
-manifest is written by Spark's commit, so shards of lost or repeated attempts are never
-referred to. Equal texts in different tasks may be stored once each; their values are equal,
-since the encoding is deterministic.
+Shards and the manifest of (row, digest, shard, offset, length) lie in the shared folder; the
+manifest is written by Spark's commit, so shards of lost or repeated attempts are never referred to.
 
 Edge cases: null or empty text is one line of spaces; repeated rows share a payload; null ids
 stay null; an empty table gives an empty table; other columns are ignored.
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import by_file, documents, shared_folder, slices, spread, store, unique_name, written
 
@@ -35,8 +36,9 @@ HEADER = 33
 #: A shard is closed beyond this many bytes.
 SHARD_BYTES = 64 << 20
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
-MANIFEST = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
-RESULT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+MANIFEST = "doc_id long, n_bytes long, digest binary, shard string, offset long, length long"
+METADATA = "width int, height int, bits int, samples int"
+READ = "digest binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, feature string"
 
 
 def payload(text: str) -> bytes:
@@ -123,76 +125,84 @@ def write_shards(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
         for b in slices(batches):
             rows = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                raw = t.encode()
-                key = hashlib.sha256(raw).digest()
+                data = payload(t)
+                key = hashlib.sha256(data).digest()
                 if key not in known:
                     if len(known) > 200_000:
                         known.clear()
-                    png = to_png(payload(t))
-                    digest = hashlib.sha256(png).hexdigest()
-                    known[key] = (digest, *shards.add(f"{digest[:2]}/{digest}.png", png))
-                rows.append((i, len(raw), *known[key]))
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()))], ["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
+                    png = to_png(data)
+                    digest = hashlib.sha256(png)
+                    known[key] = (digest.digest(), *shards.add(f"{digest.hexdigest()[:2]}/{digest.hexdigest()}.png", png))
+                rows.append((i, len(t.encode()), *known[key]))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64()))], ["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
         shards.close()
 
     return written(spread(documents(df, id_col, text_col)).mapInArrow(run, MANIFEST), folder, "manifest")
 
 
-def metadata(manifest: DataFrame, folder: str) -> DataFrame:
-    """The manifest with width, height, bits and samples, from ranged reads of headers only."""
+def contents(manifest: DataFrame) -> DataFrame:
+    """One address (digest, shard, offset, length) of each content of a manifest, dealt and sorted by it."""
+    at = manifest.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"))
+    return by_file(at.select("digest", "at.shard", "at.offset", "at.length"), "shard", "offset")
+
+
+class _Reader:
+    """Ranged reads of shards; the file last read from stays open."""
+
+    def __init__(self, folder: str):
+        self.fs, self.path = store(folder)
+        self.name = self.file = None
+
+    def read(self, shard: str, offset: int, length: int) -> bytes:
+        if shard != self.name:
+            self.close()
+            self.name, self.file = shard, self.fs.open_input_file(f"{self.path}/{shard}")
+        return self.file.read_at(length, offset)
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+
+
+def metadata(addresses: DataFrame, folder: str) -> DataFrame:
+    """Addresses (shard and offset among their columns) with width, height, bits and samples, from ranged reads of headers only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, path = store(folder)
+        reader = _Reader(folder)
         for b in slices(batches):
-            found, cols = {}, b.to_pydict()
-            rows = []
-            for shard, offset in zip(cols["shard"], cols["offset"]):
-                if (shard, offset) not in found:
-                    with fs.open_input_file(f"{path}/{shard}") as f:
-                        found[shard, offset] = header(f.read_at(HEADER, offset))
-                rows.append(found[shard, offset])
-            more = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.int32()) for x in more)], [*b.schema.names, "width", "height", "bits", "samples"])
+            rows = [header(reader.read(shard, offset, HEADER)) for shard, offset in zip(b["shard"].to_pylist(), b["offset"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.int32()) for x in zip(*rows))], [*b.schema.names, "width", "height", "bits", "samples"])
+        reader.close()
 
-    return manifest.mapInArrow(run, MANIFEST + ", width int, height int, bits int, samples int")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in addresses.schema)
+    return addresses.mapInArrow(run, f"{kinds}, {METADATA}")
 
 
-def read_back(manifest: DataFrame, folder: str) -> DataFrame:
-    """Digests and features of the stored bytes, read by range from the shards."""
+def read_back(described: DataFrame, folder: str) -> DataFrame:
+    """Digests and features of the stored bytes of contents with metadata, read by range from the shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, path = store(folder)
-        name, file, last, values = None, None, None, None
+        reader, names = _Reader(folder), ("digest", "shard", "offset", "length", "width", "height", "bits", "samples")
         for b in slices(batches):
             rows = []
-            cols = b.to_pydict()
-            for i, n, digest, shard, offset, length in zip(*(cols[k] for k in ("doc_id", "n_bytes", "digest", "shard", "offset", "length"))):
-                if (shard, offset) != last:
-                    if shard != name:
-                        if file is not None:
-                            file.close()
-                        name, file = shard, fs.open_input_file(f"{path}/{shard}")
-                    width, height, *_ = header(file.read_at(HEADER, offset))
-                    png = file.read_at(length, offset)
-                    data = from_png(png)
-                    sha = hashlib.sha256(png).hexdigest()
-                    if sha != digest:
-                        raise ValueError(f"{shard} at {offset}: the stored bytes differ from their address")
-                    last = (shard, offset)
-                    values = (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), length, sha, feature(width, height, np.frombuffer(data, np.uint8)))
-                rows.append((i, n, *values))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            names = [x.split()[0] for x in RESULT.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(list(zip(*rows)) or [[]] * 8, kinds)], names)
-        if file is not None:
-            file.close()
-
-    return by_file(manifest, "shard", "offset").mapInArrow(run, RESULT)
+            for digest, shard, offset, length, *shape in zip(*(b[k].to_pylist() for k in names)):
+                png = reader.read(shard, offset, length)
+                if hashlib.sha256(png).digest() != digest:
+                    raise ValueError(f"{shard} at {offset}: the stored bytes differ from their address")
+                data = from_png(png)
+                rows.append((digest, len(data), hashlib.sha256(data).digest(), zlib.crc32(data[-16:]), length, feature(*shape[:2], np.frombuffer(data, np.uint8)), *shape))
+            kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string(), *[pa.int32()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], [x.split()[0] for x in f"{READ}, {METADATA}".split(", ")])
+        reader.close()
+
+    return described.mapInArrow(run, f"{READ}, {METADATA}")
 
 
 def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores all payloads and returns what is read back from the stored bytes."""
+    """Stores all payloads and returns what is read back from the stored bytes, with the metadata columns."""
     folder = shared_folder(df.sparkSession)
-    return read_back(write_shards(df, folder, id_col, text_col), folder)
-
-
+    manifest = write_shards(df, folder, id_col, text_col)
+    found = read_back(metadata(contents(manifest), folder), folder).withColumnRenamed("digest", "content")
+    rows = manifest.select("doc_id", "n_bytes", "digest").join(found, F.col("digest") == F.col("content"))
+    digest = lambda name: F.lower(F.hex(name))
+    return rows.select("doc_id", "n_bytes", "payload_bytes", digest("payload_sha256").alias("payload_sha256"), "tail_crc32", "media_bytes", digest("content").alias("media_sha256"), "feature", "width", "height", "bits", "samples")
