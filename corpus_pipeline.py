@@ -1,4 +1,9 @@
-"""A corpus pipeline of five stages, each written as Parquet and read again by the next."""
+"""A corpus pipeline of five stages, each written as Parquet and read again by the next.
+
+Stages but the last return all columns of what they are given, whatever their names, and take
+empty tables (result: empty), null and empty texts (alike but kept apart where a text is
+returned), very long texts (whole), repeated rows and null ids as their docstrings say.
+"""
 
 from __future__ import annotations
 
@@ -10,27 +15,45 @@ from meshlark.llm.queries import WORD_BPE
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the labelled documents; documents that it rejects go."""
+    """Learns from the labelled documents; documents that it rejects go.
+
+    Rows of equal texts share their fate, repeated rows included; null text is judged as empty text;
+    a null id is judged but teaches nothing; without labels every row stays.
+    """
     return quality.accepted(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays.
+
+    Null text equals empty text; of repeated rows one stays; a null id is the smallest, so such a row
+    stays only if no other row has its text.
+    """
     return exact.deduplicated(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the row with the smallest doc_id stays."""
+    """Of each component of near-duplicates the row with the smallest doc_id stays.
+
+    Null, empty and blank texts are near-duplicates of each other; a tie of rows with the smallest
+    doc_id and its component keeps them all; rows without an id stay.
+    """
     return simhash.deduplicated(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; every document stays."""
+    """Secrets are replaced by a mark; every document stays.
+
+    Overlapping finds become one mark; null text stays null; n_chars, if there, follows the text.
+    """
     return secrets.redacted(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The placed pieces of all documents."""
+    """The placed pieces of all documents.
+
+    Null and empty text is the end id alone; repeated rows are pieces of their own; null ids stay null.
+    """
     return packing.packed(docs, WORD_BPE)
 
 
