@@ -1,37 +1,56 @@
-"""Counter-based random numbers: a draw depends on (seed, step, id, component) alone.
+"""Counter-based random numbers: a draw depends on (seed, step, component, row) alone.
 
-Draws do not depend on partitioning, so a task that runs again draws the same numbers.
+Draws do not depend on partitioning, so a task that runs again draws the same numbers. Seed, step
+and component give, through a cryptographic hash, the constants of a stream's own function; a row's
+64 bits enter it as low and high parts with a multiplier each. Streams are therefore no shifts of
+each other, and rows beyond 2**31 do not repeat.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Constants of the 64-bit congruential step and the 31-bit mixing modulus (fixed values).
-_MODULUS, _MULTIPLIERS = 2147483647, (48271, 69621, 39373)
+# The prime modulus of draws, the bits of a row's low part and the rounds of mixing (fixed values).
+MODULUS, LOW_BITS, ROUNDS = 2147483647, 30, 3
 
 
-def draw(seed: int, step: int, row: Column, comp: int = 0) -> Column:
-    """An integer in [1, modulus): products stay below 2**53, so any engine computes the same."""
-    x = F.pmod(row.cast("bigint") + F.lit(seed * 7919 + step * 104729 + comp * 1299709 + 1), F.lit(_MODULUS))
-    for k, m in enumerate(_MULTIPLIERS):
-        x = F.pmod(x * F.lit(m) + F.lit(12345 + k), F.lit(_MODULUS))
-        x = F.pmod(x * F.pmod(x, F.lit(65536)) + F.lit(k + 1), F.lit(_MODULUS))
+def constants(seed: int, step: int, comp: int, n: int) -> list[int]:
+    """n numbers in [1, MODULUS) of one stream."""
+    key = f"{seed}:{step}:{comp}:".encode()
+    return [int.from_bytes(hashlib.blake2b(key + b"%d" % k, digest_size=16).digest(), "big") % (MODULUS - 1) + 1 for k in range(n)]
+
+
+def draw(seed: int, step: int, row: Column | list[Column], comp: int = 0) -> Column:
+    """An integer in [0, MODULUS) for a row, or for several columns that name one together.
+
+    Products stay below 2**62 and sums below 2**63, so any engine with 64-bit integers computes the same.
+    """
+    rows = row if isinstance(row, list) else [row]
+    keys = iter(constants(seed, step, comp, 2 * len(rows) + 2 * ROUNDS))
+    m, x = F.lit(MODULUS).cast("bigint"), F.lit(0).cast("bigint")
+    for r in rows:
+        r = r.cast("bigint")
+        for part in (r.bitwiseAND(F.lit((1 << LOW_BITS) - 1).cast("bigint")), F.pmod(F.shiftright(r, LOW_BITS), m)):
+            x = x + part * F.lit(next(keys)).cast("bigint") % m
+    for _ in range(ROUNDS):
+        x = (x % m * F.lit(next(keys)).cast("bigint") + F.lit(next(keys)).cast("bigint")) % m
+        x = x * (x % F.lit(65536) + F.lit(1)) % m
     return x
 
 
 def uniform(seed: int, step: int, row: Column, comp: int = 0) -> Column:
     """In [0, 1)."""
-    return draw(seed, step, row, comp).cast("double") / F.lit(float(_MODULUS))
+    return draw(seed, step, row, comp).cast("double") / F.lit(float(MODULUS))
 
 
 def normal(seed: int, step: int, row: Column, comp: int = 0, mean: float = 0.0, sigma: float = 1.0) -> Column:
     """By Box and Muller's transform of two uniform draws."""
-    u = (draw(seed, step, row, 2 * comp).cast("double") + F.lit(1.0)) / F.lit(float(_MODULUS) + 1.0)
+    u = (draw(seed, step, row, 2 * comp).cast("double") + F.lit(1.0)) / F.lit(float(MODULUS) + 1.0)
     v = uniform(seed, step, row, 2 * comp + 1)
     return F.lit(mean) + F.lit(sigma) * F.sqrt(-2.0 * F.log(u)) * F.cos(F.lit(2 * math.pi) * v)
 

@@ -60,25 +60,22 @@ def has_boundary_columns(df: DataFrame, ndim: int) -> bool:
 def truncate(df: DataFrame, ndim: int, reset_distance: float, position: str = "P", previous: str = "PP", step: str = "TSP") -> DataFrame:
     """Moves rows back by reset_distance before their hit and scales the last step to the share achieved.
 
-    A hit nearer than a tenth of the distance to the previous position, or a reset beyond it,
-    puts the row on its previous position.
+    A row whose way from its previous position to the hit is no longer than that distance returns
+    to the previous position. The share is the hit's way over the whole way, 1 for a row that
+    hardly moved.
     """
-    p, pp, hit = ([F.col(f"{n}_{d}") for d in range(ndim)] for n in (position, previous, "point"))
-    back = [a - b for a, b in zip(pp, hit)]
-    length = F.sqrt(sum((b * b for b in back), F.lit(0.0)))
-    small = length < reset_distance * 0.1
-    shift = [b * F.when(small, F.lit(reset_distance)).otherwise(F.try_divide(F.lit(reset_distance), length)) for b in back]
-    new = [F.when(small, a).otherwise(h + s) for a, h, s in zip(pp, hit, shift)]
-    beyond = F.lit(False)
-    for a, n, s in zip(pp, new, shift):
-        beyond = beyond | ((a - n) * s < 0)
-    full = F.sqrt(sum(((a - b) * (a - b) for a, b in zip(p, pp)), F.lit(0.0)))
-    share = F.when(full > 1e-16, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(length, full)))).otherwise(F.lit(1.0))
-    out = df.withColumns({f"__n_{d}": F.when(beyond, a).otherwise(n) for d, (a, n) in enumerate(zip(pp, new))} | {"__share": share})
-    moved = {f"{position}_{d}": F.col(f"__n_{d}") for d in range(ndim)}
+    dims = range(ndim)
+    way = lambda a, b: F.sqrt(sum((F.pow(F.col(f"{a}_{d}") - F.col(f"{b}_{d}"), 2.0) for d in dims), F.lit(0.0)))
+    # a generator computes both lengths once
+    ways = F.array(F.struct(way(previous, "point").alias("__to_hit"), way(previous, position).alias("__whole")))
+    out = df.select("*", F.inline(ways))
+    part = F.try_divide(F.lit(reset_distance), F.col("__to_hit"))
+    place = {f"{position}_{d}": F.when(F.col("__to_hit") > reset_distance, F.col(f"point_{d}") + (F.col(f"{previous}_{d}") - F.col(f"point_{d}")) * part).otherwise(F.col(f"{previous}_{d}")) for d in dims}
     if f"{step}_0" in df.columns:
-        moved |= {f"{step}_0": F.col(f"{step}_0") - F.col(f"{step}_1") + F.col(f"{step}_1") * F.col("__share"), f"{step}_1": F.col(f"{step}_1") * F.col("__share")}
-    return out.withColumns(moved).drop("__share", *(f"__n_{d}" for d in range(ndim)))
+        share = F.when(F.col("__whole") > 1e-16, F.least(F.lit(1.0), F.try_divide(F.col("__to_hit"), F.col("__whole")))).otherwise(F.lit(1.0))
+        done, last = F.col(f"{step}_0"), F.col(f"{step}_1")
+        place |= {f"{step}_0": done - last * (1.0 - share), f"{step}_1": last * share}
+    return out.withColumns(place).drop("__to_hit", "__whole")
 
 
 def reflect(df: DataFrame, ndim: int, reset_distance: float, velocity: str = "V", **names: str) -> DataFrame:

@@ -10,7 +10,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..mesh import CartesianMesh
 from .scan import grouped_scan
@@ -122,18 +121,13 @@ def segment_totals(df: DataFrame, segments: DataFrame, segment: str, value: str)
     return segments.select(segment).distinct().join(found, segment, "left").select(segment, F.coalesce("t", F.lit(0)).alias("total"))
 
 
-def exclusive_scan(df: DataFrame, order: str, value: str, name: str = "scan", block: int = 1 << 16) -> DataFrame:
-    """Global exclusive prefix sums over an integer order, without one task for all rows.
+def exclusive_scan(df: DataFrame, order: str, value: str, name: str = "scan", block: int = 1 << 18) -> DataFrame:
+    """Global exclusive prefix sums over an integer order, dense or not, without one task for all rows.
 
-    Rows are grouped in blocks of the order; block totals (few rows) are scanned first, then each
-    block by itself.
+    The whole table is one group of a grouped scan: it is cut in blocks of about `block` rows, block
+    totals (few rows) are scanned first, then each block by itself.
     """
-    blocked = df.withColumn("__block", F.floor(F.col(order) / F.lit(block)).cast("bigint"))
-    totals = blocked.groupBy("__block").agg(F.sum(value).alias("__t"))
-    over = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("__block", F.coalesce(F.sum("__t").over(over), F.lit(0)).alias("__base"))
-    inner = Window.partitionBy("__block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return blocked.join(bases, "__block").withColumn(name, F.col("__base") + F.coalesce(F.sum(value).over(inner), F.lit(0))).drop("__block", "__base")
+    return grouped_scan(df.withColumn("__all", F.lit(0)), ["__all"], order, value, name, hot_rows=block).drop("__all")
 
 
 def loop_indices(df: DataFrame) -> DataFrame:

@@ -13,16 +13,31 @@ from ..group import with_layers
 from .scan import grouped_scan
 
 
+#: Rows of a cell on one side of a block of pairs, draws of a cell in one row, and pairs of a cell that one task may walk through.
+SIDE, DRAWS, WALK = 1 << 12, 1 << 16, 1 << 24
+
+
 def all_to_all(df: DataFrame, columns: list[str]) -> DataFrame:
     """(cell, layer_a, layer_b, a_*, b_*): every unordered pair of a cell once.
 
     The number of pairs is what the operator asks for; reduce them by cell where that is wanted
-    and the join streams into the aggregate.
+    and the join streams into the aggregate. Cells of more than SIDE rows are cut into blocks of
+    layers, and each pair of blocks is a key of its own, so a hot cell spreads.
     """
-    rows = with_layers(df).select("cell", "layer", *columns)
-    a = rows.select("cell", F.col("layer").alias("layer_a"), *(F.col(c).alias(f"a_{c}") for c in columns))
-    b = rows.select("cell", F.col("layer").alias("layer_b"), *(F.col(c).alias(f"b_{c}") for c in columns))
-    return a.join(b, "cell").where("layer_a < layer_b")
+    rows = with_layers(df).select("cell", "layer", *columns).withColumn("__block", F.floor(F.col("layer") / SIDE).cast("bigint"))
+    large = df.groupBy("cell").agg(F.floor((F.count("*") - 1) / SIDE).cast("bigint").alias("__last")).where("__last > 0")
+    rows_a = rows.join(large, "cell", "left").withColumn("__other", F.explode(F.sequence(F.col("__block"), F.coalesce("__last", F.col("__block")))))
+    rows_b = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__block"))))
+    a = rows_a.select("cell", F.col("__block").alias("__i"), F.col("__other").alias("__j"), F.col("layer").alias("layer_a"), *(F.col(c).alias(f"a_{c}") for c in columns))
+    b = rows_b.select("cell", F.col("__other").alias("__i"), F.col("__block").alias("__j"), F.col("layer").alias("layer_b"), *(F.col(c).alias(f"b_{c}") for c in columns))
+    return a.join(b, ["cell", "__i", "__j"]).where("layer_a < layer_b").drop("__i", "__j")
+
+
+def walkable(pairs: DataFrame) -> DataFrame:
+    """The pairs, with an error if a cell has more than WALK of them: walking through them is one task's work by definition."""
+    large = pairs.groupBy("cell").agg(F.count("*").alias("__n")).where(F.col("__n") > WALK)
+    bad = F.raise_error(F.concat(F.lit("too many pairs for a sequential walk in cell "), F.col("cell").cast("string")))
+    return pairs.join(large, "cell", "left").withColumn("cell", F.when(F.col("__n").isNull(), F.col("cell")).otherwise(bad)).drop("__n")
 
 
 def host_waves(pairs: DataFrame) -> DataFrame:
@@ -41,7 +56,7 @@ def host_waves(pairs: DataFrame) -> DataFrame:
         lo, hi = pdf[["i", "j"]].min(axis=1), pdf[["i", "j"]].max(axis=1)
         return pdf.assign(wave=waves, i=lo, j=hi)[["cell", "ord", "wave", "i", "j"]]
 
-    return pairs.select("cell", "ord", "i", "j").groupBy("cell").applyInPandas(one, "cell long, ord long, wave long, i long, j long")
+    return walkable(pairs.select("cell", "ord", "i", "j")).groupBy("cell").applyInPandas(one, "cell long, ord long, wave long, i long, j long")
 
 
 def invalid_rows(pairs: DataFrame, keys: tuple[str, ...] = ("cell", "wave")) -> DataFrame:
@@ -82,7 +97,7 @@ def pair_loop(rows: DataFrame, pairs: DataFrame, columns: list[str], kernel: Cal
             kernel(table[i], table[j])
         return pd.DataFrame(table.values(), columns=["cell", "layer", *columns])
 
-    return rows.select("cell", "layer", *columns).groupBy("cell").cogroup(pairs.select("cell", "wave", "i", "j").groupBy("cell")).applyInPandas(one, schema)
+    return rows.select("cell", "layer", *columns).groupBy("cell").cogroup(walkable(pairs.select("cell", "wave", "i", "j")).groupBy("cell")).applyInPandas(one, schema)
 
 
 # --- collision cells
@@ -117,8 +132,11 @@ def sample_ntc(partition: DataFrame, wanted: DataFrame, a: int, b: int, seed: in
     """
     sizes = wanted.join(max_pairs(partition, a, b, True), ["cell", "ccell"], "left").where("n > 0")
     ok = F.when(F.coalesce(F.col("most"), F.lit(0)) > 0, F.col("n")).otherwise(F.raise_error(F.lit("too few rows for the pairs asked for")))
-    drawn = sizes.withColumn("k", F.explode(F.sequence(F.lit(0), ok - 1)))
-    row = F.col("cell") * 1000003 + F.col("ccell") * 10007 + F.col("k")
+    # blocks of draws first: a row that asks for very many neither makes one array nor keeps them in one task
+    blocks = sizes.withColumn("n", ok.cast("bigint")).withColumn("__b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / DRAWS).cast("bigint"))))
+    blocks = blocks.repartition("cell", "ccell", "__b")
+    drawn = blocks.withColumn("k", F.explode(F.sequence((F.col("__b") * DRAWS), F.least(F.col("n"), (F.col("__b") + 1) * DRAWS) - 1))).withColumn("k", F.col("k").cast("int")).drop("__b")
+    row = [F.col("cell"), F.col("ccell"), F.col("k")]
     i, j = ntc_ranks(rng.uniform(seed, step, row, 0), rng.uniform(seed, step, row, 1), F.col("n_a"), F.col("n_b"), a == b)
     drawn = drawn.select("cell", "ccell", "k", i.alias("i"), j.alias("j"))
     ra = partition.where(F.col("species") == a).select("cell", "ccell", F.col("rank").alias("i"), F.col("id").alias("id_a"))

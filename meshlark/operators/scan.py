@@ -1,14 +1,16 @@
 """Prefix sums within groups of any size.
 
 A window over a group sorts the whole group in one task. Groups of more than HOT_ROWS rows are
-therefore cut into blocks of their order column: each block is scanned by itself and starts
-from the totals of the blocks before it. Where no group is that large, both joins are with an
-empty table and adaptive execution removes them.
+therefore cut into blocks of their order column: each block is scanned by itself and starts from
+the totals of the blocks before it. Blocks are equal widths of the group's order; one that is still
+too large, as skewed orders make, is cut again by widths of its own. Cuts are computed, not
+sampled, so a task that runs again cuts alike. Where no group is that large, the joins are with
+empty tables and adaptive execution removes them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,22 +18,35 @@ from pyspark.sql.window import Window
 HOT_ROWS = 1 << 22
 
 
+def _cut(df: DataFrame, keys: list[str], order: str, limit: int, level: int, among: Column | None) -> DataFrame:
+    """Adds __block_<level>, 0 for groups (by keys) of `limit` rows or fewer; only rows with `among` can be in larger ones."""
+    lo, width, block = f"__lo_{level}", f"__width_{level}", f"__block_{level}"
+    rows = df if among is None else df.where(among)
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.min(order).alias(lo), F.max(order).alias("__hi")).where(F.col("__n") > limit)
+    # twice as many blocks as needed, so that even blocks stay below the limit
+    step = F.ceil((F.col("__hi").cast("decimal(20,0)") - F.col(lo) + 1) / F.ceil(2 * F.col("__n") / F.lit(limit))).cast("bigint")
+    hot = sizes.select(*keys, lo, F.greatest(step, F.lit(1)).alias(width))
+    number = F.floor((F.col(order).cast("decimal(20,0)") - F.col(lo)) / F.col(width)).cast("bigint")
+    return df.join(hot, keys, "left").withColumn(block, F.coalesce(F.when(F.col(lo).isNotNull(), number), F.lit(0))).drop(width).withColumn(f"__hot_{level}", F.col(lo).isNotNull()).drop(lo)
+
+
 def grouped_scan(df: DataFrame, keys: list[str], order: str, value: str | None, name: str, inclusive: bool = False, hot_rows: int | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
-    """Adds running sums of `value` (of ones if None) within the keys, in order of an integer column and then of ties."""
+    """Adds running sums of `value` (of ones if None) within the keys, in order of an integer column and then of ties.
+
+    Rows of a group that share one value of the order cannot be cut apart.
+    """
     limit = HOT_ROWS if hot_rows is None else hot_rows
     v = F.lit(1) if value is None else F.col(value)
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("__n"), F.min(order).alias("__lo"), F.max(order).alias("__hi")).where(F.col("__n") > limit)
-    width = F.ceil((F.col("__hi") - F.col("__lo") + 1) / F.ceil(F.col("__n") / F.lit(limit)))
-    hot = sizes.select(*keys, "__lo", F.greatest(width, F.lit(1)).alias("__width"))
-    block = F.coalesce(F.floor((F.col(order) - F.col("__lo")) / F.col("__width")), F.lit(0)).cast("bigint")
-    blocked = df.join(hot, keys, "left").withColumn("__block", block)
-    totals = blocked.where("__lo IS NOT NULL").groupBy(*keys, "__block").agg(F.sum(v).alias("__t"))
-    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(*keys, "__block", F.sum("__t").over(before).alias("__base"))
-    inside = Window.partitionBy(*keys, "__block").orderBy(order, *ties)
+    blocked = _cut(df, keys, order, limit, 1, None)
+    blocked = _cut(blocked, [*keys, "__block_1"], order, limit, 2, F.col("__hot_1"))
+    blocks = ["__block_1", "__block_2"]
+    totals = blocked.where("__hot_1").groupBy(*keys, *blocks).agg(F.sum(v).alias("__t"))
+    before = Window.partitionBy(*keys).orderBy(*blocks).rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(*keys, *blocks, F.sum("__t").over(before).alias("__base"))
+    inside = Window.partitionBy(*keys, *blocks).orderBy(order, *ties)
     if value is None:
         own = F.row_number().over(inside) - F.lit(0 if inclusive else 1)
     else:
         own = F.coalesce(F.sum(v).over(inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)), F.lit(0))
-    out = blocked.join(bases, [*keys, "__block"], "left").withColumn(name, F.coalesce("__base", F.lit(0)) + own)
-    return out.drop("__block", "__base", "__lo", "__width")
+    out = blocked.join(bases, [*keys, *blocks], "left").withColumn(name, F.coalesce("__base", F.lit(0)) + own)
+    return out.drop(*blocks, "__base", "__hot_1", "__hot_2")

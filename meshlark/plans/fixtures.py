@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import rng
 from ..group import Group
 from ..mesh import CartesianMesh
 from ..spec import INT, Prop, Spec
@@ -73,14 +74,18 @@ WITH ord AS (SELECT o_orderkey AS id, CAST(o_orderkey % 32 AS DOUBLE) + 0.5 AS P
 """
 
 
-def draw_sql(seed: int, step: int, row: str, comp: int = 0) -> str:
-    m = 2147483647
-    x = f"((CAST({row} AS BIGINT) + {seed * 7919 + step * 104729 + comp * 1299709 + 1}) % {m})"
-    for k, a in enumerate((48271, 69621, 39373)):
-        x = f"(({x} * {a} + {12345 + k}) % {m})"
-        x = f"(({x} * ({x} % 65536) + {k + 1}) % {m})"
+def draw_sql(seed: int, step: int, row: str | list[str], comp: int = 0) -> str:
+    """The same draw in SQL; rows are not negative."""
+    rows = row if isinstance(row, list) else [row]
+    keys = iter(rng.constants(seed, step, comp, 2 * len(rows) + 2 * rng.ROUNDS))
+    m = rng.MODULUS
+    x = " + ".join(f"{part} * {next(keys)} % {m}" for r in rows for part in (f"(CAST({r} AS BIGINT) & {(1 << rng.LOW_BITS) - 1})", f"((CAST({r} AS BIGINT) >> {rng.LOW_BITS}) % {m})"))
+    x = f"({x})"
+    for _ in range(rng.ROUNDS):
+        x = f"(({x} % {m} * {next(keys)} + {next(keys)}) % {m})"
+        x = f"({x} * ({x} % 65536 + 1) % {m})"
     return x
 
 
-def uniform_sql(seed: int, step: int, row: str, comp: int = 0) -> str:
+def uniform_sql(seed: int, step: int, row: str | list[str], comp: int = 0) -> str:
     return f"(CAST({draw_sql(seed, step, row, comp)} AS DOUBLE) / 2147483647::DOUBLE)"

@@ -147,7 +147,7 @@ def m8_max_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-_ROW = "(m.cell * 1000003 + m.ccell * 10007 + k)"
+_ROW = ["m.cell", "m.ccell", "k"]
 _I = f"least(CAST(trunc(n_a * {uniform_sql(5, 0, _ROW, 0)}) AS BIGINT), n_a - 1)"
 _J = f"({_I} + 1 + least(CAST(trunc((n_a - 1) * {uniform_sql(5, 0, _ROW, 1)}) AS BIGINT), n_a - 2)) % n_a"
 
