@@ -2,7 +2,7 @@
 
 Draws do not depend on partitioning, so a task that runs again draws the same numbers. Seed, step
 and component give, through a cryptographic hash, the constants of a stream's own function; a row's
-64 bits enter it as low and high parts with a multiplier each. Streams are therefore no shifts of
+64 bits enter it in three parts with a multiplier each. Streams are therefore no shifts of
 each other, and rows beyond 2**31 do not repeat.
 """
 
@@ -15,8 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The prime modulus of draws, the bits of a row's low part and the rounds of mixing (fixed values).
-MODULUS, LOW_BITS, ROUNDS = 2147483647, 30, 3
+# The prime modulus of draws, the bits of a row's lower parts and the rounds of mixing (fixed values).
+MODULUS, PART_BITS, ROUNDS = 2147483647, 30, 3
 
 
 def constants(seed: int, step: int, comp: int, n: int) -> list[int]:
@@ -31,11 +31,12 @@ def draw(seed: int, step: int, row: Column | list[Column], comp: int = 0) -> Col
     Products stay below 2**62 and sums below 2**63, so any engine with 64-bit integers computes the same.
     """
     rows = row if isinstance(row, list) else [row]
-    keys = iter(constants(seed, step, comp, 2 * len(rows) + 2 * ROUNDS))
+    keys = iter(constants(seed, step, comp, 3 * len(rows) + 2 * ROUNDS))
     m, x = F.lit(MODULUS).cast("bigint"), F.lit(0).cast("bigint")
     for r in rows:
         r = r.cast("bigint")
-        for part in (r.bitwiseAND(F.lit((1 << LOW_BITS) - 1).cast("bigint")), F.pmod(F.shiftright(r, LOW_BITS), m)):
+        low = F.lit((1 << PART_BITS) - 1).cast("bigint")
+        for part in (r.bitwiseAND(low), F.shiftright(r, PART_BITS).bitwiseAND(low), F.pmod(F.shiftright(r, 2 * PART_BITS), m)):
             x = x + part * F.lit(next(keys)).cast("bigint") % m
     for _ in range(ROUNDS):
         x = (x % m * F.lit(next(keys)).cast("bigint") + F.lit(next(keys)).cast("bigint")) % m

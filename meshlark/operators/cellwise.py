@@ -25,6 +25,18 @@ def fill(spark: SparkSession, mesh: CartesianMesh, nrow: int = 1, ncol: int = 1,
     return df.select(F.floor(at / (nrow * ncol)).cast("bigint").alias("cell"), F.floor(at / ncol).cast("bigint").__mod__(nrow).cast("int").alias("row"), (at % ncol).cast("int").alias("col"), F.lit(value).alias("value"))
 
 
+def accumulate(df: DataFrame, keys: list[str], values: dict[str, tuple[str, Column]], prior: DataFrame | None = None) -> DataFrame:
+    """(keys..., names...): accumulators name -> (plus, min or max; column) of each key, one row without keys.
+
+    prior: a table of the same form; its values are combined in, and keys of either side come out.
+    """
+    got = df.groupBy(*keys).agg(*(AGGREGATES[op](c).alias(n) for n, (op, c) in values.items()))
+    if prior is None:
+        return got
+    both = got.unionByName(prior.select(*keys, *values))
+    return both.groupBy(*keys).agg(*(AGGREGATES[op](n).alias(n) for n, (op, _) in values.items()))
+
+
 def set_values(table: DataFrame, new: DataFrame) -> DataFrame:
     """Upserts (cell, row, col, value)."""
     keys = ["cell", "row", "col"]

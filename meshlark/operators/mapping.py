@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +51,20 @@ def departing(df: DataFrame, me: int, ranks: int, column: str = "owner") -> Data
     return df.where(F.col(column).between(0, ranks - 1) & (F.col(column) != me))
 
 
+def last_holding(points: DataFrame, shapes: DataFrame, candidates: DataFrame, mesh: CartesianMesh, position: list[Column], keep: list[str], inside: Callable[[Column], Column]) -> DataFrame:
+    """(keep..., mesh_cell): of the candidates (cell, mesh_cell, ord) of a point's overlay cell the last whose shape holds it, null if none.
+
+    shapes is (mesh_cell, sides), sides an array that inside() tests against the columns p_0.. of a
+    point. Each overlay cell carries its candidates in order, as many as the mesh has there, so a
+    point meets them in one row: points are joined once and never grouped.
+    """
+    listed = candidates.join(shapes, "mesh_cell").groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("ord", "mesh_cell", "sides"))).alias("__listed"))
+    at = points.select(*keep, mesh.cell(position).alias("cell"), *(p.alias(f"p_{k}") for k, p in enumerate(position)))
+    held = F.filter("__listed", lambda c: inside(c["sides"]))
+    # an absent element is null where there is no candidate or none holds the point
+    return at.join(listed, "cell", "left").select(*keep, F.try_element_at(held, F.lit(-1))["mesh_cell"].alias("mesh_cell"))
+
+
 def locate(points: DataFrame, edges: DataFrame, candidates: DataFrame, mesh: CartesianMesh, position: list[Column], keep: list[str]) -> DataFrame:
     """(keep..., mesh_cell): the polygon that holds each point, null if none.
 
@@ -56,31 +72,72 @@ def locate(points: DataFrame, edges: DataFrame, candidates: DataFrame, mesh: Car
     (mesh_cell, ax, ay, bx, by). A point on an edge or a corner is inside; of several
     polygons the last candidate wins.
     """
-    at = points.withColumn("cell", mesh.cell(position)).withColumns({"px": position[0], "py": position[1]}).select(*keep, "cell", "px", "py")
-    px, py = F.col("px"), F.col("py")
-    ax, ay, bx, by = (F.col(c) for c in ("ax", "ay", "bx", "by"))
-    turn = (bx - ax) * (py - ay) - (by - ay) * (px - ax)
-    on_edge = (turn == 0) & px.between(F.least(ax, bx), F.greatest(ax, bx)) & py.between(F.least(ay, by), F.greatest(ay, by))
-    crosses = ((ay > py) != (by > py)) & (px < ax + F.try_divide((bx - ax) * (py - ay), by - ay))
-    tested = at.join(candidates, "cell").join(edges, "mesh_cell").groupBy(*keep, "mesh_cell", "ord")
-    inside = tested.agg(F.max(on_edge.cast("int")).alias("on"), F.sum(F.coalesce(crosses, F.lit(False)).cast("int")).alias("n")).where("on = 1 OR n % 2 = 1")
-    best = inside.groupBy(*keep).agg(F.max_by("mesh_cell", "ord").alias("mesh_cell"))
-    return points.select(*keep).join(best, keep, "left")
-
-
-def locate_convex(points: DataFrame, faces: DataFrame, candidates: DataFrame, mesh: CartesianMesh, position: list[Column], keep: list[str]) -> DataFrame:
+    shapes = edges.groupBy("mesh_cell").agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("sides"))
+    px, py = F.col("p_0"), F.col("p_1")
+
+    def on(e: Column) -> Column:
+        turn = (e["bx"] - e["ax"]) * (py - e["ay"]) - (e["by"] - e["ay"]) * (px - e["ax"])
+        return (turn == 0) & px.between(F.least(e["ax"], e["bx"]), F.greatest(e["ax"], e["bx"])) & py.between(F.least(e["ay"], e["by"]), F.greatest(e["ay"], e["by"]))
+
+    def crosses(e: Column) -> Column:
+        return ((e["ay"] > py) != (e["by"] > py)) & F.coalesce(px < e["ax"] + F.try_divide((e["bx"] - e["ax"]) * (py - e["ay"]), e["by"] - e["ay"]), F.lit(False))
+
+    return last_holding(points, shapes, candidates, mesh, position, keep, lambda sides: F.exists(sides, on) | (F.size(F.filter(sides, crosses)) % 2 == 1))
+
+
+def locate_convex(points: DataFrame, faces: DataFrame, candidates: DataFrame, mesh: CartesianMesh, position: list[Column], keep: list[str], tol: float = 0.0) -> DataFrame:
     """(keep..., mesh_cell): the convex cell of any dimension that holds each point, null if none.
 
-    faces is (mesh_cell, n_0.., d), a half-space n . x >= d a row; a point on a face is inside, and
-    of several cells the last candidate wins. Candidates come from a grid-bucket join, as in locate().
+    faces is (mesh_cell, n_0.., d), a half-space n . x >= d a row; a point on a face (or beyond it by
+    at most tol) is inside, and of several cells the last candidate wins. Candidates come from a
+    grid-bucket join, as in locate().
+    """
+    names = [f"n_{k}" for k in range(len(position))]
+    shapes = faces.groupBy("mesh_cell").agg(F.collect_list(F.struct(*names, "d")).alias("sides"))
+
+    def above(f: Column) -> Column:
+        height = -f["d"]
+        for k, n in enumerate(names):
+            height = height + f[n] * F.col(f"p_{k}")
+        return height >= -tol
+
+    return last_holding(points, shapes, candidates, mesh, position, keep, lambda sides: F.forall(sides, above))
+
+
+def local_move(rows: DataFrame, mesh: CartesianMesh, owner: DataFrame, before: str, after: str, stencil: int = 1) -> DataFrame:
+    """Rows with the owners of their cells before and after a step, as from and to; owner is (cell, owner).
+
+    A local move reaches only owners that have a cell in the neighbourhood (periodic, `stencil` cells
+    wide) of the owner left; a row beyond raises an error. hybrid_move() has no such bound.
+    """
+    return _moved(rows, mesh, owner, before, after, stencil).withColumn("to", F.when(F.col("how") != "global", F.col("to")).otherwise(F.raise_error(F.lit("a local move to an owner that is no neighbour")))).drop("how")
+
+
+def hybrid_move(rows: DataFrame, mesh: CartesianMesh, owner: DataFrame, before: str, after: str, stencil: int = 1) -> DataFrame:
+    """Rows with from, to and how: stay, local (to a neighbouring owner) or global."""
+    return _moved(rows, mesh, owner, before, after, stencil)
+
+
+def _moved(rows: DataFrame, mesh: CartesianMesh, owner: DataFrame, before: str, after: str, stencil: int) -> DataFrame:
+    near = mesh.neighbours(owner, stencil, True).join(owner.select("cell", F.col("owner").alias("from")), "cell")
+    near = near.join(owner.select(F.col("cell").alias("neighbour"), F.col("owner").alias("to")), "neighbour").select("from", "to").distinct().withColumn("__near", F.lit(True))
+    out = rows.join(owner.select(F.col("cell").alias(before), F.col("owner").alias("from")), before).join(owner.select(F.col("cell").alias(after), F.col("owner").alias("to")), after)
+    how = F.when(F.col("from") == F.col("to"), "stay").when(F.col("__near"), "local").otherwise("global")
+    return out.join(near, ["from", "to"], "left").withColumn("how", how).drop("__near")
+
+
+def straight_steps(df: DataFrame, start: list[Column], target: list[str], steps: int, tol: float = 1e-6) -> DataFrame:
+    """Rows moved from start to their target columns in equal steps, then put on the target exactly.
+
+    A row whose sum of steps is further than tol from its target raises an error.
     """
-    at = points.withColumn("cell", mesh.cell(position)).withColumns({f"p_{k}": p for k, p in enumerate(position)}).select(*keep, "cell", *(f"p_{k}" for k in range(len(position))))
-    height = -F.col("d")
-    for k in range(len(position)):
-        height = height + F.col(f"n_{k}") * F.col(f"p_{k}")
-    tested = at.join(candidates, "cell").join(faces, "mesh_cell").groupBy(*keep, "mesh_cell", "ord").agg(F.min(height).alias("h")).where("h >= 0")
-    best = tested.groupBy(*keep).agg(F.max_by("mesh_cell", "ord").alias("mesh_cell"))
-    return points.select(*keep).join(best, keep, "left")
+    out = df
+    for s, t in zip(start, target):
+        step = (F.col(t) - s) / F.lit(float(steps))
+        end = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), s.cast("double"), lambda x, _: x + step)
+        drift = F.abs(end - F.col(t)) <= tol
+        out = out.withColumn(f"__{t}", F.when(drift, F.col(t)).otherwise(F.raise_error(F.lit("a row missed its target"))))
+    return out.withColumns({t: F.col(f"__{t}") for t in target}).drop(*(f"__{t}" for t in target))
 
 
 def exchange(contributions: DataFrame, by: str = "geom_id", value: str = "value") -> DataFrame:

@@ -34,10 +34,13 @@ def all_to_all(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def walkable(pairs: DataFrame) -> DataFrame:
-    """The pairs, with an error if a cell has more than WALK of them: walking through them is one task's work by definition."""
+    """The pairs, with an error if a cell has more than WALK of them: walking through them is one task's work by definition.
+
+    What is broadcast has a row for each WALK pairs at most.
+    """
     large = pairs.groupBy("cell").agg(F.count("*").alias("__n")).where(F.col("__n") > WALK)
     bad = F.raise_error(F.concat(F.lit("too many pairs for a sequential walk in cell "), F.col("cell").cast("string")))
-    return pairs.join(large, "cell", "left").withColumn("cell", F.when(F.col("__n").isNull(), F.col("cell")).otherwise(bad)).drop("__n")
+    return pairs.join(F.broadcast(large), "cell", "left").withColumn("cell", F.when(F.col("__n").isNull(), F.col("cell")).otherwise(bad)).drop("__n")
 
 
 def host_waves(pairs: DataFrame) -> DataFrame:

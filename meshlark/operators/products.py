@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..group import BASE, Group
@@ -36,6 +38,45 @@ def add_matrix(group: Group, rows: DataFrame, have: Spec, defaults: dict[str, fl
     return group.add(group.spec.align(rows, defaults, keep=BASE))
 
 
+class Rows:
+    """Staged product rows 0 to n - 1 with the typed components of a spec; every change returns new rows."""
+
+    def __init__(self, table: DataFrame, spec: Spec):
+        self.table, self.spec = table, spec
+        self.kinds = {c: p.kind for p in spec.props for c in p.columns}
+
+    @staticmethod
+    def zeros(spark: SparkSession, n: int, spec: Spec) -> "Rows":
+        rows = spark.range(n).withColumnRenamed("id", "row")
+        return Rows(rows.select("row", *(F.lit(0).cast(p.kind).alias(c) for p in spec.props for c in p.columns)), spec)
+
+    def _named(self, df: DataFrame) -> list[str]:
+        names = [c for c in df.columns if c != "row"]
+        if set(names) - set(self.kinds):
+            raise KeyError(f"not in the spec: {sorted(set(names) - set(self.kinds))}")
+        return names
+
+    def _joined(self, new: DataFrame, names: list[str], value: Callable[[str, Column], Column]) -> "Rows":
+        # a row outside the table raises, as an index outside an array would
+        new = new.select("row", *(F.col(c).alias(f"__{c}") for c in names))
+        out = self.table.withColumn("__known", F.lit(True)).join(new, "row", "full")
+        row = F.when(F.col("__known"), F.col("row")).otherwise(F.raise_error(F.concat(F.lit("no product row "), F.col("row").cast("string"))))
+        return Rows(out.select(row.alias("row"), *((value(c, F.col(f"__{c}")) if c in names else F.col(c)).cast(k).alias(c) for c, k in self.kinds.items())), self.spec)
+
+    def add(self, contributions: DataFrame) -> "Rows":
+        """Adds all contributions (row, components...), any number to a row."""
+        names = self._named(contributions)
+        return self._joined(contributions.groupBy("row").agg(*(F.sum(c).alias(c) for c in names)), names, lambda c, v: F.col(c) + F.coalesce(v, F.lit(0)))
+
+    def write(self, values: DataFrame) -> "Rows":
+        """Sets components of rows; one value a row at most."""
+        return self._joined(values, self._named(values), lambda c, v: F.coalesce(v, F.col(c)))
+
+    def read(self, df: DataFrame) -> DataFrame:
+        """df with the components of its product row (column row)."""
+        return df.join(self.table, "row", "left")
+
+
 class Unseen:
     """Distinct values that were never given out before; those known are kept as a table."""
 

@@ -77,9 +77,9 @@ WITH ord AS (SELECT o_orderkey AS id, CAST(o_orderkey % 32 AS DOUBLE) + 0.5 AS P
 def draw_sql(seed: int, step: int, row: str | list[str], comp: int = 0) -> str:
     """The same draw in SQL; rows are not negative."""
     rows = row if isinstance(row, list) else [row]
-    keys = iter(rng.constants(seed, step, comp, 2 * len(rows) + 2 * rng.ROUNDS))
-    m = rng.MODULUS
-    x = " + ".join(f"{part} * {next(keys)} % {m}" for r in rows for part in (f"(CAST({r} AS BIGINT) & {(1 << rng.LOW_BITS) - 1})", f"((CAST({r} AS BIGINT) >> {rng.LOW_BITS}) % {m})"))
+    keys = iter(rng.constants(seed, step, comp, 3 * len(rows) + 2 * rng.ROUNDS))
+    m, low = rng.MODULUS, (1 << rng.PART_BITS) - 1
+    x = " + ".join(f"{part} * {next(keys)} % {m}" for r in rows for part in (f"(CAST({r} AS BIGINT) & {low})", f"((CAST({r} AS BIGINT) >> {rng.PART_BITS}) & {low})", f"((CAST({r} AS BIGINT) >> {2 * rng.PART_BITS}) % {m})"))
     x = f"({x})"
     for _ in range(rng.ROUNDS):
         x = f"(({x} % {m} * {next(keys)} + {next(keys)}) % {m})"

@@ -183,8 +183,10 @@ def k6_external_dofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deposit.to_external(dofs, index)
 
 
-# steps of 16 V from inside the domain; rows whose step starts on the boundary are left out
-_STEP = """, s AS (SELECT id, W_0, V_0, V_1, P_0 AS a0, P_1 AS a1, P_0 + 16 * V_0 AS b0, P_1 + 16 * V_1 AS b1 FROM ev WHERE P_0 > 0 AND P_1 > 0),
+# steps of 16 V of every row; the closed domain is drawn in by half a cell, so that each step starts inside
+_INNER = [0.5, 29 / 30, 23 / 24]
+_STEP = f""", i AS (SELECT id, W_0, V_0, V_1, {_INNER[0]} + P_0 * {_INNER[1]!r}::DOUBLE AS a0, {_INNER[0]} + P_1 * {_INNER[2]!r}::DOUBLE AS a1 FROM ev),
+s AS (SELECT *, a0 + 16 * V_0 AS b0, a1 + 16 * V_1 AS b1 FROM i),
 d AS (SELECT *, CASE WHEN b1 - 1e-10 <= 0 THEN 0::DOUBLE ELSE 24::DOUBLE END AS ly, CASE WHEN b0 - 1e-10 <= 0 THEN 0::DOUBLE ELSE 30::DOUBLE END AS lx FROM s WHERE b0 <= 0 OR b0 >= 30 OR b1 <= 0 OR b1 >= 24),
 e AS (SELECT *, abs(a1 - ly) AS y1, abs(b1 - ly) AS y2, abs(a0 - lx) AS x1, abs(b0 - lx) AS x2 FROM d),
 f AS (SELECT *, a0 + CASE WHEN y1 + y2 = 0 THEN 0 ELSE y1 / (y1 + y2) END * (b0 - a0) AS hx, a1 + CASE WHEN x1 + x2 = 0 THEN 0 ELSE x1 / (x1 + x2) END * (b1 - a1) AS hy FROM e),
@@ -195,7 +197,9 @@ _GROUPS = {0: 1, 1: 2, 2: 1}
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events(spark, sf_dir).df.where("P_0 > 0 AND P_1 > 0").select("id", "W_0", "V_0", "V_1", F.col("P_0").alias("PP_0"), F.col("P_1").alias("PP_1"), *((F.col(f"P_{d}") + 16 * F.col(f"V_{d}")).alias(f"P_{d}") for d in range(2)))
+    before = [F.lit(_INNER[0]) + F.col(f"P_{d}") * F.lit(_INNER[1 + d]) for d in range(2)]
+    rows = events(spark, sf_dir).df.select("id", "W_0", "V_0", "V_1", *(p.alias(f"PP_{d}") for d, p in enumerate(before)))
+    rows = rows.withColumns({f"P_{d}": F.col(f"PP_{d}") + 16 * F.col(f"V_{d}") for d in range(2)})
     return boundary.trajectory_hits(rows, MESH, [F.col("PP_0"), F.col("PP_1")], [F.col("P_0"), F.col("P_1")], _GROUPS)
 
 
@@ -229,11 +233,10 @@ def k10_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TRUNC = """, o AS (SELECT *, sqrt((a0 - p0) * (a0 - p0) + (a1 - p1) * (a1 - p1)) AS len, sqrt((b0 - a0) * (b0 - a0) + (b1 - a1) * (b1 - a1)) AS full_ FROM el),
-n AS (SELECT *, CASE WHEN len < 0.025 THEN a0 ELSE p0 + (a0 - p0) * (0.25 / len) END AS n0, CASE WHEN len < 0.025 THEN a1 ELSE p1 + (a1 - p1) * (0.25 / len) END AS n1 FROM o),
-r AS (SELECT *, (a0 - n0) * (a0 - p0) < 0 OR (a1 - n1) * (a1 - p1) < 0 AS beyond, CASE WHEN full_ > 1e-16 THEN least(1, greatest(0, len / full_)) ELSE 1 END AS share FROM n) """
+r AS (SELECT *, CASE WHEN len > 0.25 THEN p0 + (a0 - p0) * (0.25 / len) ELSE a0 END AS n0, CASE WHEN len > 0.25 THEN p1 + (a1 - p1) * (0.25 / len) ELSE a1 END AS n1, CASE WHEN full_ > 1e-16 THEN least(1, len / full_) ELSE 1 END AS share FROM o) """
 
 
-@query(EV + _STEP + _TRUNC + "SELECT id, round(CASE WHEN beyond THEN a0 ELSE n0 END, 6) AS P_0, round(CASE WHEN beyond THEN a1 ELSE n1 END, 6) AS P_1, round(1 - 0.5 + 0.5 * share, 6) AS TSP_0, round(0.5 * share, 6) AS TSP_1 FROM r")
+@query(EV + _STEP + _TRUNC + "SELECT id, round(n0, 6) AS P_0, round(n1, 6) AS P_1, round(1 - 0.5 + 0.5 * share, 6) AS TSP_0, round(0.5 * share, 6) AS TSP_1 FROM r")
 def k11_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _hits(spark, sf_dir).withColumns({"TSP_0": F.lit(1.0), "TSP_1": F.lit(0.5)})
     return _round(boundary.truncate(hits, 2, 0.25).select("id", "P_0", "P_1", "TSP_0", "TSP_1"), "id")

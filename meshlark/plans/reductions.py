@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..mesh import CartesianMesh
 from ..operators import cellwise, mapping, sampling
 from ..operators.arrays import NDArray
 from ..polygons import PolygonMesh
+from ..polyhedra import PolyhedralMesh
 from .catalog import query
 from .fixtures import EV, MESH, OR, cell_sql, draw_sql, events, orders, table, uniform_sql
 
@@ -36,9 +39,11 @@ def e3_reduce_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cellwise.reduce_cellwise(rows, [F.col("W_0") * F.col("SPECIES_0")], "max", prior).select("cell", "value")
 
 
-@query(EV + "SELECT cell, CAST(sum(W_0) AS BIGINT) AS s, min(W_0) AS lo, max(W_0) AS hi FROM ev GROUP BY cell")
+@query(EV + ", a AS (SELECT cell, CAST(sum(W_0) AS BIGINT) AS s, min(W_0) AS lo, max(W_0) AS hi FROM ev GROUP BY cell) SELECT CAST(c AS BIGINT) AS cell, CAST(c + coalesce(s, 0) AS BIGINT) AS s, least(1000, lo) AS lo, greatest(9000, hi) AS hi FROM range(720) t(c) LEFT JOIN a ON a.cell = c")
 def e4_cell_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).df.groupBy("cell").agg(F.sum("W_0").alias("s"), F.min("W_0").alias("lo"), F.max("W_0").alias("hi"))
+    """Add, min and max of every row on its cell's accumulators, which hold values already."""
+    held = spark.range(MESH.ncells).select(F.col("id").alias("cell"), F.col("id").alias("s"), F.lit(1000).cast("bigint").alias("lo"), F.lit(9000).cast("bigint").alias("hi"))
+    return cellwise.accumulate(events(spark, sf_dir).df, ["cell"], {n: (op, F.col("W_0")) for n, op in (("s", "plus"), ("lo", "min"), ("hi", "max"))}, held)
 
 
 @query(EV + "SELECT CAST(count(*) + 10 AS BIGINT) AS n, CAST(sum(W_0) AS BIGINT) AS w FROM ev")
@@ -91,12 +96,12 @@ def e13_segment_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(EV + "SELECT CAST(sum(W_0) AS BIGINT) AS s, min(W_0) AS lo, max(W_0) AS hi FROM ev")
 def e14_reduce_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).df.agg(F.sum("W_0").alias("s"), F.min("W_0").alias("lo"), F.max("W_0").alias("hi"))
+    return cellwise.accumulate(events(spark, sf_dir).df, [], {n: (op, F.col("W_0")) for n, op in (("s", "plus"), ("lo", "min"), ("hi", "max"))})
 
 
 @query(OR + "SELECT cell, count(*) AS n, CAST(sum(W_0) AS BIGINT) AS w FROM ord GROUP BY cell")
 def e15_orders_by_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orders(spark, sf_dir).groupBy("cell").agg(F.count("*").alias("n"), F.sum("W_0").alias("w"))
+    return cellwise.accumulate(orders(spark, sf_dir), ["cell"], {"n": ("plus", F.lit(1)), "w": ("plus", F.col("W_0"))})
 
 
 @query("SELECT 8 * 8 AS bytes")
@@ -192,19 +197,13 @@ def triangles(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return corners, corners.select("mesh_cell", F.inline(sides))
 
 
-@query(EV + f"SELECT id, (CAST(floor(P_0 / 3) AS BIGINT) + 10 * CAST(floor(P_1 / 3) AS BIGINT)) * 2 + {_TRI} AS mesh_cell FROM ev WHERE P_0 % 3 <> 0 AND P_1 % 3 <> 0")
-def i9_point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Location on a triangle mesh by a grid-bucket join and crossing counts; on the diagonal the later candidate wins."""
-    return _in_triangles(spark, events(spark, sf_dir).df.where((F.col("P_0") % 3 != 0) & (F.col("P_1") % 3 != 0)))
-
-
 # on an edge counts as inside and the last candidate wins: the box right of and above a grid line, but for the domain's own edges
 _BOX3 = ["least(floor(P_0 / 3), 9)", "least(floor(P_1 / 3), 7)"]
 
 
 @query(EV + f"SELECT id, CASE WHEN P_0 BETWEEN 0 AND 30 AND P_1 BETWEEN 0 AND 24 THEN (CAST({_BOX3[0]} AS BIGINT) + 10 * CAST({_BOX3[1]} AS BIGINT)) * 2 + CASE WHEN P_0 - 3 * {_BOX3[0]} <= P_1 - 3 * {_BOX3[1]} THEN 1 ELSE 0 END END AS mesh_cell FROM ev")
-def i9_point_in_polygon_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As i9_point_in_polygon, with the points on grid lines."""
+def i9_point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Location on a triangle mesh by a grid-bucket join and crossing counts; on an edge the last candidate wins."""
     return _in_triangles(spark, events(spark, sf_dir).df)
 
 
@@ -222,10 +221,19 @@ def i12_cell_move(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.update({f"P_{d}": F.col(f"P_{d}") + 4 * F.col(f"V_{d}") for d in range(2)}).move_cells().df.select("id", "cell")
 
 
-@query(EV + "SELECT count(*) AS n, CAST(sum(W_0) AS BIGINT) AS w FROM ev")
+_OWNER = "({c} % 30 // 6 + 5 * ({c} // 30 // 8))"  # blocks of 6 x 8 cells
+
+
+@query(
+    EV + f", t AS (SELECT id, {_OWNER.format(c='cell')} AS f, {_OWNER.format(c=cell_sql('P_0 + 4 * V_0', 'P_1 + 4 * V_1'))} AS t, cell, {cell_sql('P_0 + 4 * V_0', 'P_1 + 4 * V_1')} AS next FROM ev) "
+    "SELECT id, cell, next, f AS \"from\", t AS \"to\", CASE WHEN f = t THEN 'stay' WHEN (abs(f % 5 - t % 5) <= 1 OR abs(f % 5 - t % 5) = 4) AND (abs(f // 5 - t // 5) <= 1 OR abs(f // 5 - t // 5) = 2) THEN 'local' ELSE 'global' END AS how FROM t"
+)
 def i13_hybrid_move(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A move deals rows by cell and keeps every row."""
-    return events(spark, sf_dir).move_cells().dealt(16).df.agg(F.count("*").alias("n"), F.sum("W_0").alias("w"))
+    """Rows after a step, with the owners of 6 x 8 cells that they leave and reach, and the kind of their move."""
+    c = F.col("id")
+    owner = spark.range(MESH.ncells).select(c.alias("cell"), (F.floor(c % 30 / 6) + 5 * F.floor(F.floor(c / 30) / 8)).alias("owner"))
+    rows = events(spark, sf_dir).df.withColumn("next", MESH.cell([F.col(f"P_{d}") + 4 * F.col(f"V_{d}") for d in range(2)]))
+    return mapping.hybrid_move(rows.select("id", "cell", "next"), MESH, owner, "cell", "next").select("id", "cell", "next", "from", "to", "how")
 
 
 @query(EV + "SELECT id, cell % 6 - 1 AS owner FROM ev WHERE cell % 6 - 1 BETWEEN 0 AND 4 AND cell % 6 - 1 <> 2")
@@ -305,6 +313,16 @@ def m6_uniform_within_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.uniform_within_cells(spark, MESH, 5, 2)
 
 
+_U = [f"((CAST({draw_sql(7, 1, 'i', 2 * k)} AS DOUBLE) + 1) / 2147483648::DOUBLE)" for k in range(2)]
+_N = [f"round(1.5 + 0.5 * sqrt(-2.0 * ln({_U[k]})) * cos(2 * pi() * {uniform_sql(7, 1, 'i', 2 * k + 1)}), 6)" for k in range(2)]
+
+
+@query(f"SELECT i AS id, {_N[0]} AS V_0, {_N[1]} AS V_1 FROM range(5000) t(i)")
+def m5_normal_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normal draws of mean 1.5 and deviation 0.5, rounded, since engines' logarithms differ in the last bit."""
+    return sampling.normal_rows(spark, 5000, 2, 1.5, 0.5, 7).select("id", *(F.round(f"V_{k}", 6).alias(f"V_{k}") for k in range(2)))
+
+
 @query("SELECT c AS cell, CAST(floor(greatest((c % 11 - 2) * 0.5, 0) / 0.75 + 0.5) AS BIGINT) AS n FROM range(720) t(c)")
 def k14_counts_for_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = MESH.cells(spark).select("cell", ((F.col("cell") % 11 - 2) * F.lit(0.5)).alias("average"), "volume")
@@ -365,23 +383,66 @@ def i10_point_in_polyhedron(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _in_prisms(spark, table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), *x))
 
 
-@query(EV + "SELECT id, CAST(trunc(P_0) AS BIGINT) + 30 * CAST(trunc(P_1) AS BIGINT) AS cell, 1 AS candidates FROM ev WHERE P_0 < 30 AND P_1 < 24")
+def tetrahedra(spark: SparkSession) -> PolyhedralMesh:
+    """The box of width 2 in 64 cubes, each cut into six tetrahedra by the order of its coordinates; sides are marked 1 to 6."""
+    i = F.col("id")
+    nodes = spark.range(125).select(i.alias("node"), *((F.floor(i / 5**d) % 5 * 0.5).alias(n) for d, n in enumerate("xyz")))
+    cube, strides = F.floor(i / 6), [1, 5, 25]
+    low = sum((F.floor(cube / 4**d) % 4 * strides[d] for d in range(3)), F.lit(0)).cast("bigint")
+    corners = F.lit(None).cast("array<bigint>")
+    for k, order in enumerate(permutations(range(3))):
+        a, b = strides[order[0]], strides[order[0]] + strides[order[1]]
+        corners = F.when(i % 6 == k, F.array(low, low + a, low + b, low + 31)).otherwise(corners)
+    solids = spark.range(384).select(i.alias("element"), F.lit(4).alias("kind"), F.lit(0).alias("tag"), corners.alias("nodes"))
+    sides = None
+    for d in range(3):
+        u, v = (strides[e] for e in range(3) if e != d)
+        for high in (0, 1):
+            base = F.lit(4 * high * strides[d]) + F.floor(i / 2) % 4 * u + F.floor(i / 8) * v
+            nodes_of = F.when(i % 2 == 0, F.array(base, base + u, base + u + v)).otherwise(F.array(base, base + v, base + u + v))
+            one = spark.range(32).select((i + 1000 * (2 * d + high + 1)).alias("element"), F.lit(2).alias("kind"), F.lit(2 * d + high + 1).alias("tag"), nodes_of.cast("array<bigint>").alias("nodes"))
+            sides = one if sides is None else sides.union(one)
+    return PolyhedralMesh.of(nodes, solids.union(sides), CartesianMesh((2, 2, 2), 1.0, 2))
+
+
+_REST = [f"({v} - {b} / 2)" for v, b in zip(_V, _VB)]
+_ORDER = " ".join(f"WHEN {_REST[p[0]]} >= {_REST[p[1]]} AND {_REST[p[1]]} >= {_REST[p[2]]} THEN {k}" for k, p in reversed(list(enumerate(permutations(range(3))))))
+
+
+@query(f"SELECT vec_id AS id, CASE WHEN {' AND '.join(f'{v} BETWEEN 0 AND 2' for v in _V)} THEN CAST(6 * ({_VB[0]} + 4 * {_VB[1]} + 16 * {_VB[2]}) + CASE {_ORDER} END AS BIGINT) END AS mesh_cell FROM embeddings")
+def i10_tetrahedra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors located on an unstructured mesh of tetrahedra given by nodes and elements."""
+    x = [(F.element_at("embedding", k + 1).cast("double") + 1).alias(f"x_{k}") for k in range(3)]
+    return tetrahedra(spark).locate(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), *x), [F.col(f"x_{k}") for k in range(3)], ["id"])
+
+
+@query("SELECT g AS boundary_group, 32 AS n, 32.0 * CASE WHEN (g - 1) // 2 = 0 THEN 1 - (g - 1) % 2 * 2 ELSE 0 END::DOUBLE AS normal_0, 32.0 * CASE WHEN (g - 1) // 2 = 1 THEN 1 - (g - 1) % 2 * 2 ELSE 0 END::DOUBLE AS normal_1, 32.0 * CASE WHEN (g - 1) // 2 = 2 THEN 1 - (g - 1) % 2 * 2 ELSE 0 END::DOUBLE AS normal_2 FROM (SELECT CAST(i + 1 AS INTEGER) AS g FROM range(6) t(i))")
+def i20_boundary_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundary faces of the mesh of tetrahedra by group, with the sum of their inward normals."""
+    b = tetrahedra(spark).boundary()
+    return b.groupBy("boundary_group").agg(F.count("*").cast("int").alias("n"), *((F.sum(f"normal_{d}") + 0.0).alias(f"normal_{d}") for d in range(3)))
+
+
+@query("SELECT CAST(c AS BIGINT) AS mesh_cell, round(0.125::DOUBLE / 6, 12) AS volume, CAST(c % 4 AS BIGINT) AS n FROM range(384) t(c) WHERE c % 4 > 0")
+def k14_uniform_in_tetrahedra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volumes, and points drawn in each tetrahedron that are found there again."""
+    mesh = tetrahedra(spark)
+    drawn = mesh.uniform(spark.range(384).select(F.col("id").alias("mesh_cell"), (F.col("id") % 4).alias("n")), 5).withColumnRenamed("mesh_cell", "drawn_in")
+    found = mesh.locate(drawn, [F.col(f"P_{d}") for d in range(3)], ["drawn_in", "k"], 1e-12)
+    return found.where("mesh_cell = drawn_in").groupBy("mesh_cell").agg(F.count("*").alias("n")).join(mesh.volumes(), "mesh_cell").select("mesh_cell", F.round(F.col("volume"), 12).alias("volume"), "n")
+
+
+@query(EV + "SELECT id, cell, 1 AS candidates FROM ev")
 def f13_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of each point by its overlay cell, where every overlay cell is a candidate of itself."""
     boxes = MESH.cells(spark).select(F.col("cell").alias("mesh_cell"), (F.col("x_0") + 0.25).alias("lo_0"), (F.col("x_0") + 0.75).alias("hi_0"), (F.col("x_1") + 0.25).alias("lo_1"), (F.col("x_1") + 0.75).alias("hi_1"))
     listed = mapping.claim_boxes(boxes, MESH, ("mesh_cell",))
-    return events(spark, sf_dir).df.where("P_0 < 30 AND P_1 < 24").join(listed, "cell").groupBy("id", F.col("mesh_cell").alias("cell")).agg(F.count("*").cast("int").alias("candidates"))
+    return events(spark, sf_dir).df.join(listed, "cell").groupBy("id", F.col("mesh_cell").alias("cell")).agg(F.count("*").cast("int").alias("candidates"))
 
 
-@query(EV + "SELECT id, CAST(floor(P_0 / 2) AS BIGINT) + 15 * CAST(floor(P_1 / 3) AS BIGINT) AS mesh_cell FROM (SELECT id, P_0, P_1 FROM ev) WHERE P_0 % 2 <> 0 AND P_1 % 3 <> 0")
+@query(EV + "SELECT id, CASE WHEN P_0 BETWEEN 0 AND 30 AND P_1 BETWEEN 0 AND 24 THEN CAST(least(floor(P_0 / 2), 14) AS BIGINT) + 15 * CAST(least(floor(P_1 / 3), 7) AS BIGINT) END AS mesh_cell FROM ev")
 def i9_unstructured_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows located on a mesh of 2 x 3 quads given by nodes and elements."""
-    return _in_quads(spark, events(spark, sf_dir).df.where("P_0 % 2 <> 0 AND P_1 % 3 <> 0"))
-
-
-@query(EV + "SELECT id, CASE WHEN P_0 BETWEEN 0 AND 30 AND P_1 BETWEEN 0 AND 24 THEN CAST(least(floor(P_0 / 2), 14) AS BIGINT) + 15 * CAST(least(floor(P_1 / 3), 7) AS BIGINT) END AS mesh_cell FROM ev")
-def i9_unstructured_mesh_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As i9_unstructured_mesh, with the points on grid lines."""
     return _in_quads(spark, events(spark, sf_dir).df)
 
 

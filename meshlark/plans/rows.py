@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..group import Ephemeral, Group, cell_range, disjoint_union, with_layers
-from ..operators import cellwise, products
+from ..operators import cellwise, mapping, products
 from ..operators.arrays import NDArray
-from ..sources import export, steps, tables
+from ..sources import export, metrics, steps, tables
 from ..spec import INT, Prop, Spec
 from .catalog import query
 from .fixtures import EV, MESH, OR, SPEC, event_rows, events, orders, table
@@ -83,17 +83,9 @@ def a9_print(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.dump(events(spark, sf_dir).df, ["id", "W_0"], (100, 120))
 
 
-@query(EV + ", req AS (SELECT row_number() OVER (ORDER BY cell) - 1 AS ordinal, cell, 0 AS layer FROM (SELECT DISTINCT cell FROM ev WHERE cell % 5 = 0)) SELECT ordinal, id, W_0 FROM req JOIN lay USING (cell, layer)")
-def a10_get_particles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = events(spark, sf_dir)
-    cells = g.df.where("cell % 5 = 0").select("cell").distinct()
-    requests = cellwise.exclusive_scan(cells.withColumn("one", F.lit(1)), "cell", "one", "ordinal").select("ordinal", "cell", F.lit(0).alias("layer"))
-    return g.get(requests).select("ordinal", "id", "W_0")
-
-
 @query(EV + "SELECT row_number() OVER (ORDER BY id) - 1 AS ordinal, id, W_0 FROM lay")
-def a10_get_all_particles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As a10_get_particles, for every (cell, layer)."""
+def a10_get_particles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows at every (cell, layer), asked for in order of id."""
     g = events(spark, sf_dir)
     requests = cellwise.exclusive_scan(with_layers(g.df).withColumn("one", F.lit(1)), "id", "one", "ordinal").select("ordinal", "cell", "layer")
     return g.get(requests).select("ordinal", "id", "W_0")
@@ -116,11 +108,24 @@ def a13_hierarchy_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CartesianMesh((8, 4), 1.0, 1).cells(spark)
 
 
-@query(EV + "SELECT count(*) AS rows, 8 * 9 * count(*) AS bytes FROM ev")
+@query(EV + "SELECT 'loop' AS key1, 'advect' AS key2, count(*) AS rows, 64 * count(*) AS bytes, 4 * count(*) AS flops FROM ev UNION ALL SELECT 'loop', 'hot', count(*), 64 * count(*), 0 FROM ev WHERE Q_0 > 30")
 def a14_row_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and property bytes that a loop over the group touches (the id is one of nine)."""
-    g = events(spark, sf_dir)
-    return g.df.agg(F.count("*").alias("rows"), (F.lit(g.spec.row_bytes + 8) * F.count("*")).alias("bytes"))
+    """Rows, property bytes and operations of two loops, observed while they run."""
+    g, seen = events(spark, sf_dir), metrics.Regions()
+    moved = g.update({f"P_{d}": F.col(f"P_{d}") + 0.1 * F.col(f"V_{d}") for d in range(2)}).df
+    for name, df, flops in (("advect", moved, 4), ("hot", g.sub(F.col("Q_0") > 30).rows(), 0)):
+        with seen.region("program", name):
+            seen.observe(df, "loop", name, g.spec, flops).write.format("noop").mode("overwrite").save()
+    return seen.table(spark).where("key1 = 'loop'").select("key1", "key2", "rows", "bytes", "flops")
+
+
+@query(EV + "SELECT concat('events:', USER_0) AS name, 'PERF' AS cat, 'X' AS ph, id * 1e6::DOUBLE AS ts, greatest(1, (id + CAST(W_0 AS DOUBLE) / 1024) * 1e6 - id * 1e6)::DOUBLE AS dur, SPECIES_0 AS pid, SPECIES_0 AS tid FROM ev WHERE id >= 100 AND id + CAST(W_0 AS DOUBLE) / 1024 <= 1e9")
+def a15_trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles written as JSON, a region for each event, converted to trace events from second 100 on."""
+    path = scratch(spark)
+    region = F.array(F.lit("events"), F.col("USER_0").cast("string"), F.col("id").cast("string"), (F.col("id") + F.col("W_0") / F.lit(1024.0)).cast("string"), *[F.lit("0")] * 3)
+    events(spark, sf_dir).df.select(F.col("SPECIES_0").alias("rank"), F.array(region).alias("regions")).write.json(path + "/profile")
+    return metrics.trace_events(spark, path + "/profile", 100.0, 1e9)
 
 
 # --- B: properties
@@ -212,9 +217,13 @@ def c10_cell_matrix_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cellwise.set_values(cellwise.fill(spark, MESH, 2, 2, 0.5), new)
 
 
-@query(EV + "SELECT SPECIES_0 AS row, CAST(sum(W_0) AS BIGINT) AS value FROM ev GROUP BY SPECIES_0")
-def c12_product_rows_add(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).df.groupBy(F.col("SPECIES_0").alias("row")).agg(F.sum("W_0").alias("value"))
+@query(EV + ", s AS (SELECT SPECIES_0 AS row, sum(W_0) AS w, count(*) AS n FROM ev GROUP BY SPECIES_0) SELECT ev.id, CAST(CASE WHEN SPECIES_0 = 2 THEN -1 ELSE 100 + w END AS BIGINT) AS W_0, CAST(n AS DOUBLE) AS Q_0 FROM ev JOIN s ON s.row = SPECIES_0")
+def c12_product_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product rows of an integer and a real component: adds by every event, a write to one row, and a read by every event."""
+    g = events(spark, sf_dir)
+    made = products.Rows.zeros(spark, 4, Spec((SPEC.get("W"), SPEC.get("Q")))).add(spark.range(4).select(F.col("id").alias("row"), F.lit(100).alias("W_0")))
+    made = made.add(g.df.select(F.col("SPECIES_0").alias("row"), "W_0", F.lit(1.0).alias("Q_0"))).write(spark.range(2, 3).select(F.col("id").alias("row"), F.lit(-1).alias("W_0")))
+    return made.read(g.df.select("id", F.col("SPECIES_0").alias("row"))).select("id", "W_0", "Q_0")
 
 
 @query(EV + "SELECT id, cell * 3 AS W_0 FROM ev")
@@ -396,16 +405,9 @@ def l5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return products.numbered(made, 3, 0).select("id", "cell", "parent", "product", "W_0", "USER_0")
 
 
-@query(EV + "SELECT count(*) AS n, CAST(sum(W_0) AS BIGINT) AS w, CAST(sum(USER_0) AS BIGINT) AS u FROM (SELECT W_0, USER_0 FROM ev UNION ALL SELECT 7, 9 FROM ev WHERE id < 100)")
-def l6_product_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = events(spark, sf_dir)
-    rows = g.df.where("id < 100").select((F.col("id") + 10**9).alias("id"), "cell", F.lit(7).alias("W_0"))
-    return products.add_matrix(g, rows, Spec((SPEC.get("W"),)), {"USER_0": 9}).df.agg(F.count("*").alias("n"), F.sum("W_0").alias("w"), F.sum("USER_0").alias("u"))
-
-
 @query(EV + "SELECT count(*) AS n, CAST(sum(W_0) AS BIGINT) AS w, CAST(sum(USER_0) AS BIGINT) AS u FROM (SELECT W_0, USER_0 FROM ev UNION ALL SELECT 7, 9 FROM ev)")
-def l6_product_matrix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As l6_product_matrix, with a product of every event."""
+def l6_product_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A product of every event, appended with a default."""
     g = events(spark, sf_dir)
     rows = g.df.select((F.col("id") + 10**9).alias("id"), "cell", F.lit(7).alias("W_0"))
     return products.add_matrix(g, rows, Spec((SPEC.get("W"),)), {"USER_0": 9}).df.agg(F.count("*").alias("n"), F.sum("W_0").alias("w"), F.sum("USER_0").alias("u"))
@@ -443,19 +445,12 @@ def b5_ephemeral_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(EV + "SELECT cell, CAST(sum(SPECIES_0) AS BIGINT) AS s FROM ev GROUP BY cell")
 def c5_declared_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A loop that reads one property: the scan holds the columns it and the cell are made from, no others."""
-    return events(spark, sf_dir).df.groupBy("cell").agg(F.sum("SPECIES_0").alias("s"))
-
-
-@query(EV + ", m AS (SELECT cell, layer AS row, 0 AS col, W_0 AS value FROM lay WHERE layer < 3) SELECT cell, row, col, CAST(CASE WHEN row = 1 THEN -5 ELSE value END AS BIGINT) AS value FROM m")
-def c9_cell_rows_write(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A per-cell table of a cell's first three rows at most, and a write to one of them."""
-    m = with_layers(events(spark, sf_dir).df).where("layer < 3").select("cell", F.col("layer").alias("row"), F.lit(0).alias("col"), F.col("W_0").alias("value"))
-    return cellwise.set_values(m, m.where("row = 1").withColumn("value", F.lit(-5).cast("bigint")))
+    return cellwise.accumulate(events(spark, sf_dir).df, ["cell"], {"s": ("plus", F.col("SPECIES_0"))})
 
 
 @query(EV + ", m AS (SELECT cell, layer AS row, 0 AS col, W_0 AS value FROM lay) SELECT cell, row, col, CAST(CASE WHEN row = 1 THEN -5 ELSE value END AS BIGINT) AS value FROM m")
-def c9_cell_rows_write_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As c9_cell_rows_write, with all rows of every cell."""
+def c9_cell_rows_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A per-cell table with as many rows as the cell has, and a write to one of them."""
     m = with_layers(events(spark, sf_dir).df).select("cell", F.col("layer").alias("row"), F.lit(0).alias("col"), F.col("W_0").alias("value"))
     return cellwise.set_values(m, m.where("row = 1").withColumn("value", F.lit(-5).cast("bigint")))
 
@@ -478,15 +473,9 @@ def _direct(df: DataFrame) -> DataFrame:
     return df.select("id", "W_0").mapInArrow(run, "id long, v long")
 
 
-@query(EV + "SELECT id, W_0 + 1 AS v FROM ev WHERE id < 1000")
-def c13_direct_access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The escape hatch: Arrow batches of chosen columns in a Python function, over ids below 1000."""
-    return _direct(events(spark, sf_dir).df.where("id < 1000"))
-
-
 @query(EV + "SELECT id, W_0 + 1 AS v FROM ev")
-def c13_direct_access_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As c13_direct_access, over all events."""
+def c13_direct_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The escape hatch: Arrow batches of chosen columns in a Python function."""
     return _direct(events(spark, sf_dir).df)
 
 
@@ -497,10 +486,12 @@ def d7_scan_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cellwise.segmented_scan(rows, "cell", "id", "one", name="layer").select("id", "layer")
 
 
-@query(EV + "SELECT id, cell AS h FROM ev")
+@query(EV + "SELECT id, P_0 + 0 AS P_0, P_1 + 0 AS P_1, cell FROM ev")
 def i17_parallel_initialisation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Many small moves towards a target end in the target's cell: one mapping gives that state."""
-    return events(spark, sf_dir).move_cells().df.select("id", F.col("cell").alias("h"))
+    """Twenty small moves of every row from the domain's centre to its target, with the drift tested at the end."""
+    g = events(spark, sf_dir)
+    there = mapping.straight_steps(g.df, [F.lit(e / 2) for e in MESH.extents], ["P_0", "P_1"], 20)
+    return there.select("id", "P_0", "P_1", MESH.cell([F.col("P_0"), F.col("P_1")]).alias("cell"))
 
 
 @query(OR + ", b AS (SELECT cell, count(*) AS n FROM ord GROUP BY cell) SELECT n % 5 AS bin, count(*) AS cells, CAST(sum(n) AS BIGINT) AS rows FROM b GROUP BY n % 5")
@@ -513,7 +504,7 @@ def i20_mesh_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(EV + "SELECT SPECIES_0, CAST(sum(W_0) AS BIGINT) AS s, min(W_0) AS lo, max(W_0) AS hi FROM ev GROUP BY SPECIES_0")
 def j9_accumulators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fetch-and-add, -min and -max as aggregates."""
-    return events(spark, sf_dir).df.groupBy("SPECIES_0").agg(F.sum("W_0").alias("s"), F.min("W_0").alias("lo"), F.max("W_0").alias("hi"))
+    return cellwise.accumulate(events(spark, sf_dir).df, ["SPECIES_0"], {n: (op, F.col("W_0")) for n, op in (("s", "plus"), ("lo", "min"), ("hi", "max"))})
 
 
 __all__ = ["scratch", "cell_range", "orders", "table"]

@@ -98,7 +98,7 @@ class PolygonMesh:
         """
         n = self.cells.withColumn("n", F.lit(per_cell)) if isinstance(per_cell, int) else self.cells.join(per_cell, "mesh_cell")
         rows = n.where("n > 0").withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
-        row = F.col("mesh_cell") * 1000003 + F.col("k")
+        row = [F.col("mesh_cell"), F.col("k")]
         u, v, w = (rng.uniform(seed, 3, row, c) for c in range(3))
 
         def area(i: int | Column, j: int | Column) -> Column:

@@ -34,8 +34,15 @@ def dump(df: DataFrame, columns: list[str], cells: tuple[int, int] | None = None
     return with_layers(rows).select("cell", "layer", F.concat_ws(" ", *(F.col(c).cast("string") for c in columns)).alias("line")).orderBy("cell", "layer")
 
 
+#: Bytes of a mesh file that the driver parses at most.
+MESH_BYTES = 256 << 20
+
+
 def read_gmsh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes (node, x, y, z), elements (element, kind, tag, nodes)) of a gmsh 4.1 ASCII file, which is small."""
+    """(nodes (node, x, y, z), elements (element, kind, tag, nodes)) of a gmsh 4.1 ASCII file of at most MESH_BYTES, parsed on the driver."""
+    size = spark.read.format("binaryFile").load(path).select(F.max("length")).first()[0] or 0
+    if size > MESH_BYTES:
+        raise ValueError(f"{path} has {size} bytes; store meshes above {MESH_BYTES} as tables of nodes and elements")
     text = spark.read.text(path, wholetext=True).first()[0].splitlines()
     at = {line: k for k, line in enumerate(text) if line.startswith("$")}
     nodes, elements = [], []

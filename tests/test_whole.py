@@ -17,13 +17,13 @@ def run(spark, name):
 
 
 def test_cell_table_has_all_rows_of_each_cell(spark):
-    got = run(spark, "c9_cell_rows_write_all")
+    got = run(spark, "c9_cell_rows_write")
     assert got.count() == events(spark, SF).df.count() and got.agg(F.max("row")).first()[0] >= 3
 
 
 def test_direct_access_reaches_all_events(spark):
-    larger = "/root/testdata/sf0.01"  # more ids than c13_direct_access takes
-    assert catalog.QUERIES["c13_direct_access_all"](spark, larger).count() == events(spark, larger).df.count() > 1000
+    larger = "/root/testdata/sf0.01"
+    assert catalog.QUERIES["c13_direct_access"](spark, larger).count() == events(spark, larger).df.count() > 1000
 
 
 def test_steps_hold_all_events(spark, monkeypatch):
@@ -34,11 +34,11 @@ def test_steps_hold_all_events(spark, monkeypatch):
 
 
 def test_every_place_is_looked_up(spark):
-    assert run(spark, "a10_get_all_particles").count() == events(spark, SF).df.count()
+    assert run(spark, "a10_get_particles").count() == events(spark, SF).df.count()
 
 
 def test_product_of_every_event(spark):
-    assert run(spark, "l6_product_matrix_all").first()["n"] == 2 * events(spark, SF).df.count()
+    assert run(spark, "l6_product_matrix").first()["n"] == 2 * events(spark, SF).df.count()
 
 
 def test_pair_list_of_the_table_is_validated(spark, monkeypatch):
@@ -62,7 +62,7 @@ def test_points_on_grid_lines_are_located(spark):
         want = max((t for t in range(160) if in_box(t // 2, 10, 3, 3) and (side(t) >= 0 if t % 2 else side(t) <= 0)), default=None)
         assert triangles[k] == want and (want is not None) == inside(x, y), (x, y)
         assert quads[k] == max((c for c in range(120) if in_box(c, 15, 2, 3)), default=None), (x, y)
-    for name in ("i9_point_in_polygon_all", "i9_unstructured_mesh_all"):
+    for name in ("i9_point_in_polygon", "i9_unstructured_mesh"):
         assert run(spark, name).count() == events(spark, SF).df.count()
 
 
