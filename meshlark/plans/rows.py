@@ -11,15 +11,18 @@ from pyspark.sql import functions as F
 from ..group import Ephemeral, Group, cell_range, disjoint_union, with_layers
 from ..operators import cellwise, mapping, products
 from ..operators.arrays import NDArray
-from ..sources import export, metrics, steps, tables
+from ..sources import export, metrics, steps, tables, vtkhdf
 from ..spec import INT, Prop, Spec
 from .catalog import query
 from .fixtures import EV, MESH, OR, SPEC, event_rows, events, orders, table
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder; a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="meshlark-")
+    """A new folder below the shared checkpoint folder; in local mode a temporary one where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = base or tempfile.mkdtemp(prefix="meshlark-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/q-{uuid.uuid4().hex}"
@@ -101,6 +104,15 @@ def a12_cell_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.cell_outlines(spark, MESH)
 
 
+@query("SELECT CAST(c AS BIGINT) AS cell, CAST(9 AS INTEGER) AS kind, k AS corner, CAST(c % 30 + CASE WHEN k IN (1, 2) THEN 1 ELSE 0 END AS DOUBLE) AS x_0, CAST(c // 30 + CASE WHEN k >= 2 THEN 1 ELSE 0 END AS DOUBLE) AS x_1, c * 0.25::DOUBLE AS w FROM range(720) t(c), (SELECT CAST(i AS INTEGER) AS k FROM range(4) s(i))")
+def a12_vtkhdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells written as VTKHDF files with a value each, and read back: corners in the viewer's order."""
+    path = scratch(spark) + "/grid"
+    vtkhdf.write(vtkhdf.cells_of(export.cell_outlines(spark, MESH), 2).withColumn("w", F.col("cell") * 0.25), path)
+    rows = vtkhdf.read(spark, path).select(F.element_at("cell_data", "cell").cast("bigint").alias("cell"), "kind", F.element_at("cell_data", "w").alias("w"), F.posexplode("points").alias("corner", "p"))
+    return rows.select("cell", "kind", "corner", *(F.element_at("p", d + 1).alias(f"x_{d}") for d in range(2)), "w")
+
+
 @query("SELECT CAST(c AS BIGINT) AS cell, c % 16 AS c_0, c // 16 AS c_1, (c % 16) * 0.5::DOUBLE AS x_0, (c // 16) * 0.5::DOUBLE AS x_1, 0.25::DOUBLE AS volume FROM range(128) t(c)")
 def a13_hierarchy_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..mesh import CartesianMesh
