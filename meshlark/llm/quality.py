@@ -38,18 +38,45 @@ STATS = 24
 SIZE = WORDS + STATS
 #: Texts scored at a time.
 BLOCK = 256
-
-
-
-class _Buckets(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        b = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % WORDS
-        return b
-
-
-_buckets = _Buckets()
+#: Bytes of a text whose words are hashed at a time.
+PIECE = 1 << 20
+_WHITE = b"\t\n\x0b\x0c\r "
+_SPACE = np.isin(np.arange(256), list(_WHITE))
+# odd multiplier of a word's polynomial in 64 bits, its powers, and the final mixing (fixed values)
+_BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_POWERS = np.array([pow(_BASE, k, 1 << 64) for k in range(64)], np.uint64)
+_VALUES = np.where(_SPACE, 0, np.arange(1, 257)).astype(np.uint64)
+
+
+def _hashed(data: np.ndarray) -> np.ndarray:
+    """Buckets of the words of some bytes."""
+    space = _SPACE[data]
+    first = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    if not len(first):
+        return np.zeros(0, np.int32)
+    lengths = np.empty_like(first)
+    lengths[:-1], lengths[-1] = first[1:] - first[:-1], len(data) - first[-1]
+    place = np.arange(first[0], len(data)) - np.repeat(first, lengths)
+    sums = np.add.reduceat(_VALUES[data[first[0] :]] * _POWERS[place & 63], first - first[0])
+    return ((sums * np.uint64(_MIX)) >> np.uint64(64 - WORDS.bit_length() + 1)).astype(np.int32)
+
+
+def buckets(text: str) -> np.ndarray:
+    """The bucket of each word (between ASCII white space) of a whole text, by a polynomial in its bytes; of a word above PIECE, by CRC-32."""
+    data, lo, out = text.encode("utf-8", "surrogatepass"), 0, []
+    while lo < len(data):
+        hi = min(lo + PIECE, len(data))
+        if hi < len(data):
+            hi = max(data.rfind(w, lo, hi) for w in _WHITE) + 1
+            if hi <= lo:
+                ends = [e for w in _WHITE if (e := data.find(w, lo)) >= 0]
+                hi = min(ends, default=len(data))
+                out.append(np.array([zlib.crc32(data[lo:hi]) % WORDS], np.int32))
+                lo = hi
+                continue
+        out.append(_hashed(np.frombuffer(data, np.uint8, hi - lo, lo)))
+        lo = hi
+    return np.concatenate(out) if out else np.zeros(0, np.int32)
 
 
 def statistics(text: str, words: list[str], ids: np.ndarray, most: int) -> list[float]:
@@ -65,13 +92,13 @@ def statistics(text: str, words: list[str], ids: np.ndarray, most: int) -> list[
         sum(map(str.isupper, words)) / n,
         min(digits / chars * 5, 2),
         len(set(words)) / n,
-        np.count_nonzero(ids[1:] == ids[:-1]) / (n - 1) if n > 1 else 0,
+        np.count_nonzero(ids[1:] == ids[:-1]) / (len(ids) - 1) if len(ids) > 1 else 0,
         chars / n / 10,
         np.log1p(lines) / 5,
         min(n / lines / 50, 2),
         np.log1p(most) / np.log1p(n),
         sum(map(str.istitle, words)) / n,
-        np.count_nonzero(ids[2:] == ids[:-2]) / (n - 2) if n > 2 else 0,
+        np.count_nonzero(ids[2:] == ids[:-2]) / (len(ids) - 2) if len(ids) > 2 else 0,
         min(max(map(len, words)) / 50, 3),
         len(set(text.split("\n"))) / lines,
     ]
@@ -82,10 +109,12 @@ def inputs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rows, columns, values = [], [], []
     for k, text in enumerate(texts):
         words = text.split()
-        ids = np.fromiter(map(_buckets.__getitem__, words), np.int32, len(words))
+        ids = buckets(text)
         ordered = np.sort(ids)
-        first = np.flatnonzero(np.diff(ordered, prepend=-1))
-        counts = np.diff(np.append(first, len(ids)))
+        change = np.ones(len(ids) + 1, bool)
+        change[1:-1] = ordered[1:] != ordered[:-1]
+        ends = np.flatnonzero(change)
+        first, counts = (ends[:-1], ends[1:] - ends[:-1]) if len(ids) else (ends[:0], ends[:0])
         logs = np.log1p(counts)
         stats = np.array(statistics(text, words, ids, int(counts.max(initial=0))))
         some = np.flatnonzero(stats)

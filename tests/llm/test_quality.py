@@ -1,4 +1,5 @@
 import math
+import re
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -17,6 +18,23 @@ def entries(x):
     return row, column, x[row, column]
 
 
+def brute_bucket(word):
+    total = sum((v + 1) * pow(0x9E3779B97F4A7C15, k % 64, 1 << 64) for k, v in enumerate(word))
+    return (total * 0xD6E8FEB86659FD93 % (1 << 64)) >> 52
+
+
+def test_buckets_of_words(monkeypatch):
+    r = np.random.default_rng(3)
+    texts = ["", " ", "a", " a  b\n", "é\u00a0x y", "w" * 200 + " v", *("".join(r.choice(list("ab \n\té"), 300)) for _ in range(20))]
+    want = [[brute_bucket(w) for w in re.split(rb"[\t-\r ]+", t.encode()) if w] for t in texts]
+    assert [quality.buckets(t).tolist() for t in texts] == want
+    monkeypatch.setattr(quality, "PIECE", 64)
+    for t, w in zip(texts, want):
+        long = [k for k, x in enumerate(x for x in re.split(rb"[\t-\r ]+", t.encode()) if x) if len(x) >= 64]
+        got = quality.buckets(t).tolist()
+        assert len(got) == len(w) and all(a == b for k, (a, b) in enumerate(zip(got, w)) if k not in long)
+
+
 def brute_inputs(text):
     """Inputs of a text by their description, one at a time."""
     words, lines = text.split(), text.split("\n")
@@ -24,14 +42,14 @@ def brute_inputs(text):
     x[quality.WORDS], x[quality.WORDS + 1] = 1.0, math.log1p(len(text)) / 10
     if not n:
         return x | {quality.WORDS + 2: 1.0}
-    buckets = [zlib.crc32(w.encode()) % quality.WORDS for w in words]
+    buckets = [brute_bucket(w) for w in re.split(rb"[\t-\r ]+", text.encode()) if w]
     counts = Counter(buckets)
     norm = math.sqrt(sum(math.log1p(c) ** 2 for c in counts.values()))
     x |= {k: math.log1p(c) / norm for k, c in counts.items()}
     more = [min(text.count(c) / n, 2) for c in ".,!|#$%&*"]
     more += [sum(w.isupper() for w in words) / n, min(sum(c in "0123456789" for c in text) / len(text) * 5, 2), len(set(words)) / n]
-    more += [sum(a == b for a, b in zip(buckets, buckets[1:])) / (n - 1) if n > 1 else 0, len(text) / n / 10, math.log1p(len(lines)) / 5, min(n / len(lines) / 50, 2)]
-    more += [math.log1p(max(counts.values())) / math.log1p(n), sum(w.istitle() for w in words) / n, sum(a == b for a, b in zip(buckets, buckets[2:])) / (n - 2) if n > 2 else 0]
+    more += [sum(a == b for a, b in zip(buckets, buckets[1:])) / (len(buckets) - 1) if len(buckets) > 1 else 0, len(text) / n / 10, math.log1p(len(lines)) / 5, min(n / len(lines) / 50, 2)]
+    more += [math.log1p(max(counts.values())) / math.log1p(n), sum(w.istitle() for w in words) / n, sum(a == b for a, b in zip(buckets, buckets[2:])) / (len(buckets) - 2) if len(buckets) > 2 else 0]
     more += [min(max(map(len, words)) / 50, 3), len(set(lines)) / len(lines)]
     return x | {quality.WORDS + 3 + k: v for k, v in enumerate(more)}
 
