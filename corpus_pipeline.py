@@ -14,12 +14,24 @@ from meshlark.llm.common import shared_folder
 from meshlark.llm.queries import WORD_BPE
 
 
+#: Rows of an Arrow batch in this program: workers serve all stages in turn, and what each has held adds up.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's bound on rows of a batch, unless it is lower already; Spark bounds a batch's bytes by itself."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled documents; documents that it rejects go.
 
     Rows of equal texts share their fate, repeated rows included; null text is judged as empty text;
     a null id is judged but teaches nothing; without labels every row stays.
     """
+    small_batches(spark)
     return quality.accepted(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -29,6 +41,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null text equals empty text; of repeated rows one stays; a null id is the smallest, so such a row
     stays only if no other row has its text.
     """
+    small_batches(spark)
     return exact.deduplicated(docs)
 
 
@@ -38,6 +51,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Null, empty and blank texts are near-duplicates of each other; a tie of rows with the smallest
     doc_id and its component keeps them all; rows without an id stay.
     """
+    small_batches(spark)
     return simhash.deduplicated(docs)
 
 
@@ -46,6 +60,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Overlapping finds become one mark; null text stays null; n_chars, if there, follows the text.
     """
+    small_batches(spark)
     return secrets.redacted(docs)
 
 
@@ -54,6 +69,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Null and empty text is the end id alone; repeated rows are pieces of their own; null ids stay null.
     """
+    small_batches(spark)
     return packing.packed(docs, WORD_BPE)
 
 
