@@ -224,7 +224,7 @@ class Coder:
         return [i if i is not None else self.packed(w.encode()) for w, i in zip(words, ids)] if None in ids else ids
 
     def text_join(self, text: str, left: tuple, right: tuple, end: int) -> tuple[list[str], list[bytes]]:
-        """The encoding of text[left's start:end] from those of its two parts."""
+        """The encoding of text[left's start:end] from those of its two parts; the left one's lists take it."""
         (lo, left_words, left_ids), (seam, right_words, right_ids) = left, right
         start, stop, near, far = seam, seam, 0, 0  # the window, and how many pre-tokens of each side it takes
         k = WORDS
@@ -240,7 +240,10 @@ class Coder:
             self.windows += 1
             if (whole_l or words[:AGREE] == left_words[-k:][:AGREE]) and (whole_r or words[-AGREE:] == right_words[k - AGREE : k]) and (len(words) >= 2 * AGREE or whole_l or whole_r):
                 self.joins += 1
-                return left_words[: len(left_words) - near] + words + right_words[far:], left_ids[: len(left_ids) - near] + ids + right_ids[far:]
+                left_words[len(left_words) - near :], left_ids[len(left_ids) - near :] = words, ids
+                left_words += right_words[far:]
+                left_ids += right_ids[far:]
+                return left_words, left_ids
             k *= 2
 
     def encode(self, text: str) -> np.ndarray:
