@@ -80,7 +80,7 @@ def e10_cell_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(EV + "SELECT id, CAST(coalesce(sum(W_0) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS scan FROM ev")
 def e11_exclusive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cellwise.exclusive_scan(events(spark, sf_dir).df, "id", "W_0", block=1024).select("id", "scan")
+    return cellwise.exclusive_scan(events(spark, sf_dir).df, "id", "W_0").select("id", "scan")
 
 
 @query(EV + "SELECT id, CAST(sum(W_0) OVER (PARTITION BY cell ORDER BY id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS inclusive, CAST(coalesce(sum(W_0) OVER (PARTITION BY cell ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS exclusive FROM ev")
