@@ -462,6 +462,15 @@ def i20_boundary_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.groupBy("boundary_group").agg(F.count("*").cast("int").alias("n"), *((F.sum(f"normal_{d}") + 0.0).alias(f"normal_{d}") for d in range(2)))
 
 
+@query("SELECT CAST(c AS BIGINT) AS mesh_cell, c % 30 + 0.5::DOUBLE AS x_0, c // 30 + 0.5::DOUBLE AS x_1, CAST(CASE WHEN c < 30 THEN 2 ELSE 0 END AS BIGINT) AS south, CAST(4 * (c % 30) + 2 AS DOUBLE) AS nodes_x FROM range(720) t(c)")
+def k14_mesh_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each polygon's mean point, its corners on the side marked 1, and the sum of its corners' first coordinates."""
+    mesh = PolygonMesh.grid(spark, 30, 24, 1.0, MESH)
+    corners = mesh.vertices().join(mesh.labelled(1).withColumn("marked", F.lit(1)), "node", "left")
+    found = corners.groupBy("mesh_cell").agg(F.count("marked").alias("south"), F.sum("x_0").alias("nodes_x"))
+    return mesh.centres().join(found, "mesh_cell")
+
+
 @query("SELECT CAST(c AS BIGINT) AS mesh_cell, CAST(c % 3 AS BIGINT) AS n FROM range(720) t(c) WHERE c % 3 > 0")
 def k14_uniform_in_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points drawn in each polygon are found there again."""

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..group import Ephemeral, Group, cell_range, disjoint_union, with_layers
+from ..mesh import CartesianMesh
 from ..operators import cellwise, mapping, products
 from ..operators.arrays import NDArray
+from ..polygons import PolygonMesh
 from ..sources import export, metrics, steps, tables, vtkhdf
 from ..spec import INT, Prop, Spec
 from .catalog import query
@@ -115,11 +117,21 @@ def a12_vtkhdf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(c AS BIGINT) AS cell, c % 16 AS c_0, c // 16 AS c_1, (c % 16) * 0.5::DOUBLE AS x_0, (c // 16) * 0.5::DOUBLE AS x_1, 0.25::DOUBLE AS volume FROM range(128) t(c)")
 def a13_hierarchy_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..mesh import CartesianMesh
-
     return CartesianMesh((8, 4), 1.0, 1).cells(spark)
 
 
+@query("SELECT CAST(l AS INTEGER) AS level, CAST(c AS BIGINT) AS cell, (c % (8 * (l + 1))) * 1.0::DOUBLE / (l + 1) AS x_0, (c // (8 * (l + 1))) * 1.0::DOUBLE / (l + 1) AS x_1, 1.0::DOUBLE / (l + 1) AS width FROM range(2) s(l), range(128) t(c) WHERE c < 32 * (l + 1) * (l + 1)")
+def a13_hierarchy_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coarse and fine cells of a hierarchy dumped for viewers, and read back: their first corners and widths."""
+    path = scratch(spark)
+    for level in (0, 1):
+        outlines = export.cell_outlines(spark, CartesianMesh((8, 4), 1.0, level))
+        vtkhdf.write(vtkhdf.cells_of(outlines, 2).withColumn("level", F.lit(level)), f"{path}/{level}")
+    rows = vtkhdf.read(spark, f"{path}/0").union(vtkhdf.read(spark, f"{path}/1"))
+    data, corner = (lambda k: F.element_at("cell_data", k)), (lambda k, d: F.element_at(F.element_at("points", k), d))
+    return rows.select(data("level").cast("int").alias("level"), data("cell").cast("bigint").alias("cell"), corner(1, 1).alias("x_0"), corner(1, 2).alias("x_1"), (corner(2, 1) - corner(1, 1)).alias("width"))
+
+
 @query(EV + "SELECT 'loop' AS key1, 'advect' AS key2, count(*) AS rows, 64 * count(*) AS bytes, 4 * count(*) AS flops FROM ev UNION ALL SELECT 'loop', 'hot', count(*), 64 * count(*), 0 FROM ev WHERE Q_0 > 30")
 def a14_row_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, property bytes and operations of two loops, observed while they run."""
@@ -506,11 +518,14 @@ def i17_parallel_initialisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return there.select("id", "P_0", "P_1", MESH.cell([F.col("P_0"), F.col("P_1")]).alias("cell"))
 
 
-@query(OR + ", b AS (SELECT cell, count(*) AS n FROM ord GROUP BY cell) SELECT n % 5 AS bin, count(*) AS cells, CAST(sum(n) AS BIGINT) AS rows FROM b GROUP BY n % 5")
+@query(OR + ", b AS (SELECT cell, count(*) AS n FROM ord GROUP BY cell) SELECT CAST(c AS BIGINT) AS mesh_cell, 1.0::DOUBLE AS volume, CAST(4 - CASE WHEN c % 32 IN (0, 31) THEN 1 ELSE 0 END - CASE WHEN c // 32 IN (0, 15) THEN 1 ELSE 0 END AS BIGINT) AS neighbours, coalesce(n, 0) AS rows FROM range(512) t(c) LEFT JOIN b ON b.cell = c")
 def i20_mesh_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Another mesh (32 x 16), its occupied cells binned by occupancy."""
-    b = orders(spark, sf_dir).groupBy("cell").agg(F.count("*").alias("n"))
-    return b.groupBy((F.col("n") % 5).alias("bin")).agg(F.count("*").alias("cells"), F.sum("n").alias("rows"))
+    """Cells and sides of a mesh of 32 x 16 polygons: volumes, cells beyond a side, and rows inside."""
+    mesh = PolygonMesh.grid(spark, 32, 16, 1.0, CartesianMesh((32, 16)))
+    sides = mesh.edges().select("mesh_cell", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+    shared = sides.join(sides.withColumnRenamed("mesh_cell", "other"), ["lo", "hi"]).groupBy("mesh_cell").agg(F.count_if(F.col("other") != F.col("mesh_cell")).alias("neighbours"))
+    inside = mesh.locate(orders(spark, sf_dir), [F.col("P_0"), F.col("P_1")], ["id"]).groupBy("mesh_cell").agg(F.count("*").alias("rows"))
+    return mesh.volumes().join(shared, "mesh_cell").join(inside, "mesh_cell", "left").select("mesh_cell", "volume", "neighbours", F.coalesce("rows", F.lit(0)).alias("rows"))
 
 
 @query(EV + "SELECT SPECIES_0, CAST(sum(W_0) AS BIGINT) AS s, min(W_0) AS lo, max(W_0) AS hi FROM ev GROUP BY SPECIES_0")

@@ -66,6 +66,20 @@ class PolygonMesh:
         after = (k + 1) % n
         return rows.select("mesh_cell", "k", at("nodes", k).alias("a"), at("nodes", after).alias("b"), at("xs", k).alias("ax"), at("ys", k).alias("ay"), at("xs", after).alias("bx"), at("ys", after).alias("by"))
 
+    def vertices(self) -> DataFrame:
+        """(mesh_cell, k, node, x_0, x_1) of every cell's corners, in order."""
+        rows = self.cells.select("mesh_cell", F.posexplode(F.arrays_zip("nodes", "xs", "ys")).alias("k", "c"))
+        return rows.select("mesh_cell", "k", F.col("c.nodes").alias("node"), F.col("c.xs").alias("x_0"), F.col("c.ys").alias("x_1"))
+
+    def centres(self) -> DataFrame:
+        """(mesh_cell, x_0, x_1): the mean of each cell's corners."""
+        mean = lambda name: F.aggregate(name, F.lit(0.0), lambda a, x: a + x) / F.size(name)
+        return self.cells.select("mesh_cell", mean("xs").alias("x_0"), mean("ys").alias("x_1"))
+
+    def labelled(self, tag: int) -> DataFrame:
+        """(node) of the corners of the edges marked with a tag."""
+        return self.lines.where(F.col("tag") == tag).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
     def volumes(self) -> DataFrame:
         """(mesh_cell, volume)."""
         return self.edges().groupBy("mesh_cell").agg((F.abs(F.sum(F.col("ax") * F.col("by") - F.col("bx") * F.col("ay"))) / 2).alias("volume"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from meshlark import INT, CartesianMesh, Prop, Spec
 from meshlark.operators import products
 from meshlark.polyhedra import HEXAHEDRON, PRISM, PYRAMID, TETRAHEDRON, PolyhedralMesh
-from meshlark.sources import metrics
+from meshlark.sources import export, metrics
 
 #: A unit cube, a prism beside it, a pyramid on top and a tetrahedron on the pyramid's east side.
 NODES = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1), (2, 0, 0), (2, 0, 1), (0.5, 0.5, 2), (2, 0.5, 2)]
@@ -89,3 +89,15 @@ def test_profiles(spark, tmp_path):
     got = metrics.trace_events(spark, str(tmp_path / "p.json")).collect()
     assert {(r["name"], r["pid"], r["ph"]) for r in got} == {("a:outer", 4, "X"), ("a:inner", 4, "X"), ("b:rows", 4, "X")} and all(r["dur"] >= 1 for r in got)
     assert metrics.trace_events(spark, str(tmp_path / "p.json"), 0.0, 1.0).count() == 0
+
+
+def test_a_mesh_file_in_3d(spark, tmp_path, monkeypatch):
+    p = tmp_path / "m.msh"
+    p.write_text("$MeshFormat\n4.1 0 8\n$EndMeshFormat\n$Nodes\n1 4 1 4\n3 1 0 4\n1\n2\n3\n4\n0 0 0\n1 0 0\n0 1 0\n0 0 1\n$EndNodes\n$Elements\n2 2 1 2\n2 5 2 1\n1 3 1 2\n3 1 4 1\n2 1 2 3 4\n$EndElements\n")
+    nodes, elements = export.read_gmsh(spark, str(p))
+    mesh = PolyhedralMesh.of(nodes, elements, CartesianMesh((1, 1, 1)))
+    assert mesh.volumes().first()["volume"] == pytest.approx(1 / 6)
+    assert [(r["boundary_group"], r["normal_2"]) for r in mesh.boundary().where("boundary_group IS NOT NULL").collect()] == [(5, 1.0)]
+    monkeypatch.setattr(export, "MESH_BYTES", 100)
+    with pytest.raises(ValueError, match="tables of nodes"):
+        export.read_gmsh(spark, str(p))
