@@ -112,6 +112,7 @@ class _Shapes(dict):
 _SHAPE = _Shapes()
 _RUN = re.compile(r"(.)\1*", re.S)
 _OUTER = ".,;:!?\"'`*&%$#|<>~^"
+_MARKS = frozenset("=:@./_-+()[]{}<>")
 _AT = re.compile(r"[\[({<_](?:at|arroba)[\])}>_]", re.I)
 _DOT = re.compile(r"[\[({<_](?:dot|\.|punkt|punto)[\])}>_]", re.I)
 #: Words of context that the field knows by name.
@@ -162,6 +163,11 @@ def features(word: str) -> tuple[str, ...]:
     short = _RUN.sub(r"\1", shape)
     digits = shape.count("0")
     out = ["all=" + _RUN.sub(lambda m: m[1] + (str(min(len(m[0]), 20)) if m[1] == "0" else ""), shape), "short=" + short, f"digits={min(digits, 20)}", f"dots={min(shape.count('.'), 5)}", "ends=" + shape[:1] + shape[-1:], after, *named]
+    marks = "".join(sorted(set(core) & _MARKS))
+    out.append("marks=" + marks)
+    swaps = min(len(re.findall("0a|a0|0A|A0", short)), 4)
+    if swaps > 1:
+        out.append(f"swaps={swaps}{marks}")
     if "@" in core:
         out.append(f"at={bool(emails(core)) and emails(core)[0] == (0, len(core))}")
     if _AT.search(core):
@@ -212,13 +218,14 @@ def number_runs(words: list[str], known: np.ndarray) -> np.ndarray:
     return out
 
 
-def samples(n: int = 1300, seed: int = 11) -> list[tuple[list[str], list[str]]]:
+def samples(n: int = 2000, seed: int = 11) -> list[tuple[list[str], list[str]]]:
     """The small labelled table: sentences of (words, states), drawn by a rule from a seed."""
     r = random.Random(seed)
     syllables = ["an", "be", "ci", "do", "er", "fo", "ga", "hi", "in", "ka", "lo", "men", "no", "or", "pa", "re", "sta", "tion", "un", "ve"]
     word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
     digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     hexes = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
+    mixed = lambda k: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(k))
     pick = lambda text: r.choice(text.split())
 
     def card(valid: bool = True) -> str:
@@ -283,7 +290,10 @@ def samples(n: int = 1300, seed: int = 11) -> list[tuple[list[str], list[str]]]:
             [f"{word()}{digits(2)}"], [f"{word()}-{digits(3)}"], [f"@{word()}"], [f"{digits(3)},{digits(3)}"], [hexes(r.choice([8, 16, 32, 40]))], [digits(r.randint(9, 13))], [card(False)], [digits(r.randint(20, 26))], [f"{digits(4)}/{digits(2)}"], [f"{digits(3)}-{digits(4)}"], [f"{digits(3)}-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}"],
             ["isbn", f"978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}"], ["order", digits(4), digits(4)], ["order", f"{digits(3)}-{digits(7)}-{digits(7)}"], ["invoice", f"{digits(4)}-{digits(4)}-{digits(4)}"], ["tracking", digits(4), digits(4), digits(4)], ["ref", f"{digits(3)}-{digits(2)}-{digits(4)}"], ["version", f"{digits(1)}.{digits(2)}.{digits(1)}"], [digits(2), digits(2), digits(3)], [digits(4), digits(4), digits(4), digits(4), digits(4), digits(4)],
             ["at", digits(2)], ["at", "the", word()], ["dot"], ["(at", word() + ")"], [":".join(hexes(2) for _ in range(6))], [f"{word()}.{word()}"], [f"{word()}.{pick('com org net de')}"], [f"{word()}/{word()}"], [f"({word()})"], [f"({digits(4)})"], [f"({digits(1)})"], [pick(" ".join(leads.values()))], [pick(" ".join(leads.values()))], [f"{digits(2)}.{digits(2)}.{digits(4)}"], [f"{digits(1)}:{digits(1)}"], [f"[{digits(2)}]"], [digits(4), "-", digits(4)], ["+", digits(2)], [f"+{digits(2)}%"], [f"{digits(3)}.{digits(3)}"],
-            ["=", f'"{hexes(r.choice([32, 40, 64]))}"'], ["token", "=", f'"{hexes(40)}"'], [word(), "=", f'"{word()}"'], ["=", digits(3)], [word(), *["at"] * r.randint(1, 12), word()], ["dot"] * r.randint(1, 3), ["|", word(), "|"], ["-"], ["--", word()], [f"<{word()}>"], [f"http://{word()}.{pick('com org net')}/{word()}"], [f"{word()}'s"], [f"{word()}-{word()}"], [f"{word()}_{word()}"], [f"{word()}={digits(2)}"], [f"#{digits(4)}"], [card(False), card(False)], [pick("de es la en io fr the of con se")] * r.randint(1, 6),
+            ["=", f'"{hexes(r.choice([32, 40, 64]))}"'], ["token", "=", f'"{hexes(40)}"'], [word(), "=", f'"{word()}"'], ["=", digits(3)], [word(), *["at"] * r.randint(1, 12), word()], ["dot"] * r.randint(1, 3), ["|", word(), "|"], ["-"], ["--", word()], [f"<{word()}>"], [f"http://{word()}.{pick('com org net')}/{word()}"], [f"{word()}'s"], [f"{word()}-{word()}"], [f"{word()}_{word()}"], [f"{word()}={digits(2)}"], [f"#{digits(4)}"], [card(False), card(False)],
+            [f"{word()}={hexes(r.choice([8, 16, 18, 32]))}"], [mixed(r.randint(12, 40))], ["AKIA" + mixed(16).upper()], [f"{word()}:{mixed(20)}"], [f"{word().upper()}.{word().upper()}"], [f"{word().capitalize()}.{word()}"] * r.randint(1, 6), [word()] * r.randint(2, 6), [word().upper()],
+            [word().upper() + "!!", r.choice(["at", "AT", "At"]) + "!!", word().upper() + "!!"], [word(), "at", word(), r.choice(["the", "dot", "com"])], [f"{r.choice(['key', 'password', 'token', 'id', word()])}={hexes(r.randint(8, 24))}"], [f"{word()}={mixed(r.randint(8, 24))}"], [hexes(r.randint(6, 40))],
+            [pick("de es la en io fr the of con se")] * r.randint(1, 6),
         ])
 
     out = []
@@ -331,7 +341,7 @@ class Field:
     #: Places whose words are seen from a word, and the sentinels around each text.
     PLACES, EDGE = (0, -1, 1, -2, 2), 3
 
-    def __init__(self, table: list[tuple[list[str], list[str]]], steps: int = 110, rate: float = 0.2, decay: float = 2e-4):
+    def __init__(self, table: list[tuple[list[str], list[str]]], steps: int = 100, rate: float = 0.2, decay: float = 2e-4):
         k, n = len(STATES), len(table)
         length = max(len(words) for words, _ in table) + 2  # with a sentinel on each side
         count: dict[str, int] = defaultdict(int)
