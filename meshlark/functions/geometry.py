@@ -39,13 +39,16 @@ def _between(x: Column, lo: Column, hi: Column, tol: float) -> Column:
     return x.between(F.least(lo, hi) - F.lit(tol), F.greatest(lo, hi) + F.lit(tol))
 
 
-def meets_aligned(start: list[Column], end: list[Column], axis: int, level: Column, low: list[Column], high: list[Column], tol: float = 0.0) -> Column:
+def meets_aligned(start: list[Column], end: list[Column], axis: int, level: Column, low: list[Column], high: list[Column], tol: float = 0.0, step: list[Column] | None = None) -> Column:
     """struct(hit, x_0..): where a step meets an axis-aligned edge (2-D) or rectangle (3-D).
 
-    axis is the normal's dimension; low and high bound the other dimensions, inclusively.
+    axis is the normal's dimension; low and high bound the other dimensions, inclusively. A caller
+    that knows the step passes it: end - start has the rounding of end, which moves points off a bound.
     """
     crossed, share = crosses_level(start[axis], end[axis], level)
-    point = [level if d == axis else start[d] + share * (end[d] - start[d]) for d in range(len(start))]
+    if step is None:
+        step = [e - s for s, e in zip(start, end)]
+    point = [level if d == axis else start[d] + share * step[d] for d in range(len(start))]
     hit = crossed
     for d in range(len(start)):
         if d != axis:

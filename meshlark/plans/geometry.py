@@ -59,17 +59,21 @@ def j4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(EV + ", s AS (SELECT id, P_0, 8 * V_0 AS ux, P_1 - 12 AS da, P_1 + 8 * V_1 - 12 AS db FROM ev) SELECT id, da * db <= 0 AND abs(da) + abs(db) <> 0 AND P_0 + (abs(da) / (abs(da) + abs(db))) * ux BETWEEN 5 AND 25 AS hit FROM s")
 def j5_aligned_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps against the edge from (5, 12) to (25, 12)."""
-    p = [F.col("P_0"), F.col("P_1")]
-    m = G.meets_aligned(p, [p[0] + 8 * F.col("V_0"), p[1] + 8 * F.col("V_1")], 1, F.lit(12.0), [F.lit(5.0), F.lit(0.0)], [F.lit(25.0), F.lit(0.0)])
+    p, step = [F.col("P_0"), F.col("P_1")], [8 * F.col("V_0"), 8 * F.col("V_1")]
+    m = G.meets_aligned(p, [p[0] + step[0], p[1] + step[1]], 1, F.lit(12.0), [F.lit(5.0), F.lit(0.0)], [F.lit(25.0), F.lit(0.0)], step=step)
     return events(spark, sf_dir).df.select("id", m["hit"].alias("hit"))
 
 
 @query(EV + ", s AS (SELECT id, P_0, P_1, 8 * V_0 AS ux, 8 * V_1 AS uy, Q_0 - 30 AS da, 30 - Q_0 AS db FROM ev) SELECT id, abs(da) + abs(db) <> 0 AND P_0 + 0.5 * ux BETWEEN 5 AND 25 AND P_1 + 0.5 * uy BETWEEN 4 AND 20 AS hit FROM s")
 def j6_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps in 3-D through a rectangle at half way."""
-    p = [F.col("P_0"), F.col("P_1"), F.col("Q_0")]
-    end = [p[0] + 8 * F.col("V_0"), p[1] + 8 * F.col("V_1"), 60 - p[2]]
-    m = G.meets_aligned(p, end, 2, F.lit(30.0), [F.lit(5.0), F.lit(4.0), F.lit(0.0)], [F.lit(25.0), F.lit(20.0), F.lit(0.0)])
+    """Steps in 3-D through a rectangle at half way.
+
+    Heights are from the plane: 60 - Q_0 is rounded for heights below it, and then half way is not half.
+    """
+    p = [F.col("P_0"), F.col("P_1"), F.col("Q_0") - 30]
+    step = [8 * F.col("V_0"), 8 * F.col("V_1"), -2 * p[2]]
+    end = [p[0] + step[0], p[1] + step[1], -p[2]]
+    m = G.meets_aligned(p, end, 2, F.lit(0.0), [F.lit(5.0), F.lit(4.0), F.lit(0.0)], [F.lit(25.0), F.lit(20.0), F.lit(0.0)], step=step)
     return events(spark, sf_dir).df.select("id", m["hit"].alias("hit"))
 
 
