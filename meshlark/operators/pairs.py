@@ -33,6 +33,23 @@ def all_to_all(df: DataFrame, columns: list[str]) -> DataFrame:
     return a.join(b, ["cell", "__i", "__j"]).where("layer_a < layer_b").drop("__i", "__j")
 
 
+def all_to_all_differences(df: DataFrame, column: str) -> DataFrame:
+    """(cell, n, w): the unordered pairs of each cell and the sum of |a - b| over them, for an integer column.
+
+    What all_to_all and a sum by cell give, without listing the pairs. A value with k rows, and b rows
+    below it of a cell's N, is the larger of a pair b times and the smaller N - b - k times for each
+    of its rows, so w is the sum of value * k * (2 b + k - N): rows are counted by value, and counts
+    are scanned in order of value, a hot cell in blocks. Pairs with a null count in n alone; w is null
+    for a cell without any other pair. Products and sums are decimals: only a w beyond 64 bits is refused.
+    """
+    rows = df.where("cell IS NOT NULL").groupBy("cell", column).agg(F.count("*").alias("__m"), F.count(column).alias("__k"))
+    big = lambda c: c.cast("decimal(20,0)")
+    v, k, b = big(F.col(column)), F.col("__k"), F.col("__b")
+    sums = grouped_scan(rows, ["cell"], column, "__k", "__b").groupBy("cell").agg(F.sum("__m").alias("__all"), F.sum("__k").alias("__n"), F.sum(v * big(k * (2 * b + k))).alias("__upper"), F.sum(v * big(k)).alias("__sum"))
+    w = F.when(F.col("__n") > 1, F.col("__upper") - F.col("__sum") * big(F.col("__n")))
+    return sums.where("__all > 1").select("cell", F.expr("__all * (__all - 1) div 2").alias("n"), w.cast("bigint").alias("w"))
+
+
 def walkable(pairs: DataFrame) -> DataFrame:
     """The pairs, with an error if a cell has more than WALK of them: walking through them is one task's work by definition.
 

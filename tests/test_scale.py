@@ -1,5 +1,7 @@
 """Operators on skewed, hot and sparse input, with bounds made small, against plain recomputation."""
 
+import threading
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,9 @@ from pyspark.sql import functions as F
 from meshlark import CartesianMesh
 from meshlark.functions import rng
 from meshlark.operators import cellwise, mapping, pairs, scan
+from meshlark.plans import catalog
+
+catalog.load()
 
 MESH = CartesianMesh((6, 4))
 
@@ -50,6 +55,32 @@ def test_pairs_of_a_hot_cell_in_blocks(spark, monkeypatch):
         assert sorted(map(tuple, pairs.all_to_all(rows, ["w"]).collect())) == want
 
 
+@pytest.mark.parametrize("hot_rows", [10, 1 << 22])
+def test_differences_of_pairs_equal_those_of_listed_pairs(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(scan, "HOT_ROWS", hot_rows)
+    made = spark.range(400).selectExpr("id", "CASE WHEN id < 150 THEN 0 WHEN id = 399 THEN 9 ELSE id % 5 END AS cell", "CASE WHEN id % 11 > 0 THEN (id * id) % 83 - 40 END AS w")
+    odd = spark.createDataFrame([(500, 6, None), (501, 6, None), (502, 7, None), (503, 7, 3), (504, None, 1), (505, None, 2), (506, 8, 2**62), (507, 8, 2**62 - 5), (508, 8, 2**62 - 5)], "id long, cell long, w long")
+    rows = made.unionByName(odd)
+    listed = pairs.all_to_all(rows, ["w"]).groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.abs(F.col("a_w") - F.col("b_w"))).alias("w"))
+    got, want = (sorted(map(tuple, df.select("cell", "n", "w").collect()), key=str) for df in (pairs.all_to_all_differences(rows, "w"), listed))
+    assert got == want and {6: (1, None), 7: (1, None), 8: (3, 10)}.items() <= {c: (n, w) for c, n, w in got}.items()
+    assert {c for c, _, _ in got} == {0, 1, 2, 3, 4, 6, 7, 8}
+
+
+def test_pairs_of_a_large_cell_are_not_listed(spark, tmp_path):
+    """Five thousand million pairs: a query that lists them is stopped."""
+    n = 100_000
+    spark.range(n).selectExpr("id AS event_id", "timestamp_ntz'2024-01-05 07:30:00' AS ts", "id AS user_id", "'view' AS event_type", "id / 100D AS value", "'{}' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    stop = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    stop.start()
+    try:
+        got = catalog.QUERIES["f7_all_to_all"](spark, str(tmp_path)).collect()
+    finally:
+        stop.cancel()
+    cents = np.sort(np.trunc(np.arange(n) / 100.0 * 100.0).astype("int64"))
+    assert [tuple(r) for r in got] == [(4 + 30 * 7, n * (n - 1) // 2, int((cents * (2 * np.arange(n) - n + 1)).sum()))]
+
+
 def test_walks_through_too_many_pairs_are_refused(spark, monkeypatch):
     listed = spark.range(30).selectExpr("id % 2 AS cell", "id AS ord", "id AS i", "id + 1 AS j")
     assert pairs.host_waves(listed).count() == 30
